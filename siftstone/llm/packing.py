@@ -9,6 +9,7 @@ of two. No sequence is padded at all. There is no shuffle, and a worker holds on
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,8 +22,11 @@ from siftstone.llm.common import batches, text_array, text_bytes
 from siftstone.llm.words import bounds, hashes
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-#: Words kept with their ids between batches; when full, the memory starts anew (results don't depend on it).
-CACHE_WORDS = 200_000
+#: Words a worker keeps with their ids (some 40 bytes each); when full, the memory starts anew. Results don't depend on it.
+CACHE_WORDS = 1_500_000
+#: Stands between words that are tokenised together; words that hold it are tokenised alone.
+MARK = "\x01"
+_kept: dict[str, WordIds] = {}
 
 
 class WordIds:
@@ -33,18 +37,40 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.keys = np.zeros(0, np.uint64)
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        """The worker process's own, so that a later task finds the words of earlier ones."""
+        if path not in _kept:
+            _kept[path] = cls(path)
+        return _kept[path]
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        if self.mark is None or any(MARK in w for w in words):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter((i for x in got for i in x), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+        flat, sizes = [], []
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part) + f" {MARK}"], add_special_tokens=False)[0].ids, np.uint32)
+            end = np.flatnonzero(ids == self.mark)
+            sizes.append(np.diff(np.concatenate(([-1], end))) - 1)
+            flat.append(ids[ids != self.mark])
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Remember the words' ids; keys are sorted and new."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+        flat, sizes = self.word_ids(words)
         all_keys = np.concatenate((self.keys, keys))
         order = np.argsort(all_keys, kind="stable")
         size = np.concatenate((np.diff(self.first), sizes))[order]
@@ -140,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
     assert capacity & (capacity - 1) == 0, "capacity must be a power of two"
 
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = WordIds.of(tokenizer)
         serial = TaskContext.get().partitionId() << 40
         wait: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
 
@@ -152,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
             texts = text_array(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64())
             doc_ids, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in batches(texts):
+            for a, b in batches(texts, 4 << 20):
                 tokens, first = words.encode(*text_bytes(texts.slice(a, b - a)), end_id)
                 lengths = np.diff(first)
                 doc, start, size = cut(lengths, capacity)
