@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import language, mixing, packing, quality, toxicity
+from siftstone.llm import language, minhash, mixing, packing, quality, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op5_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,7 +43,7 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbour_quality, op4_ordinal_toxicity, op5_kneser_ney_language, op9_harmonic_packing, op10_pfair_mixing)}
+    return {f.__name__: f for f in (op1_neighbour_quality, op4_ordinal_toxicity, op5_kneser_ney_language, op6_bucket_pointer_dedup, op7_tensored_minhash, op9_harmonic_packing, op10_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
