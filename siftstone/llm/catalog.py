@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import language, minhash, mixing, packing, quality, suffix, toxicity
+from siftstone.llm import hmm, language, minhash, mixing, packing, quality, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op8_hidden_markov_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,7 +47,7 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbour_quality, op4_ordinal_toxicity, op5_kneser_ney_language, op6_bucket_pointer_dedup, op7_tensored_minhash, op9_harmonic_packing, op10_pfair_mixing)}
+    return {f.__name__: f for f in (op1_neighbour_quality, op4_ordinal_toxicity, op5_kneser_ney_language, op6_bucket_pointer_dedup, op7_tensored_minhash, op8_hidden_markov_score, op9_harmonic_packing, op10_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
