@@ -1,15 +1,53 @@
-"""The corpus pipeline: stages, each over all that its predecessor kept."""
+"""From raw documents to packed token sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept; all but the last return
+the columns of documents:
+
+1. language_id: documents without a recognised language go.
+2. near_dedup: one document of each class of near copies (five-word shingles, similarity 0.8 or more) stays.
+3. passage_dedup: passages of 50 bytes and more that an earlier document holds are cut out of texts.
+4. mix_sources: rows are sorted into a stream in which each source has its target weight.
+5. packing: each file's stretch of that stream is packed into sequences of 4096 tokens.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from siftstone.llm import language, minhash, mixing, packing, suffix
+from siftstone.llm.common import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.recognised(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs, words=5, percent=80)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(docs, length=50)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("mix_sources", mix_sources), ("packing", pack_tokens)]
+
+#: SQL can't train a language model or run a tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

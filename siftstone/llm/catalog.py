@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import hmm, language, minhash, mixing, packing, quality, suffix, toxicity
+from siftstone.llm import hmm, language, minhash, mixing, packing, quality, suffix, topk, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op1_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_pca_tiled_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op3_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_inner_products(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,8 +56,8 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbour_quality, op4_ordinal_toxicity, op5_kneser_ney_language, op6_bucket_pointer_dedup, op7_tensored_minhash, op8_hidden_markov_score, op9_harmonic_packing, op10_pfair_mixing)}
+    return {f.__name__: f for f in (op1_neighbour_quality, op2_pca_tiled_dedup, op3_norm_sorted_topk, op4_ordinal_toxicity, op5_kneser_ney_language, op6_bucket_pointer_dedup, op7_tensored_minhash, op8_hidden_markov_score, op9_harmonic_packing, op10_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_pfair_mixing": mixing.ORACLE}
+    return {"op2_pca_tiled_dedup": vector_dedup.ORACLE, "op3_norm_sorted_topk": topk.ORACLE, "op10_pfair_mixing": mixing.ORACLE}

@@ -194,10 +194,20 @@ def identify(docs: DataFrame, docs_a_language: int = 1500, margin: float = 10.0,
     character; null for "und"), rejected. Ties go to the lang first in order. Each row has its own result; other columns
     aren't read; an empty table gives no rows.
     """
-    names, models, limits = train(docs, ~held_out("doc_id", 4, 2) if learn_from is None else learn_from, docs_a_language, margin)
-    model = docs.sparkSession.sparkContext.broadcast((names, models, limits))
+    judge = judged(docs, docs_a_language, margin, ~held_out("doc_id", 4, 2) if learn_from is None else learn_from)
 
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, (lang, score, least, has, rejected) in judge(incoming):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(least, mask=~has), pa.array(rejected)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text").mapInArrow(work, SCHEMA)
+
+
+def judged(docs: DataFrame, docs_a_language: int, margin: float, learn_from: Column):
+    """A function for tasks: record batches with a column text to (batch, (language, score, nats, has a letter, rejected))."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, learn_from, docs_a_language, margin))
+
+    def judge(incoming: Iterator[pa.RecordBatch]):
         names, models, limits = model.value
         scorer = Scorer(models)
         for batch in incoming:
@@ -211,16 +221,22 @@ def identify(docs: DataFrame, docs_a_language: int = 1500, margin: float = 10.0,
                 least = nats[np.arange(b - a), best]
                 score = 1 / np.exp(-(nats - least[:, None]) * np.minimum(length, 100)[:, None]).sum(1)
                 beyond = least > limits[best, 0] + limits[best, 1] / np.sqrt(np.maximum(length, 1)) if names else ~has
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id")[a:b].cast(pa.int64()),
-                        batch.column("held_out")[a:b],
-                        pa.array([names[i] if y else UNKNOWN for i, y in zip(best.tolist(), has.tolist())], pa.string()),
-                        pa.array(np.where(has, score, 0.0)),
-                        pa.array(least, mask=~has),
-                        pa.array(beyond | ~has),
-                    ],
-                    names=["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"],
-                )
+                yield batch.slice(a, b - a), ([names[i] if y else UNKNOWN for i, y in zip(best.tolist(), has.tolist())], np.where(has, score, 0.0), least, has, beyond | ~has)
 
-    return docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text").mapInArrow(work, SCHEMA)
+    return judge
+
+
+def recognised(docs: DataFrame, docs_a_language: int = 1500, margin: float = 10.0) -> DataFrame:
+    """The documents, all columns, that `identify` does not reject; they are judged and dropped where they lie.
+
+    A document without a lang gets the one found. Rows are judged one by one, so rows that repeat stay or go together.
+    """
+    judge = judged(docs, docs_a_language, margin, ~held_out("doc_id", 4, 2))
+
+    def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, (lang, *_, rejected) in judge(incoming):
+            at = batch.schema.get_field_index("lang")
+            batch = batch.set_column(at, "lang", pc.coalesce(batch.column(at), pa.array(lang, batch.column(at).type)))
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(work, docs.schema)

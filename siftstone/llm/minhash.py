@@ -152,6 +152,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, without those that `near_duplicates` doesn't keep; of rows that repeat a doc_id one stays."""
+    gone = written(near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    left = docs.join(small_or_shuffled(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = written(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__again"), "again")
+    if again.isEmpty():
+        return left
+    again = small_or_shuffled(again)
+    repeated = left.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
+    return left.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(repeated.dropDuplicates(["doc_id"]))
+
+
 def unsettled(members: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, text, component) of tables that hold several components, one table for each set of members."""
     named = classes.select(F.col("node").alias("t"), "component")

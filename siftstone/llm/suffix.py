@@ -338,3 +338,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, c
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
     kinds = dict(texts.dtypes)
     return texts.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(cut_documents(columns, with_text), schema + "".join(f", {n} {kinds[n]}" for n in columns))
+
+
+def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """The documents, all columns, with their texts cut by `remove_repeats` (whole characters) and n_chars to match.
+
+    A document of which nothing is left stays, with an empty text.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = remove_repeats(docs, length, with_text=True, carry=rest)
+    named = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept_text")} | {c: F.col(f"carry_{k}") for k, c in enumerate(rest)}
+    if "n_chars" in named:
+        named["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[named[c].alias(c) for c in docs.columns])
