@@ -5,8 +5,9 @@ Two collections of `side` short keys (each of two minhashes) give side * side ta
 (1 - (1 - s^2)^side)^2; `side` is the least with which that is 0.9999 at the threshold.
 
 Documents with one and the same shingle set are one text for all that follows. In a table, texts are compared with the
-least text there (a star, not all pairs); where a table still holds texts of several components after that, its texts are
-compared across components in tiles. A link is made only by the sizes of full sets' intersection and union.
+least text there (a star, not all pairs). Texts that tables join, directly or over others, are a cluster; where a
+cluster still holds several components after that, its texts are compared in tiles, across components. A link is made
+only by the sizes of full sets' intersection and union.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.common import batches, mix, small_or_shuffled, stream, text_array, text_bytes, written
-from siftstone.llm.components import components
+from siftstone.llm.components import components, forest
 from siftstone.llm.words import shingle_sets
 
-#: Rows of a table that meet in one tile.
-TILE = 512
+#: A cluster is cut into parts of PART texts, as long as these are PARTS or fewer; then into PARTS, up to LARGE_PART texts each.
+PART, PARTS, LARGE_PART = 128, 32, 4096
 
 
 def side_for(threshold: float, miss: float = 1e-4) -> int:
@@ -87,10 +88,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return own.mapInArrow(work, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those (u, v) of the written table `pairs` with 100 * intersection >= percent * union of full sets."""
-    ids = written(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ids")
-    sets = written(sets_of(docs, ids, words), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (u, v) of `pairs` with 100 * intersection >= percent * union of full sets."""
     left = sets.select(F.col("id").alias("lu"), F.col("shingles").alias("ls"))
     right = sets.select(F.col("id").alias("rv"), F.col("shingles").alias("rs"))
     both = pairs.join(left, F.col("u") == F.col("lu")).join(right, F.col("v") == F.col("rv"))
@@ -98,27 +97,59 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     return both.select("u", "v", common.alias("c"), (F.size("ls") + F.size("rs")).cast("bigint").alias("n")).where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("n") - F.col("c"))).select("u", "v")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v), u < v, of texts in one table but in different components.
+def unsettled(stars: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cluster, text, component, parts): texts joined by tables, directly or over others, that form several components so far.
 
-    members: (key, text, component), of tables with several components only. A large table is cut into tiles of about
-    TILE by TILE, each a group of its own, so that no task holds a whole table.
+    Clusters of two are left out, as their one pair has been compared. parts: into how many a cluster is cut.
     """
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).select(F.col("key").alias("k"), F.expr(f"(rows + {TILE - 1}) DIV {TILE}").alias("parts"))
-    placed = members.join(size, F.col("key") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    placed = placed.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "text", "component")
-
-    def work(key, table):
-        low, high = key[1].as_py(), key[2].as_py()
-        part, text, comp = (table[c].to_numpy() for c in ("part", "text", "component"))
-        a, b = part == low, part == high
-        i, j = np.nonzero(comp[a][:, None] != comp[b][None, :])
-        u, v = text[a][i], text[b][j]
-        pair = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
-        return pa.table({"u": pair[0], "v": pair[1]})
-
-    return placed.groupBy("key", "low", "high").applyInArrow(work, "u bigint, v bigint").distinct()
+    clusters = components(stars).select(F.col("node").alias("text"), F.col("component").alias("cluster"))
+    named = classes.select(F.col("node").alias("t"), "component")
+    placed = written(clusters.join(named, F.col("text") == F.col("t"), "left").select("cluster", "text", F.coalesce("component", "text").alias("component")), "clusters")
+    size = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high AND rows > 2")
+    parts = F.greatest(F.ceil(F.col("rows") / LARGE_PART), F.least(F.lit(PARTS), F.ceil(F.col("rows") / PART)))
+    return placed.join(size.select(F.col("cluster").alias("c"), parts.alias("parts")), F.col("cluster") == F.col("c")).select("cluster", "text", "component", "parts")
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], block: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b, as products of 0/1 matrices over the hashes in both."""
+    ka, kb = np.concatenate(a), np.concatenate(b)
+    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    known = np.intersect1d(ka, kb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    hit_a, hit_b = np.isin(ka, known), np.isin(kb, known)
+    ca, cb, ra, rb = np.searchsorted(known, ka[hit_a]), np.searchsorted(known, kb[hit_b]), ra[hit_a], rb[hit_b]
+    for s in range(0, len(known), block):
+        x, y = np.zeros((len(a), block), np.float32), np.zeros((len(b), block), np.float32)
+        i, j = (ca >= s) & (ca < s + block), (cb >= s) & (cb < s + block)
+        x[ra[i], ca[i] - s] = 1
+        y[rb[j], cb[j] - s] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def links_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join components of a cluster: full sets are compared in tiles, a part of the cluster by another.
+
+    A tile is a group of its own and returns a spanning forest of its links, at most a row a text.
+    """
+    full = members.join(sets, F.col("text") == F.col("id")).withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")))
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    dealt = dealt.select("cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "text", "component", "shingles")
+
+    def work(key, tile):
+        part, text, comp = (tile[c].to_numpy() for c in ("part", "text", "component"))
+        sets = [x.values.to_numpy() for x in tile["shingles"]]
+        size = np.array([len(x) for x in sets])
+        a, b = np.flatnonzero(part == key[1].as_py()), np.flatnonzero(part == key[2].as_py())
+        if not len(a) or not len(b):
+            return pa.table({"u": text[:0], "v": text[:0]})
+        common = common_counts([sets[i] for i in a], [sets[i] for i in b])
+        i, j = np.nonzero((100 * common >= percent * (size[a][:, None] + size[b][None, :] - common)) & (comp[a][:, None] != comp[b][None, :]))
+        root = forest(a[i], b[j], len(text))
+        moved = np.flatnonzero(root != np.arange(len(text)))
+        return pa.table({"u": text[moved], "v": text[root[moved]]})
+
+    return dealt.groupBy("cluster", "low", "high").applyInArrow(work, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -139,12 +170,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = written(tables.groupBy("key").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.count(F.lit(1)).alias("rows")).where("least < most"), "tables").select(F.col("key").alias("k"), "least")
     members = written(tables.join(small_or_shuffled(shared), F.col("key") == F.col("k")).select("key", "text", "least"), "members")
     stars = written(members.where("text <> least").select(F.col("least").alias("u"), F.col("text").alias("v")).distinct(), "stars")
-    links = written(verified(docs, stars, words, percent), "verified")
+    ids = written(stars.select(F.col("u").alias("id")).union(stars.select("v")).distinct(), "ids")
+    sets = written(sets_of(docs, ids, words), "sets")
+    links = written(verified(stars, sets, percent), "verified")
     first = written(components(links), "components")
-    if not (rest := unsettled(members, first)).isEmpty():
-        pairs = written(across(rest).join(stars, ["u", "v"], "left_anti"), "pairs")
-        links = links.union(verified(docs, pairs, words, percent))
-        first = written(components(links), "components")
+    rest = written(unsettled(stars, first), "unsettled")
+    if not rest.isEmpty():
+        first = written(components(links.union(links_within(rest, sets, percent))), "components")
     named = first.select(F.col("node").alias("t"), "component")
     classes = texts.select(F.col("n").alias("tn"), F.col("d1").alias("t1"), F.col("d2").alias("t2"), "text").join(named, F.col("text") == F.col("t"), "left").select("tn", "t1", "t2", F.coalesce("component", "text").alias("component_id"))
     out = sigs.join(classes, (F.col("n") == F.col("tn")) & (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2")) & F.col("doc_id").isNotNull(), "left")
@@ -162,12 +194,3 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     again = small_or_shuffled(again)
     repeated = left.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
     return left.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(repeated.dropDuplicates(["doc_id"]))
-
-
-def unsettled(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, text, component) of tables that hold several components, one table for each set of members."""
-    named = classes.select(F.col("node").alias("t"), "component")
-    placed = members.join(named, F.col("text") == F.col("t"), "left").select("key", "text", F.coalesce("component", "text").alias("component"))
-    mark = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("text").cast("decimal(38,0)")).alias("digest"))
-    one = mark.where("low < high").groupBy("rows", "digest").agg(F.min("key").alias("k")).select("k")
-    return written(placed.join(one, F.col("key") == F.col("k")).select("key", "text", "component"), "unsettled")

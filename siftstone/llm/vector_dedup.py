@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.common import written
-from siftstone.llm.components import components
+from siftstone.llm.components import components, forest
 from siftstone.llm.vectors import finite, in_blocks, matrix, rotations
 
 #: Vectors of a block; a tile holds two.
@@ -59,22 +59,6 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, turn: np.ndarray, least: float, s
     return i[ok], j[ok]
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Least index reachable from each of n by pairs (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        while (new[new] != new).any():
-            new = new[new]
-        new = new[root]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def similar_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """Classes of vectors of one (not null) label linked by cosine of `least` or more.
 
