@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -17,6 +19,7 @@ BROADCAST_ROWS = 500_000
 
 
 _own: list[str] = []
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +39,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._siftstone_path = path
+    for made in _scopes:
+        made.append(back)
     return back
 
 
+@contextlib.contextmanager
+def scratch():
+    """Tables written within are deleted at the end, but for those taken off the list."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not made]
+        for table in made:
+            forget(table)
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete a table made by `written` that nothing reads any more."""
     if path := getattr(df, "_siftstone_path", None):
@@ -87,6 +105,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers live on after a task, beside others on their machine."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def conf_int(spark: SparkSession, key: str, default: int) -> int:
     return int(spark.conf.get(key, str(default)))
 

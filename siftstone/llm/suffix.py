@@ -20,15 +20,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import batches, conf_int, mix, stream, text_array, text_bytes
+from siftstone.llm.common import batches, conf_int, give_back, mix, stream, text_array, text_bytes
 from siftstone.llm.words import _power
 
 GRAM = 20
+#: Strings of a span at most; a longer run with one anchor is several spans.
+LONGEST = 256
 _RANDOM = stream(41, 256)
-#: Rows between steps: blobs of document ids and of what belongs to each, by group.
+#: Text whose anchors are found at once (arrays of eight bytes a byte), and text whose anchors leave together.
+AT_ONCE, TOGETHER = 1 << 19, 4 << 20
+#: Rows between steps: packed blobs of document ids and of what belongs to each, by group.
 PARTS = "key bigint, docs binary, hashes binary, starts binary, sizes binary, data binary"
 EMPTY = np.zeros(0, np.int64)
 
@@ -60,12 +65,17 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     first = np.flatnonzero(new & inside)
     bound = np.append(first, n)[1:]
     doc = np.searchsorted(off, first, "right") - 1
-    return least[first], doc, first - off[doc], np.minimum(bound, off[doc + 1] - length + 1) - first
+    strings = np.minimum(bound, off[doc + 1] - length + 1) - first
+    # One word again and again has one anchor throughout; in short pieces, most of it is the same piece.
+    pieces = -(-strings // LONGEST)
+    skip = LONGEST * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    doc, start = np.repeat(doc, pieces), np.repeat(first - off[doc], pieces) + skip
+    return np.repeat(least[first], pieces), doc, start, np.minimum(np.repeat(strings, pieces) - skip, LONGEST)
 
 
 def ranges(hashes: np.ndarray, groups: int) -> np.ndarray:
-    """Hash range (0 to groups - 1) of each hash."""
-    return (((hashes >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+    """Hash range (0 to groups - 1) of each anchor: of its own hash, as anchors, being minima, crowd at the low end."""
+    return (((mix(hashes.astype(np.uint64)) >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
 
 
 def home(doc: np.ndarray, homes: int) -> np.ndarray:
@@ -73,12 +83,27 @@ def home(doc: np.ndarray, homes: int) -> np.ndarray:
     return (doc + (doc >> 16)) % homes
 
 
-def blobs(key: np.ndarray, docs: np.ndarray, hashes=None, starts=None, sizes=None) -> list[tuple]:
-    """One row a key from parallel arrays."""
+def squeeze(x: np.ndarray) -> bytes:
+    """Integers as packed bytes: the first bytes of all, then the second, and so on, compressed."""
+    width = x.dtype.itemsize
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def unsqueeze(data: bytes, kind=np.int64) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T.tobytes(), kind)
+
+
+def blobs(key: np.ndarray, docs: np.ndarray, hashes=None, starts=None, sizes=None, pieces: list[bytes] | None = None) -> list[tuple]:
+    """One row a key from parallel arrays (pieces: byte strings)."""
     order = np.argsort(key, kind="stable")
-    cut = np.flatnonzero(np.diff(key[order], prepend=-(1 << 62)))
+    cut = np.flatnonzero(np.diff(key[order], prepend=-(1 << 62))).tolist()
     columns = [x[order] if x is not None else None for x in (docs, hashes, starts, sizes)]
-    return [(int(key[order[a]]), *(None if x is None else x[a:b].tobytes() for x in columns), None) for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(key)])]
+    out, place = [], order.tolist() if pieces is not None else []
+    for a, b in zip(cut, [*cut[1:], len(key)]):
+        data = zstandard.compress(b"".join([pieces[i] for i in place[a:b]]), 3) if pieces is not None else None
+        out.append((int(key[order[a]]), *(None if x is None else squeeze(x[a:b]) for x in columns), data))
+    return out
 
 
 def table(rows: list[tuple]) -> pa.Table:
@@ -88,7 +113,7 @@ def table(rows: list[tuple]) -> pa.Table:
 
 
 def joined(column: pa.ChunkedArray, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), kind)
+    return np.concatenate([np.zeros(0, kind), *(unsqueeze(x, kind) for x in column.to_pylist() if x is not None)])
 
 
 def marks_to_home(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, homes: int, negative: bool) -> list[tuple]:
@@ -96,15 +121,23 @@ def marks_to_home(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, homes:
     return blobs(-1 - key if negative else key, docs, None, starts, ends)
 
 
+def all_anchors(texts: pa.Array, length: int) -> tuple[np.ndarray, ...]:
+    """`anchors` of all texts, a stretch at a time; with 48 bits of each anchor."""
+    parts = []
+    for a, b in batches(texts, AT_ONCE):
+        h, doc, start, strings = anchors(*text_bytes(texts.slice(a, b - a)), length)
+        parts.append((h >> np.uint64(16), doc + a, start, strings))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), EMPTY, EMPTY, EMPTY)
+
+
 def send_anchors(groups: int, homes: int, length: int):
     """Step 1, per batch: distinct anchors by hash range. Those of several documents of the batch are known to be shared (document -1)."""
 
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
             texts, ids = text_array(batch.column("text")), batch.column("doc_id").to_numpy()
-            for a, b in batches(texts):
-                raw, off = text_bytes(texts.slice(a, b - a))
-                h, doc, _, _ = anchors(raw, off, length)
+            for a, b in batches(texts, TOGETHER):
+                h, doc, _, _ = all_anchors(texts.slice(a, b - a), length)
                 order = np.argsort(h, kind="stable")
                 h, doc = h[order], doc[order]
                 new = np.ones(len(h), bool)
@@ -114,17 +147,15 @@ def send_anchors(groups: int, homes: int, length: int):
                 first[1:] = h[1:] != h[:-1]
                 times = np.diff(np.append(np.flatnonzero(first), len(h)))
                 several = np.repeat(times > 1, times)
-                asked = np.where(several, -1, doc)[first]
-                rows = []
-                for key, docs, hashes, *_ in blobs(ranges(h[first], groups), asked, h[first]):
-                    docs = np.frombuffer(docs, np.int64)
-                    # Ids in 4 bytes from the batch's least one where they fit.
-                    low = int(docs[docs >= 0].min(initial=1 << 62))
-                    fits = int(docs.max(initial=0)) - low < 0xFFFFFFFF
-                    small = np.where(docs < 0, 0xFFFFFFFF, docs - low).astype("<u4").tobytes() if fits else docs.tobytes()
-                    rows.append((key, small, hashes, np.array([low if fits else -1], np.int64).tobytes(), None, None))
-                rows += blobs(-1 - home(doc[several], homes), doc[several], h[several])
-                yield from table(rows).to_batches()
+                asked, least = np.where(several, -1, doc)[first], h[first]
+                key = ranges(least, groups)
+                order = np.argsort(key, kind="stable")
+                key, asked, least = key[order], asked[order], least[order]
+                # Sorted within a range, so the steps from one to the next are short.
+                step, start = np.diff(least, prepend=np.uint64(0)), np.flatnonzero(np.diff(key, prepend=-1))
+                step[start] = least[start]
+                yield from table([*blobs(key, asked, step), *blobs(-1 - home(doc[several], homes), doc[several], h[several])]).to_batches()
+            give_back()
 
     return work
 
@@ -134,20 +165,16 @@ def find_shared(homes: int):
 
     def work(key, part):
         if key[0].as_py() < 0:
-            return table([(-1 - key[0].as_py(), joined(part["docs"]).tobytes(), joined(part["hashes"]).tobytes(), None, None, None)])
-        docs = []
-        for d, s in zip(part["docs"].to_pylist(), part["starts"].to_pylist()):
-            low = int(np.frombuffer(s, np.int64)[0])
-            x = np.frombuffer(d, "<u4" if low >= 0 else np.int64).astype(np.int64)
-            docs.append(np.where(x == 0xFFFFFFFF, -1, x + low) if low >= 0 else x)
-        doc, h = np.concatenate(docs), joined(part["hashes"], np.uint64)
+            return table([(-1 - key[0].as_py(), squeeze(joined(part["docs"])), squeeze(joined(part["hashes"])), None, None, None)])
+        doc = joined(part["docs"])
+        h = np.concatenate([np.cumsum(unsqueeze(x, np.uint64)) for x in part["hashes"].to_pylist()])
         order = np.argsort(h, kind="stable")
         doc, h = doc[order], h[order]
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         times = np.diff(np.append(np.flatnonzero(first), len(h)))
+        # A document alone in the batch that asks; others in other batches, or several in one, settled already.
         tell = np.repeat(times > 1, times) & (doc >= 0)
-        # One document alone in the batch that asks, and others, in another batch, that are settled already.
         return table(blobs(home(doc[tell], homes), doc[tell], h[tell]))
 
     return work
@@ -163,97 +190,118 @@ def send_spans(groups: int, homes: int, length: int):
         texts, ids = text_array(docs["text"]), docs["doc_id"].to_numpy()
         asked = np.unique(mix(joined(hits["hashes"], np.uint64)) + joined(hits["docs"]).astype(np.uint64))
         seen: dict[bytes, int] = {}
-        sent, settled = [], []
-        for a, b in batches(texts):
+        sent, pieces, settled = [(EMPTY, np.zeros(0, np.uint64), EMPTY, EMPTY)], [], [(EMPTY, EMPTY, EMPTY)]
+        for a, b in batches(texts, AT_ONCE):
             raw, off = text_bytes(texts.slice(a, b - a))
             h, doc, start, strings = anchors(raw, off, length)
-            hit = np.isin(mix(h) + ids[a:b][doc].astype(np.uint64), asked)
-            h, doc, start, strings = h[hit], doc[hit], start[hit], strings[hit]
-            data, begin = raw.tobytes(), off[doc] + start
-            own, bucket = ids[a:b][doc], ranges(h, groups)
-            end = begin + strings + length - 1
-            fresh = np.ones(len(h), bool)
-            for i, (x, y, d) in enumerate(zip(begin.tolist(), end.tolist(), own.tolist())):
-                fresh[i] = seen.setdefault(data[x:y], d) == d
-            settled.append((own[~fresh], start[~fresh], (start + strings + length - 1)[~fresh]))
-            order = np.flatnonzero(fresh)[np.argsort(bucket[fresh], kind="stable")]
-            pieces, at = [data[x:y] for x, y in zip(begin[order].tolist(), end[order].tolist())], 0
-            for k, *columns, _ in blobs(bucket[order], own[order], h[order], start[order], end[order] - begin[order]):
-                n = len(columns[0]) // 8
-                sent.append((k, *columns, b"".join(pieces[at : at + n])))
-                at += n
-        done = [np.concatenate(x) for x in zip(*settled)]
-        return table(sent + marks_to_home(*done, homes, negative=True))
+            h = h >> np.uint64(16)
+            own = ids[a:b][doc]
+            hit = np.isin(mix(h) + own.astype(np.uint64), asked)
+            h, own, start, size, begin = h[hit], own[hit], start[hit], strings[hit] + length - 1, (off[doc] + start)[hit]
+            data, fresh = raw.tobytes(), np.ones(len(h), bool)
+            for i, (x, y, d) in enumerate(zip(begin.tolist(), (begin + size).tolist(), own.tolist())):
+                if seen.setdefault(span := data[x:y], d) == d:
+                    pieces.append(span)
+                else:
+                    fresh[i] = False
+            sent.append((own[fresh], h[fresh], start[fresh], size[fresh]))
+            settled.append((own[~fresh], start[~fresh], (start + size)[~fresh]))
+        own, h, start, size = (np.concatenate(x) for x in zip(*sent))
+        rows = blobs(ranges(h, groups), own, h.astype(np.uint32), start, size, pieces)
+        del seen, pieces, docs, texts
+        give_back()
+        return table(rows + marks_to_home(*(np.concatenate(x) for x in zip(*settled)), homes, negative=True))
 
     return work
 
 
 def refine(bucket: np.ndarray, reach: int, step: int, end: np.ndarray) -> tuple[np.ndarray, int]:
     """Buckets of `reach` bytes refined to reach + step by the bucket that starts `step` bytes on; 0 where a span ends before."""
-    at = np.flatnonzero(np.arange(len(bucket)) + reach + step <= end)
-    _, finer = np.unique(bucket[at] * np.int64(bucket.max(initial=0) + 1) + bucket[at + step], return_inverse=True)
-    out = np.zeros(len(bucket), np.int64)
+    at = np.flatnonzero(np.arange(len(bucket), dtype=np.int32) + np.int32(reach + step) <= end)
+    _, finer = np.unique(bucket[at].astype(np.int64) * (int(bucket.max(initial=0)) + 1) + bucket[at + step], return_inverse=True)
+    out = np.zeros(len(bucket), np.int32)
     out[at] = finer + 1
     return out, reach + step
 
 
 def string_buckets(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
     """Bucket (from 1) of the `length` bytes from each place of the spans that lie in `data` one after another; 0 where less is left."""
-    end = np.repeat(np.cumsum(size), size)
+    end = np.repeat(np.cumsum(size).astype(np.int32), size)
     wide = np.concatenate((data, np.zeros(8, np.uint8)))
     gram = np.zeros(len(data), np.uint64)
     for k in range(8):
         gram = gram << np.uint64(8) | wide[k : k + len(data)]
     at = np.flatnonzero(np.arange(len(data)) + 8 <= end)
-    bucket = np.zeros(len(data), np.int64)
+    bucket = np.zeros(len(data), np.int32)
     bucket[at] = np.unique(gram[at], return_inverse=True)[1] + 1
+    del gram, at, wide
     reach = 8
     while reach < length:
         bucket, reach = refine(bucket, reach, min(reach, length - reach), end)
     return bucket
 
 
+def stretches(order: np.ndarray, anchor: np.ndarray, spans: list[bytes]) -> Iterator[np.ndarray]:
+    """Spans in order of their anchors, in stretches of AT_ONCE bytes or one anchor; equal strings have equal anchors."""
+    if not len(order):
+        return
+    ends = np.cumsum([len(spans[i]) for i in order.tolist()])
+    last = np.flatnonzero(np.append(anchor[order][1:] != anchor[order][:-1], True)) + 1
+    a = done = 0
+    for b in last.tolist():
+        if ends[b - 1] - done >= AT_ONCE or b == len(order):
+            yield order[a:b]
+            a, done = b, ends[b - 1]
+
+
+def held_strings(spans: list[bytes], some: np.ndarray, least: np.ndarray, kind: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of runs of strings that a smaller document holds, for uses (kind, doc, start, size) of some spans."""
+    bytes_of = np.array([len(spans[i]) for i in some.tolist()])
+    bucket = string_buckets(np.frombuffer(b"".join(spans[i] for i in some.tolist()), np.uint8), bytes_of, length)
+    first = np.full(int(bucket.max(initial=0)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, bucket, np.repeat(least[some], bytes_of))
+    begin = np.cumsum(bytes_of) - bytes_of
+    by_kind = np.argsort(some)
+    p, n = by_kind[np.searchsorted(some[by_kind], kind)], size - length + 1
+    own = np.repeat(np.arange(len(kind)), n)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    held = first[bucket[begin[p][own] + step]] < doc[own]
+    own, step = own[held], step[held]
+    if not len(own):
+        return EMPTY, EMPTY, EMPTY
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (step[1:] != step[:-1] + 1)
+    a = np.flatnonzero(new)
+    z = np.append(a, len(own))[1:] - 1
+    return doc[own[a]], start[own[a]] + step[a], start[own[a]] + step[z] + length
+
+
 def mark_repeats(homes: int, length: int):
     """Step 3, per hash range: bytes of strings that a document with a smaller id holds."""
 
     def work(key, part):
         if key[0].as_py() < 0:
-            return table([(-1 - key[0].as_py(), joined(part["docs"]).tobytes(), None, joined(part["starts"]).tobytes(), joined(part["sizes"]).tobytes(), None)])
-        doc, h, start, size = joined(part["docs"]), joined(part["hashes"], np.uint64), joined(part["starts"]), joined(part["sizes"])
-        data = b"".join(part["data"].to_pylist())
+            return table([(-1 - key[0].as_py(), squeeze(joined(part["docs"])), None, squeeze(joined(part["starts"])), squeeze(joined(part["sizes"])), None)])
+        doc, h, start, size = joined(part["docs"]), joined(part["hashes"], np.uint32), joined(part["starts"]), joined(part["sizes"])
+        data = b"".join(zstandard.decompress(x) for x in part["data"].to_pylist())
         cut = np.cumsum(size)
         text: dict[bytes, int] = {}
         kind = np.fromiter((text.setdefault(data[x:y], len(text)) for x, y in zip((cut - size).tolist(), cut.tolist())), np.int64, len(size))
         least = np.full(len(text), np.iinfo(np.int64).max)
         np.minimum.at(least, kind, doc)
-        anchor = np.zeros(len(text), np.uint64)
+        anchor = np.zeros(len(text), np.uint32)
         anchor[kind] = h
         _, at, times = np.unique(anchor, return_inverse=True, return_counts=True)
         alone = times[at] == 1
         # The only span of its anchor: later documents hold all of it.
         whole = alone[kind] & (doc > least[kind])
         marks = [(doc[whole], start[whole], (start + size)[whole])]
+        spans = list(text)
         mixed = np.flatnonzero(~alone)
-        if len(mixed):
-            spans = list(text)
-            bytes_of = np.array([len(spans[i]) for i in mixed.tolist()])
-            bucket = string_buckets(np.frombuffer(b"".join(spans[i] for i in mixed.tolist()), np.uint8), bytes_of, length)
-            first = np.full(int(bucket.max(initial=0)) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(first, bucket, np.repeat(least[mixed], bytes_of))
-            begin = np.cumsum(bytes_of) - bytes_of
-            place = np.full(len(text), -1)
-            place[mixed] = np.arange(len(mixed))
-            use = np.flatnonzero(~alone[kind])
-            p, n = place[kind[use]], size[use] - length + 1
-            own = np.repeat(np.arange(len(use)), n)
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            held = first[bucket[begin[p][own] + step]] < doc[use][own]
-            own, step = own[held], step[held]
-            new = np.ones(len(own), bool)
-            new[1:] = (own[1:] != own[:-1]) | (step[1:] != step[:-1] + 1)
-            a = np.flatnonzero(new)
-            z = np.append(a, len(own))[1:] - 1
-            marks.append((doc[use][own[a]], start[use][own[a]] + step[a], start[use][own[a]] + step[z] + length) if len(own) else (EMPTY, EMPTY, EMPTY))
+        for some in stretches(mixed[np.argsort(anchor[mixed], kind="stable")], anchor, spans):
+            use = np.flatnonzero(np.isin(kind, some))
+            marks.append(held_strings(spans, some, least, kind[use], doc[use], start[use], size[use], length))
+        give_back()
         return table(marks_to_home(*(np.concatenate(x) for x in zip(*marks)), homes, negative=False))
 
     return work
@@ -327,7 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, c
     other, but share their marks; an empty table gives no rows.
     """
     parts = conf_int(docs.sparkSession, "spark.sql.shuffle.partitions", 200)
-    groups, homes = 8 * parts, 4 * parts + 1
+    groups, homes = parts, parts + 1
     columns = [f"carry_{k}" for k in range(len(carry))]
     at = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
     texts = docs.select(F.pmod(at + F.shiftright(at, 16), F.lit(homes)).cast("bigint").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in zip(carry, columns)])

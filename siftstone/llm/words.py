@@ -22,7 +22,7 @@ _powers: list[np.ndarray] = []
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 << 20)
+        size = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _powers[0], _powers[1]
