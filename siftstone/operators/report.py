@@ -149,6 +149,15 @@ def html_page(files: DataFrame, title: str = "Scan report", most: int = 1000) ->
     return f"<!doctype html><title>{html.escape(title)}</title><table><tr><th>File</th><th>Categories</th><th>Severity</th><th>Explanation</th></tr>{cells}</table>"
 
 
+# File endings by format.
+ENDINGS = {"json": "json", "markdown": "md", "sarif": "sarif.json", "html": "html"}
+
+
+def file_name(kind: str, when) -> str:
+    """Name of a report's file for a time in UTC."""
+    return f"scan_{when:%Y%m%d_%H%M%S}.{ENDINGS.get(kind, 'txt')}"
+
+
 def formatted(files: DataFrame, kind: str) -> str:
     """The report as text: json, markdown, sarif, html; any other name gives the terminal's lines."""
     if kind == "json":

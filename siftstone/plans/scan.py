@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.functions.responses import parse_findings
+from siftstone.functions.responses import parse_detailed, parse_findings
 from siftstone.functions.rules import safety_net
 from siftstone.functions.text import chunks
 from siftstone.operators.findings import enriched, merge_nested, with_default
-from siftstone.schema import FINDINGS
+from siftstone.schema import FINDINGS, finding
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -39,3 +39,26 @@ def scan(docs: DataFrame, responses: DataFrame | None = None, text: str = "text"
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     found = F.concat("found", safety_net(F.col("text"), F.col("found")))
     return base.select("doc_id", path.alias("path"), F.lit("text").alias("kind"), F.octet_length("text").cast("bigint").alias("size"), with_default(enriched(found, path, F.col("text")), F.col("text")).alias("findings"))
+
+
+# Characters of OCR text shown as evidence, and of attachments that are looked at.
+EXCERPT, ATTACHMENT_CHARS = 200, 5000
+
+
+def image_findings(images: DataFrame) -> DataFrame:
+    """(path, findings) of images (path, ocr_text, response): a vision model's answer, with the OCR text as evidence.
+
+    Text that the model says nothing of is unclassified, of medium severity; an image without both is safe. The rule net
+    doesn't read images' text.
+    """
+    text = F.trim(F.coalesce("ocr_text", F.lit("")))
+    said = F.transform(parse_detailed(F.col("response"), "vision"), lambda f: f.withField("evidence", F.when(text != "", F.substring(text, 1, EXCERPT)).otherwise("[image content]")))
+    unread = F.array(finding(F.lit("unclassified"), F.lit("unclassified"), F.lit("Text without a classification."), F.lit("medium"), F.lit("ocr"), evidence=F.substring(text, 1, EXCERPT))).cast(FINDINGS)
+    safe = F.array(finding(F.lit("safe"), F.lit("safe.media"), F.lit("Nothing of concern found."), F.lit("info"), F.lit("scanner"))).cast(FINDINGS)
+    return images.select("path", F.when(F.size(said) > 0, said).when(text != "", unread).otherwise(safe).alias("findings"))
+
+
+def attachment_documents(parts: DataFrame) -> DataFrame:
+    """(doc_id, text) of mail parts with text: "file#part" and the first characters, not chunked."""
+    named = F.concat("path", F.lit("#"), F.col("part_no").cast("string"))
+    return parts.where(F.trim("text") != "").select(named.alias("doc_id"), F.substring("text", 1, ATTACHMENT_CHARS).alias("text"))

@@ -109,3 +109,20 @@ def text_of(path_extension: Column, content: Column) -> Column:
     from siftstone.sources.files import decoded, printable_runs
 
     return F.when(path_extension.isin(*_OFFICE), office(path_extension, content)).when(path_extension == "doc", printable_runs(content)).otherwise(decoded(content))
+
+
+def pdf_text(content: bytes | None) -> str | None:
+    """Text of a PDF's pages if a reader is installed; null otherwise, or if there is no text."""
+    try:
+        import pypdf
+    except ImportError:
+        return None
+    try:
+        return "\n\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content or b"")).pages).strip() or None
+    except Exception:  # a broken file has no text
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def pdf(content: pd.Series) -> pd.Series:
+    return content.map(pdf_text)
