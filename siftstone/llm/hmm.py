@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import batches, forget, held_out, stream, text_array, text_bytes, written
+from siftstone.llm.common import batches, forget, give_back, held_out, stream, text_array, text_bytes, written
 from siftstone.llm.words import bounds, hashes
 
 CLASSES = 64
@@ -126,6 +126,7 @@ def tokenised(docs: DataFrame, vocabulary) -> DataFrame:
                     names=[c.split()[0] for c in TOKENS.split(", ")],
                 )
                 uid += b - a
+            give_back()
 
     return docs.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "text").mapInArrow(work, TOKENS)
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import batches, held_out, text_array
+from siftstone.llm.common import batches, give_back, held_out, text_array
 
 ORDER, BITS = 4, 10
 CLASSES = 1 << BITS
@@ -212,16 +212,17 @@ def judged(docs: DataFrame, docs_a_language: int, margin: float, learn_from: Col
         scorer = Scorer(models)
         for batch in incoming:
             texts = text_array(batch.column("text"))
-            for a, b in batches(texts, 4 << 20):
-                nats, length, has = scorer(texts.slice(a, b - a))
-                if not names:
-                    has[:] = False
-                    nats = np.zeros((b - a, 1))
+            for a, b in batches(texts, 1 << 20):
+                if names:
+                    nats, length, has = scorer(texts.slice(a, b - a))
+                else:
+                    nats, length, has = np.zeros((b - a, 1)), np.zeros(b - a), np.zeros(b - a, bool)
                 best = nats.argmin(1)
                 least = nats[np.arange(b - a), best]
                 score = 1 / np.exp(-(nats - least[:, None]) * np.minimum(length, 100)[:, None]).sum(1)
                 beyond = least > limits[best, 0] + limits[best, 1] / np.sqrt(np.maximum(length, 1)) if names else ~has
                 yield batch.slice(a, b - a), ([names[i] if y else UNKNOWN for i, y in zip(best.tolist(), has.tolist())], np.where(has, score, 0.0), least, has, beyond | ~has)
+            give_back()
 
     return judge
 

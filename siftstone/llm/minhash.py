@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import batches, mix, small_or_shuffled, stream, text_array, text_bytes, written
+from siftstone.llm.common import batches, forget, give_back, mix, scratch, small_or_shuffled, stream, text_array, text_bytes, written
 from siftstone.llm.components import components, forest
 from siftstone.llm.words import shingle_sets
 
@@ -63,6 +63,7 @@ def signatures(docs: DataFrame, words: int, side: int) -> DataFrame:
                     ],
                     names=["doc_id", "n", "d1", "d2", "a", "b"],
                 )
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
@@ -107,7 +108,9 @@ def unsettled(stars: DataFrame, classes: DataFrame) -> DataFrame:
     placed = written(clusters.join(named, F.col("text") == F.col("t"), "left").select("cluster", "text", F.coalesce("component", "text").alias("component")), "clusters")
     size = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high AND rows > 2")
     parts = F.greatest(F.ceil(F.col("rows") / LARGE_PART), F.least(F.lit(PARTS), F.ceil(F.col("rows") / PART)))
-    return placed.join(size.select(F.col("cluster").alias("c"), parts.alias("parts")), F.col("cluster") == F.col("c")).select("cluster", "text", "component", "parts")
+    # Counted, so that a small table of sizes is broadcast and a large cluster's rows aren't dealt by their cluster.
+    sizes = small_or_shuffled(written(size.select(F.col("cluster").alias("c"), parts.alias("parts")), "sizes"))
+    return placed.join(sizes, F.col("cluster") == F.col("c")).select("cluster", "text", "component", "parts")
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray], block: int = 4096) -> np.ndarray:
@@ -167,26 +170,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     real = sigs.where("n > 0 AND doc_id IS NOT NULL")
     texts = written(real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("text"), F.first("a").alias("a"), F.first("b").alias("b")), "texts")
     tables = texts.select("text", F.explode(F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, j, x, y))))).alias("key"))
-    shared = written(tables.groupBy("key").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.count(F.lit(1)).alias("rows")).where("least < most"), "tables").select(F.col("key").alias("k"), "least")
-    members = written(tables.join(small_or_shuffled(shared), F.col("key") == F.col("k")).select("key", "text", "least"), "members")
-    stars = written(members.where("text <> least").select(F.col("least").alias("u"), F.col("text").alias("v")).distinct(), "stars")
+    full = written(tables.groupBy("key").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.count(F.lit(1)).alias("rows")).where("least < most"), "tables")
+    shared = full.select(F.col("key").alias("k"), "least")
+    members = tables.join(small_or_shuffled(shared), F.col("key") == F.col("k")).where("text <> least")
+    stars = written(members.select(F.col("least").alias("u"), F.col("text").alias("v")).distinct(), "stars")
     ids = written(stars.select(F.col("u").alias("id")).union(stars.select("v")).distinct(), "ids")
     sets = written(sets_of(docs, ids, words), "sets")
     links = written(verified(stars, sets, percent), "verified")
-    first = written(components(links), "components")
-    rest = written(unsettled(stars, first), "unsettled")
+    classes = written(components(links), "components")
+    rest = written(unsettled(stars, classes), "unsettled")
+    first = classes
     if not rest.isEmpty():
         first = written(components(links.union(links_within(rest, sets, percent))), "components")
+        forget(classes)
+    for done in (full, stars, ids, sets, links, rest):
+        forget(done)
     named = first.select(F.col("node").alias("t"), "component")
-    classes = texts.select(F.col("n").alias("tn"), F.col("d1").alias("t1"), F.col("d2").alias("t2"), "text").join(named, F.col("text") == F.col("t"), "left").select("tn", "t1", "t2", F.coalesce("component", "text").alias("component_id"))
-    out = sigs.join(classes, (F.col("n") == F.col("tn")) & (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2")) & F.col("doc_id").isNotNull(), "left")
+    named_texts = texts.select(F.col("n").alias("tn"), F.col("d1").alias("t1"), F.col("d2").alias("t2"), "text").join(named, F.col("text") == F.col("t"), "left").select("tn", "t1", "t2", F.coalesce("component", "text").alias("component_id"))
+    out = sigs.join(named_texts, (F.col("n") == F.col("tn")) & (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2")) & F.col("doc_id").isNotNull(), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, without those that `near_duplicates` doesn't keep; of rows that repeat a doc_id one stays."""
-    gone = written(near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    with scratch() as made:
+        gone = written(near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+        made[:] = [t for t in made if t is not gone]
     left = docs.join(small_or_shuffled(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
     again = written(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__again"), "again")
     if again.isEmpty():

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from siftstone.llm.common import batches, text_array, text_bytes
+from siftstone.llm.common import batches, give_back, text_array, text_bytes
 from siftstone.llm.words import bounds, hashes
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Words a worker keeps with their ids (some 40 bytes each); when full, the memory starts anew. Results don't depend on it.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 #: Stands between words that are tokenised together; words that hold it are tokenised alone.
 MARK = "\x01"
 _kept: dict[str, WordIds] = {}
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
             texts = text_array(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64())
             doc_ids, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in batches(texts, 4 << 20):
+            for a, b in batches(texts, 2 << 20):
                 tokens, first = words.encode(*text_bytes(texts.slice(a, b - a)), end_id)
                 lengths = np.diff(first)
                 doc, start, size = cut(lengths, capacity)
@@ -189,6 +189,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
                 sequence, offset, done, serial = place(rows[3], capacity, serial, last=False)
                 yield sent(rows, sequence, offset, done)
                 wait = [x[~done] for x in rows]
+            give_back()
         sequence, offset, done, serial = place(wait[3], capacity, serial, last=True)
         yield sent(wait, sequence, offset, done)
 

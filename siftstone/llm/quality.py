@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import batches, held_out, text_array, text_bytes
+from siftstone.llm.common import batches, give_back, held_out, text_array, text_bytes
 from siftstone.llm.words import bounds, hashes
 
 TRIGRAMS = 2048
@@ -121,5 +121,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_a_class: int = 2000
             for a, b in batches(texts):
                 score = np.clip(vote(model.value, *text_bytes(texts.slice(a, b - a)), k, power), 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), batch.column("held_out")[a:b], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            give_back()
 
     return docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text").mapInArrow(work, SCHEMA)

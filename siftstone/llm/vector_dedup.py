@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import written
+from siftstone.llm.common import forget, written
 from siftstone.llm.components import components, forest
 from siftstone.llm.vectors import finite, in_blocks, matrix, rotations
 
@@ -115,6 +115,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         return pa.table({"rep": rep[hit], "n": n[hit].astype(np.int64), "root": rep[root[hit]]})
 
     found = written(dealt.groupBy("label", "dim", "b1", "b2").applyInArrow(compare, f"rep {kinds['rep']}, n bigint, root {kinds['rep']}"), "links")
+    forget(blocks)
     named = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n")).select(F.col("rep").alias("c_rep"), "n")
     classes = texts.select("rep", "copies", *[F.col(c).alias(f"t_{c}") for c in same]).join(counts, F.col("rep") == F.col("c_rep"), "left").join(named, F.col("rep") == F.col("node"), "left")
