@@ -25,7 +25,7 @@ def order_hash(column: Column) -> Column:
 
 
 def source_slots(docs: DataFrame, weights: dict[str, float] | None, period: int) -> DataFrame:
-    """One row a source: `slots` of the period's `total`. Sources without a positive weight have null slots."""
+    """One row a source: `slots` of the period's `total`, and its place among sources of its kind. Sources without a positive weight have null slots."""
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         n = n.withColumn("weight", F.sqrt("n"))
@@ -35,7 +35,8 @@ def source_slots(docs: DataFrame, weights: dict[str, float] | None, period: int)
     every = Window.partitionBy(F.lit(0))
     share = F.round(F.lit(period) * F.col("weight") / F.sum("weight").over(every)).cast("bigint")
     n = n.withColumn("slots", F.when(F.col("weight").isNotNull(), F.greatest(F.lit(1).cast("bigint"), share)))
-    return n.withColumn("total", F.sum("slots").over(every)).select("source", "slots", "total")
+    last = F.row_number().over(Window.partitionBy(F.col("slots").isNull()).orderBy("source"))
+    return n.withColumn("total", F.sum("slots").over(every)).select("source", "slots", "total", last.cast("bigint").alias("place"))
 
 
 def period_schedule(slots: DataFrame) -> DataFrame:
@@ -65,7 +66,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period
     """The place of every document in a stream mixed to target weights.
 
     weights: target by source (need not sum to 1); None: the square root of each source's number of documents.
-    Sources that it doesn't name, or names with 0, follow after all others. period: slots into which weights are
+    Sources that it doesn't name, or names with 0, follow after all
+    others, one after another. period: slots into which weights are
     rounded (each named source has one at least). buckets: bound for the rows of a source that meet in a task is its
     rows / buckets; it doesn't change the result.
 
@@ -82,10 +84,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period
     ranked = rows.withColumn("near", near).join(before, (F.col("source") == F.col("b_source")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("rank", F.col("before") + F.col("near"))
     # One row a source, and one a slot of the period: bounded by the parameters.
     place = period_schedule(slots).select(F.col("source").alias("p_source"), "turn", F.col("slot").alias("first_slot"))
-    slots = slots.select(F.col("source").alias("s_source"), "slots", "total")
+    slots = slots.select(F.col("source").alias("s_source"), "slots", "total", "place")
     out = ranked.join(F.broadcast(slots), F.col("source") == F.col("s_source")).withColumn("block", F.expr(f"rank DIV {block_docs}")).withColumn("turn_of", F.expr("block % slots"))
     out = out.join(F.broadcast(place), (F.col("source") == F.col("p_source")) & (F.col("turn_of") == F.col("turn")), "left")
-    late = F.lit(1 << 40) + F.col("block")
+    late = F.lit(1 << 40) + F.col("place") * (1 << 32) + F.col("block")
     out = out.select(
         "doc_id",
         "source",
