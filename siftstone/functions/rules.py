@@ -130,26 +130,23 @@ def unsafe_yaml(text: Column, every: bool = False) -> Column:
     return F.coalesce(text.contains("yaml.load") & (at > 0) & ~near.rlike(unicode(YAML_SAFE)), F.lit(False))
 
 
-def safety_net(text: Column, found: Column | None = None, rules: list[Rule] = RULES) -> Column:
+def safety_net(text: Column, found: Column | None = None, rules: list[Rule] = RULES, numbers: Column | None = None) -> Column:
     """Findings of the rule net over a text.
 
     found: findings that a model has made; rules of a category among them are skipped. Order is rule order, then the
-    yaml check, which only speaks where no other exploit rule has.
+    yaml check, which only speaks where no other exploit rule has. numbers: a column made by `rule_numbers`, so that a
+    plan tests the patterns once, in a projection of its own, and extracts only where one has matched.
     """
+    hit = rule_numbers(text, rules) if numbers is None else numbers
     have = lambda category: F.lit(False) if found is None else F.coalesce(F.exists(found, lambda f: f["category"] == category), F.lit(False))
-    by_sub: dict[str, list[int]] = {}
-    for n, rule in enumerate(rules):
-        by_sub.setdefault(rule.subcategory, []).append(n)
-    parts = []
-    for sub, numbers in by_sub.items():
-        hit = F.coalesce(*[F.when(matches(text, rules[n]), F.struct(F.lit(n).alias("n"), rule_finding(text, rules[n]).alias("f"))) for n in numbers])
-        parts.append(F.when(~have(sub.split(".")[0]), hit))
-    hits = F.array_sort(F.array_compact(F.array(*parts)), lambda a, b: a["n"] - b["n"])
-    net = F.transform(hits, lambda h: h["f"]).cast(FINDINGS)
+    speaks = lambda n: F.array_contains(hit, n) & ~have(rules[n].subcategory.split(".")[0])
+    net = F.array_compact(F.array(*[F.when(speaks(n), rule_finding(text, r)) for n, r in enumerate(rules)]))
     call = F.substring(F.get(F.regexp_extract_all(text, F.lit(unicode(YAML_LOAD)), F.lit(0)), F.lit(0)), 1, 200)
     yaml = F.array(finding(F.lit("malicious"), F.lit("malicious.exploit"), F.lit("yaml load without safe loader"), F.lit("critical"), F.lit("regex"), evidence=call)).cast(FINDINGS)
-    quiet = ~have("malicious") & ~F.exists(net, lambda f: f["subcategory"] == "malicious.exploit")
-    return F.concat(net, F.when(quiet & unsafe_yaml(text), yaml).otherwise(F.array().cast(FINDINGS)))
+    exploits = F.arrays_overlap(hit, F.array(*[F.lit(n) for n, r in enumerate(rules) if r.subcategory == "malicious.exploit"]))
+    none = F.array().cast(FINDINGS)
+    rest = F.when(~have("malicious") & unsafe_yaml(text) & ~exploits, yaml).otherwise(none)
+    return F.concat(F.when(F.size(hit) > 0, net.cast(FINDINGS)).otherwise(none), rest)
 
 
 # Order in which the baseline classifier prefers categories, and the characters it reads.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions.responses import parse_detailed, parse_findings
-from siftstone.functions.rules import safety_net
+from siftstone.functions.rules import rule_numbers, safety_net
 from siftstone.functions.text import chunks
 from siftstone.operators.findings import enriched, merge_nested, with_default
 from siftstone.schema import FINDINGS, finding
@@ -37,8 +37,11 @@ def scan(docs: DataFrame, responses: DataFrame | None = None, text: str = "text"
         lists = parsed.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "f")), lambda a, b: a["chunk_no"] - b["chunk_no"]), lambda c: c["f"])).alias("found"))
         base = base.join(lists, "doc_id", "left").withColumn("found", merge_nested(F.coalesce("found", F.array().cast(FINDINGS))))
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    found = F.concat("found", safety_net(F.col("text"), F.col("found")))
-    return base.select("doc_id", path.alias("path"), F.lit("text").alias("kind"), F.octet_length("text").cast("bigint").alias("size"), with_default(enriched(found, path, F.col("text")), F.col("text")).alias("findings"))
+    # One step a projection: each is read several times by the next, and Spark doesn't inline what is costly.
+    base = base.withColumn("numbers", rule_numbers(F.col("text")))
+    base = base.withColumn("all", F.concat("found", safety_net(F.col("text"), F.col("found"), numbers=F.col("numbers"))))
+    base = base.withColumn("all", enriched(F.col("all"), path, F.col("text")))
+    return base.select("doc_id", path.alias("path"), F.lit("text").alias("kind"), F.octet_length("text").cast("bigint").alias("size"), with_default(F.col("all"), F.col("text")).alias("findings"))
 
 
 # Characters of OCR text shown as evidence, and of attachments that are looked at.

@@ -20,7 +20,7 @@ def landing(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataF
 def alerts(rows: DataFrame, text: str = "text") -> DataFrame:
     """One row a rule that speaks first for its subcategory: all columns but the text, rule, subcategory, severity, sev_rank."""
     names, subs, severities = (F.array(*[F.lit(r[k]) for r in RULES]) for k in (0, 1, 2))
-    hit = rows.withColumn("n", F.explode(rule_numbers(F.col(text)))).drop(text)
+    hit = rows.withColumn("n", F.explode_outer(rule_numbers(F.col(text)))).where("n IS NOT NULL").drop(text)
     of = lambda array: F.element_at(array, F.col("n") + 1)
     return hit.select("*", of(names).alias("rule"), of(subs).alias("subcategory"), of(severities).alias("severity")).withColumn("sev_rank", severity_rank(F.col("severity"))).drop("n")
 
