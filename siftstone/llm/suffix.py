@@ -36,6 +36,8 @@ AT_ONCE, TOGETHER = 1 << 19, 4 << 20
 #: Rows between steps: packed blobs of document ids and of what belongs to each, by group.
 PARTS = "key bigint, docs binary, hashes binary, starts binary, sizes binary, data binary"
 EMPTY = np.zeros(0, np.int64)
+#: In place of a document's id: several documents of a batch, or a null id.
+NO_ID = np.iinfo(np.int64).min
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +133,7 @@ def all_anchors(texts: pa.Array, length: int) -> tuple[np.ndarray, ...]:
 
 
 def send_anchors(groups: int, homes: int, length: int):
-    """Step 1, per batch: distinct anchors by hash range. Those of several documents of the batch are known to be shared (document -1)."""
+    """Step 1, per batch: distinct anchors by hash range. Those of several documents of the batch are known to be shared (NO_ID)."""
 
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
@@ -147,7 +149,7 @@ def send_anchors(groups: int, homes: int, length: int):
                 first[1:] = h[1:] != h[:-1]
                 times = np.diff(np.append(np.flatnonzero(first), len(h)))
                 several = np.repeat(times > 1, times)
-                asked, least = np.where(several, -1, doc)[first], h[first]
+                asked, least = np.where(several, NO_ID, doc)[first], h[first]
                 key = ranges(least, groups)
                 order = np.argsort(key, kind="stable")
                 key, asked, least = key[order], asked[order], least[order]
@@ -174,7 +176,7 @@ def find_shared(homes: int):
         first[1:] = h[1:] != h[:-1]
         times = np.diff(np.append(np.flatnonzero(first), len(h)))
         # A document alone in the batch that asks; others in other batches, or several in one, settled already.
-        tell = np.repeat(times > 1, times) & (doc >= 0)
+        tell = np.repeat(times > 1, times) & (doc != NO_ID)
         return table(blobs(home(doc[tell], homes), doc[tell], h[tell]))
 
     return work
@@ -339,7 +341,7 @@ def cut_documents(columns: Sequence[str], with_text: bool):
         order = np.lexsort((start, doc))
         doc, start, end = doc[order], start[order], end[order]
         ids = docs["doc_id"].to_pylist()
-        known = np.array([-1 if i is None else i for i in ids])
+        known = np.array([NO_ID if i is None else i for i in ids], np.int64)
         low, high = np.searchsorted(doc, known).tolist(), np.searchsorted(doc, known, "right").tolist()
         size, removed, count, digest, kept = [], [], [], [], []
         for i, text, a, b in zip(ids, docs["text"].to_pylist(), low, high):
@@ -370,8 +372,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, c
     Texts are UTF-8 bytes (null: empty); strings are judged on the input and never cross documents. Returns a row a
     document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes).
     with_text adds kept_text: the text without the characters wholly within removed runs, so that it stays valid; a
-    null text stays null. carry names columns of `docs` to pass on, as carry_0, carry_1, ... Ids are integers of 0 or
-    more; rows with a null id take no part and keep all. Rows that repeat a doc_id don't count as earlier for each
+    null text stays null. carry names columns of `docs` to pass on, as carry_0, carry_1, ... Rows with a null id take no part and keep all. Rows that repeat a doc_id don't count as earlier for each
     other, but share their marks; an empty table gives no rows.
     """
     parts = conf_int(docs.sparkSession, "spark.sql.shuffle.partitions", 200)

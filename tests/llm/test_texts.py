@@ -153,6 +153,12 @@ def test_repeats_null_ids_repeats_and_empty(docs):
     assert suffix.remove_repeats(docs({})).count() == 0
 
 
+def test_negative_ids_are_earlier(docs):
+    texts = {-7: "q" * 70, -1: "q" * 60, 3: "q" * 50 + "r"}
+    got = suffix.remove_repeats(docs(texts)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == repeats_by_force(texts, 50)
+
+
 def test_cut_texts_keep_columns_and_characters(docs):
     body = "é" * 40
     left = suffix.without_repeats(docs({1: "a" + body, 2: "bb" + body, 3: None}), 50)
