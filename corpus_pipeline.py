@@ -7,13 +7,15 @@ the columns of documents:
 2. near_dedup: one document of each class of near copies (five-word shingles, similarity 0.8 or more) stays.
 3. passage_dedup: passages of 50 bytes and more that an earlier document holds are cut out of texts.
 4. mix_sources: rows are sorted into a stream in which each source has its target weight.
-5. packing: each file's stretch of that stream is packed into sequences of 4096 tokens.
+5. packing: stretches of that stream, in its order, are packed into sequences of 4096 tokens; sequence_id grows along it.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftstone.llm import language, minhash, mixing, packing, suffix
 from siftstone.llm.common import written
@@ -35,8 +37,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def stream_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text in the order they were written in, over partitions too: by number of the part file, then by row.
+
+    A reader deals files (or pieces of them) to partitions by size. What wasn't read from Parquet keeps its own order.
+    """
+    try:
+        at = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return docs.select("doc_id", "text")
+    # Numbers are padded to a fixed width only up to 99999 (parts) and 999 (files of a part).
+    part, file = (F.coalesce(F.regexp_extract("__file", p, 1).try_cast("bigint"), F.lit(0)) for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    return at.orderBy(part, file, "__file", "__row").select("doc_id", "text")
+
+
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(stream_order(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("mix_sources", mix_sources), ("packing", pack_tokens)]

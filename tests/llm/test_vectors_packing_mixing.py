@@ -216,6 +216,25 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
 
 
+def test_packing_follows_the_mixed_stream(spark, docs, tmp_path):
+    # Part files grow along the stream, and a reader takes the largest first.
+    made = docs([(i, "many words to pack here " * (2 + i)) for i in range(400)])
+    made.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "mixed"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packed = corpus_pipeline.pack_tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["doc_id"] for r in packed} == set(range(400))
+    tasks = defaultdict(set)
+    for r in packed:
+        tasks[r["sequence_id"] >> 40].add(r["doc_id"])
+    stretches = [tasks[k] for k in sorted(tasks)]
+    assert len(stretches) > 1 and all(max(a) < min(b) for a, b in zip(stretches, stretches[1:]))
+    back = corpus_pipeline.stream_order(spark.read.parquet(str(tmp_path / "mixed")))
+    assert [r["doc_id"] for r in back.collect()] == list(range(400)) and back.columns == ["doc_id", "text"]
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     import shutil
 
