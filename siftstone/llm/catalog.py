@@ -52,7 +52,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), whole_slots=True)  # as its SQL has it
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,14 +1,20 @@
 """Mixing sources to target weights by proportionate-fair (Pfair) scheduling, in DataFrame functions only.
 
-Each source's documents, in a seeded order, are cut into blocks. With n of Q slots a period, block j (from 0) of a source
-may not be placed before floor(j * Q / n) and is due by ceil((j + 1) * Q / n). In every slot the released block
-with the earliest deadline is placed (ties: the source's name). Windows of this kind are always met by earliest deadline
-first, so after every slot each source has had its target number of blocks to within less than one, up to the
-slot where the first source runs out. The rest of the sources keep their slots then: nothing is dropped.
-
-The windows repeat with the period, so the schedule of one period (a bounded number of slots, whatever the data)
-gives the slot of every block. Ranks within a source come from small buckets and the counts of earlier buckets: no
-source, however large, meets in one task.
+Each source's documents, in a seeded order, are cut into blocks. Slots come in periods of about Q. By the end of period p
+a source of weight w (of all weights) has had floor((p + 1) * w * Q + phase) blocks, so what rounding takes from it in one
+period it gets in a later one; a small source gets a block in some periods only. Phases are spread over [0, 1), so that
+small sources don't all wait for the same period. Within a period of L slots, block j (from 0) of a source's n may not be
+placed before floor(j * L / n) and is due by ceil((j + 1) * L / n). In every slot the released block with the earliest
+deadline is placed (ties: the source's name). Windows of this kind are always met by earliest deadline first.
+
+So, up to the slot where the first source runs out, a source's number of blocks differs from its true share by less than
+2 + w * (number of sources), however long the stream. The rest of the sources keep their slots then: nothing is dropped.
+
+Periods are scheduled apart from one another. Ranks within a source come from small buckets and the counts of earlier
+buckets: no source, however large, meets in one task.
+
+`whole_slots=True` is the schedule that op10_pfair_mixing's SQL gives: weights are rounded to whole slots of one period (one
+a source at least), which repeats. Its deviation from the true weights grows with the data.
 """
 
 from __future__ import annotations
@@ -17,6 +23,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NO_SOURCE = "(none)"
+#: Of `tasks` (source, slots) and `total`: what is placed in each slot, as (i, turn).
+EARLIEST_DEADLINE = """aggregate(
+             sequence(0L, total - 1L),
+             named_struct('had', transform(tasks, x -> 0L), 'placed', CAST(array() AS ARRAY<STRUCT<i: INT, turn: BIGINT>>)),
+             (state, t) -> aggregate(
+               array(array_min(transform(tasks, (x, i) -> IF(state.had[i] * total DIV x.slots <= t,
+                     named_struct('due', ((state.had[i] + 1L) * total + x.slots - 1L) DIV x.slots, 'i', i), NULL)))),
+               state,
+               (s, best) -> named_struct(
+                 'had', transform(s.had, (c, i) -> IF(i = best.i, c + 1L, c)),
+                 'placed', concat(s.placed, array(named_struct('i', best.i, 'turn', s.had[best.i]))))),
+             state -> state.placed)"""
 
 
 def order_hash(column: Column) -> Column:
@@ -24,14 +42,18 @@ def order_hash(column: Column) -> Column:
     return F.pmod(F.pmod(F.coalesce(column, F.lit(-1)).cast("bigint"), F.lit(2147483648)) * F.lit(1103515245) + F.lit(12345), F.lit(2147483648))
 
 
-def source_slots(docs: DataFrame, weights: dict[str, float] | None, period: int) -> DataFrame:
-    """One row a source: `slots` of the period's `total`, and its place among sources of its kind. Sources without a positive weight have null slots."""
-    n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+def weighted(counts: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """One row a source: its documents `n` and its `weight`, null without a positive one."""
+    n = counts.groupBy("source").agg(F.sum("n").alias("n"))
     if weights is None:
-        n = n.withColumn("weight", F.sqrt("n"))
-    else:
-        given = [kv for name, w in weights.items() if w > 0 for kv in (F.lit(name), F.lit(float(w)))]
-        n = n.withColumn("weight", F.try_element_at(F.create_map(*given), F.col("source")) if given else F.lit(None).cast("double"))
+        return n.withColumn("weight", F.sqrt("n"))
+    given = [kv for name, w in weights.items() if w > 0 for kv in (F.lit(name), F.lit(float(w)))]
+    return n.withColumn("weight", F.try_element_at(F.create_map(*given), F.col("source")) if given else F.lit(None).cast("double"))
+
+
+def source_slots(counts: DataFrame, weights: dict[str, float] | None, period: int) -> DataFrame:
+    """One row a source: `slots` of the period's `total`, and its place among sources of its kind. Sources without a positive weight have null slots."""
+    n = weighted(counts, weights)
     every = Window.partitionBy(F.lit(0))
     share = F.round(F.lit(period) * F.col("weight") / F.sum("weight").over(every)).cast("bigint")
     n = n.withColumn("slots", F.when(F.col("weight").isNotNull(), F.greatest(F.lit(1).cast("bigint"), share)))
@@ -45,30 +67,57 @@ def period_schedule(slots: DataFrame) -> DataFrame:
     One row, of as many entries as the period has slots: its size is a parameter, not a function of the data.
     """
     task = slots.where("slots IS NOT NULL").groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "slots"))).alias("tasks"), F.max("total").alias("total")).where("size(tasks) > 0")
-    plan = task.selectExpr(
-        "tasks",
-        """aggregate(
-             sequence(0L, total - 1L),
-             named_struct('had', transform(tasks, x -> 0L), 'placed', CAST(array() AS ARRAY<STRUCT<i: INT, turn: BIGINT>>)),
-             (state, t) -> aggregate(
-               array(array_min(transform(tasks, (x, i) -> IF(state.had[i] * total DIV x.slots <= t,
-                     named_struct('due', ((state.had[i] + 1L) * total + x.slots - 1L) DIV x.slots, 'i', i), NULL)))),
-               state,
-               (s, best) -> named_struct(
-                 'had', transform(s.had, (c, i) -> IF(i = best.i, c + 1L, c)),
-                 'placed', concat(s.placed, array(named_struct('i', best.i, 'turn', s.had[best.i]))))),
-             state -> state.placed) AS placed""",
-    )
+    plan = task.selectExpr("tasks", f"{EARLIEST_DEADLINE} AS placed")
     return plan.select("tasks", F.posexplode("placed").alias("slot", "p")).select(F.col("tasks")[F.col("p.i")]["source"].alias("source"), F.col("p.turn").alias("turn"), F.col("slot").cast("bigint").alias("slot"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period: int = 1024, block_docs: int = 16, buckets: int = 1024) -> DataFrame:
+def carried_schedule(counts: DataFrame, weights: dict[str, float] | None, period: int, block_docs: int) -> DataFrame:
+    """(source, block, slot, release, deadline) for every block of the sources with a weight; remainders go to later periods."""
+    n = weighted(counts, weights).where("weight IS NOT NULL").selectExpr("source", "weight", f"(n + {block_docs - 1}) DIV {block_docs} AS blocks")
+    one = n.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "weight", "blocks"))).alias("t")).where("size(t) > 0")
+    one = one.selectExpr("t", f"{period} / aggregate(t, 0D, (s, x) -> s + x.weight) AS rate")
+    one = one.selectExpr("transform(t, (x, i) -> named_struct('source', x.source, 'rate', x.weight * rate, 'phase', (i * 0.6180339887498949D) % 1D, 'blocks', x.blocks)) AS t")
+    at = one.selectExpr("explode(sequence(0L, array_max(transform(t, x -> CAST(ceil((x.blocks + 1) / x.rate) AS BIGINT))))) AS p").repartition("p").crossJoin(F.broadcast(one))
+    at = at.selectExpr("t", "transform(t, x -> CAST(floor(p * x.rate + x.phase) AS BIGINT)) AS had", "transform(t, x -> CAST(floor((p + 1) * x.rate + x.phase) AS BIGINT)) AS next")
+    at = at.selectExpr(
+        "aggregate(had, 0L, (s, x) -> s + x) AS start",
+        "aggregate(next, 0L, (s, x) -> s + x) - aggregate(had, 0L, (s, x) -> s + x) AS total",
+        "filter(transform(t, (x, i) -> named_struct('source', x.source, 'slots', next[i] - had[i], 'had', had[i], 'blocks', x.blocks)), x -> x.slots > 0) AS tasks",
+    )
+    at = at.selectExpr("*", "filter(tasks, x -> x.had < x.blocks) AS live").where("size(live) > 0")
+    # A source that is left alone is placed at its releases; in a long tail no more needs doing.
+    alone = "IF(size(live) = 1, transform(sequence(0L, live[0].slots - 1L), j -> named_struct('i', CAST(array_position(tasks, live[0]) - 1 AS INT), 'turn', j, 'slot', j * total DIV live[0].slots)),"
+    at = at.selectExpr("start", "total", "tasks", f"inline({alone} transform({EARLIEST_DEADLINE}, (x, t) -> named_struct('i', x.i, 'turn', x.turn, 'slot', CAST(t AS BIGINT)))))")
+    at = at.selectExpr("tasks[i] AS x", "start", "total", "turn", "slot").where("x.had + turn < x.blocks")
+    return at.selectExpr("x.source AS source", "x.had + turn AS block", "start + slot AS slot", "start + turn * total DIV x.slots AS release", "start + ((turn + 1L) * total + x.slots - 1L) DIV x.slots AS deadline")
+
+
+def carried(ranked: DataFrame, counts: DataFrame, weights: dict[str, float] | None, period: int, block_docs: int) -> DataFrame:
+    """`ranked` with slot, release and deadline of its blocks, null for sources without a weight, which have a place."""
+    plan = carried_schedule(counts, weights, period, block_docs).withColumnsRenamed({"source": "p_source", "block": "p_block"})
+    last = weighted(counts, weights).where("weight IS NULL").select(F.col("source").alias("s_source"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")).cast("bigint").alias("place"))
+    out = ranked.join(plan, (F.col("source") == F.col("p_source")) & (F.col("block") == F.col("p_block")), "left")
+    return out.join(F.broadcast(last), F.col("source") == F.col("s_source"), "left")
+
+
+def repeated(ranked: DataFrame, counts: DataFrame, weights: dict[str, float] | None, period: int, block_docs: int) -> DataFrame:
+    """As `carried`, from one period of rounded weights."""
+    slots = source_slots(counts, weights, period)
+    # One row a source, and one a slot of the period: bounded by the parameters.
+    place = period_schedule(slots).select(F.col("source").alias("p_source"), "turn", F.col("slot").alias("first_slot"))
+    slots = slots.select(F.col("source").alias("s_source"), "slots", "total", "place")
+    out = ranked.join(F.broadcast(slots), F.col("source") == F.col("s_source")).withColumn("turn_of", F.expr("block % slots"))
+    out = out.join(F.broadcast(place), (F.col("source") == F.col("p_source")) & (F.col("turn_of") == F.col("turn")), "left")
+    return out.withColumns({"release": F.expr("block * total DIV slots"), "deadline": F.expr("((block + 1) * total + slots - 1) DIV slots"), "slot": F.expr("block DIV slots * total") + F.col("first_slot")})
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period: int = 1024, block_docs: int = 16, buckets: int = 1024, whole_slots: bool = False) -> DataFrame:
     """The place of every document in a stream mixed to target weights.
 
     weights: target by source (need not sum to 1); None: the square root of each source's number of documents.
     Sources that it doesn't name, or names with 0, follow after all
-    others, one after another. period: slots into which weights are
-    rounded (each named source has one at least). buckets: bound for the rows of a source that meet in a task is its
+    others, one after another. period: slots that are scheduled
+    together (about). whole_slots: weights are rounded to whole slots of the period. buckets: bound for the rows of a source that meet in a task is its
     rows / buckets; it doesn't change the result.
 
     Returns doc_id, source (null: "(none)"), block, block_offset, release, deadline, slot, mix_order: the stream is
@@ -77,26 +126,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period
     """
     rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), order_hash(F.col("doc_id")).alias("h")).withColumn("bucket", F.col("h") * F.lit(buckets).cast("bigint") / F.lit(2147483648))
     rows = rows.withColumn("bucket", F.floor("bucket"))
-    slots = source_slots(rows, weights, period)
     counts = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
     near = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id")) - 1
     ranked = rows.withColumn("near", near).join(before, (F.col("source") == F.col("b_source")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("rank", F.col("before") + F.col("near"))
-    # One row a source, and one a slot of the period: bounded by the parameters.
-    place = period_schedule(slots).select(F.col("source").alias("p_source"), "turn", F.col("slot").alias("first_slot"))
-    slots = slots.select(F.col("source").alias("s_source"), "slots", "total", "place")
-    out = ranked.join(F.broadcast(slots), F.col("source") == F.col("s_source")).withColumn("block", F.expr(f"rank DIV {block_docs}")).withColumn("turn_of", F.expr("block % slots"))
-    out = out.join(F.broadcast(place), (F.col("source") == F.col("p_source")) & (F.col("turn_of") == F.col("turn")), "left")
-    late = F.lit(1 << 40) + F.col("place") * (1 << 32) + F.col("block")
-    out = out.select(
-        "doc_id",
-        "source",
-        "block",
-        F.expr(f"rank % {block_docs}").alias("block_offset"),
-        F.expr("block * total DIV slots").alias("release"),
-        F.expr("((block + 1) * total + slots - 1) DIV slots").alias("deadline"),
-        F.coalesce(F.expr("block DIV slots * total") + F.col("first_slot"), late).alias("slot"),
-    )
+    ranked = ranked.withColumn("block", F.expr(f"rank DIV {block_docs}"))
+    out = (repeated if whole_slots else carried)(ranked, counts, weights, period, block_docs)
+    out = out.select("doc_id", "source", "block", F.expr(f"rank % {block_docs}").alias("block_offset"), "release", "deadline", F.coalesce("slot", F.lit(1 << 40) + F.col("place") * (1 << 32) + F.col("block")).alias("slot"))
     return out.withColumn("mix_order", F.col("slot") * block_docs + F.col("block_offset"))
 
 

@@ -177,6 +177,24 @@ def test_deviation_is_below_one_block(spark, sources):
         assert all(abs(had[x] - w * (slot + 1)) < 1 for x, w in weights.items())
 
 
+@pytest.mark.parametrize("sizes,weights", [((4000, 8000), (1 / 3, 2 / 3)), ((6400, 1700, 300, 4900), None), ((3000, *[200] * 60), (0.3, *[0.7 / 60] * 60))])
+def test_deviation_from_true_weights_does_not_grow(spark, docs, sizes, weights):
+    names = [f"s{k}" for k in range(len(sizes))]
+    made = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "k int, n int").selectExpr("explode(sequence(0, n - 1)) AS i", "k").selectExpr("CAST(k * 100000 + i AS BIGINT) AS doc_id", "concat('s', k) AS source")
+    w = np.array(weights or np.sqrt(sizes))
+    got = mixing.mix_sources(made, dict(zip(names, weights)) if weights else None, period=32, block_docs=1).collect()
+    assert len(got) == sum(sizes) == len({r["mix_order"] for r in got})
+    order = sorted((r["slot"], int(r["source"][1:])) for r in got)
+    end = min(max(s for s, k in order if k == j) for j in range(len(sizes)))
+    assert end > 1000
+    had, w = np.zeros(len(w)), w / w.sum()
+    for slot, k in order:
+        if slot > end:
+            break
+        had[k] += 1
+        assert np.all(np.abs(had - w * (slot + 1)) < 2 + w * len(w)) and had.sum() == slot + 1
+
+
 def test_mixing_edges(spark, docs):
     assert mixing.mix_sources(docs({})).count() == 0 and mixing.mix_sources(docs([(None, None), (1, "a"), (1, "a")], source=None)).count() == 3
     left = mixing.mixed(docs([(None, None), (1, "a"), (1, "a"), (2, "b")]))
