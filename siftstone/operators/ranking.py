@@ -73,9 +73,9 @@ def split_train_validation(rows: DataFrame, share: float, id_column: str, seed:
 
 
 def numbered(rows: DataFrame, prefix: str, id_column: str, digits: int = 5) -> DataFrame:
-    """`rows` with a column id, prefix and a number (from 0) by the seeded order."""
+    """`rows` with a column id, prefix and a number (from 0, of `digits` places or as many as it needs) by the seeded order."""
     ranked = rank_in_group(rows, [F.lit(0)], seeded(F.col(id_column), 0), F.col(id_column), "__rank")
-    return ranked.withColumn("id", F.concat(F.lit(prefix), F.lpad((F.col("__rank") - 1).cast("string"), digits, "0"))).drop("__rank")
+    return ranked.withColumn("id", F.concat(F.lit(prefix), F.format_string(f"%0{digits}d", F.col("__rank") - 1))).drop("__rank")
 
 
 def best_first(rows: DataFrame, score: Column, most: int, id_column: str) -> DataFrame:

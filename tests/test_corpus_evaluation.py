@@ -121,3 +121,8 @@ def test_multi_label(spark):
 def test_subcategories(spark):
     row = spark.range(1).select(*[E.subcategory_matches(F.lit(a), F.lit(b)).alias(f"{a}{b}") for a, b in (("pii.x", "PII.x "), ("x", "pii.x"), ("pii.x", "med.x"))]).first()
     assert tuple(row) == (True, True, False)
+
+
+def test_numbers_of_more_digits_than_asked_for_stay_whole(spark):
+    rows = spark.range(25).withColumnRenamed("id", "doc_id")
+    assert sorted(r["id"] for r in K.numbered(rows, "d", "doc_id", digits=1).collect()) == sorted(f"d{k}" for k in range(25))
