@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftstone.llm import hmm, language, minhash, mixing, packing, quality, suffix, topk, toxicity, vector_dedup
+from siftstone.plans.scan import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """All of a table; a small one in fewer pieces than there are cores is dealt over them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pca_tiled_dedup": vector_dedup.ORACLE, "op3_norm_sorted_topk": topk.ORACLE, "op10_pfair_mixing": mixing.ORACLE}
+    return {"op2_pca_tiled_dedup": vector_dedup.ORACLE, "op3_norm_sorted_topk": topk.ORACLE, "op7_tensored_minhash": minhash.ORACLE, "op10_pfair_mixing": mixing.ORACLE}

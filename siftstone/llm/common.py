@@ -11,11 +11,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast (a few columns of longs: tens of MB); beyond it Spark shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a side is broadcast (a few columns of longs: some 10 MB); beyond it Spark shuffles.
+BROADCAST_ROWS = 200_000
+#: A key is hot that has more rows than HOT_ROWS and than the HOT_KEYS-th part of all rows; so at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
 
 
 _own: list[str] = []
@@ -23,9 +25,11 @@ _scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder every executor sees: spark.checkpoint.dir; where that is unset and the master local, one of our own."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="siftstone-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -33,12 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: lineage is cut and nothing is computed twice."""
+    """`df` written as Parquet to the shared folder and read again: lineage is cut and nothing is computed twice.
+
+    What isn't deleted by `scratch` or `forget`, because a lazy result reads it, goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftstone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
     back = spark.read.schema(df.schema).parquet(path)
-    back._siftstone_path = path
+    back._siftstone_path, back._siftstone_rows = path, seen.get["rows"]
     for made in _scopes:
         made.append(back)
     return back
@@ -57,17 +67,67 @@ def scratch():
             forget(table)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete a table made by `written` that nothing reads any more."""
     if path := getattr(df, "_siftstone_path", None):
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        files, at = _file_system(df.sparkSession, path)
+        files.delete(at, True)
+
+
+def small_or_shuffled(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A table with a broadcast hint if it has few rows, else as it is: `most` bounds them, else they are counted (of a written table)."""
+    return F.broadcast(df) if (row_count(df) if most is None else most) <= BROADCAST_ROWS else df
+
+
+def row_count(table: DataFrame) -> int:
+    """Rows of a written table, as seen when it was written (after lost tasks perhaps more: a bound), else counted."""
+    return table._siftstone_rows if hasattr(table, "_siftstone_rows") else table.count()
+
+
+def bundled(rows: DataFrame, by: list[str], bundles: int, work, schema: str) -> DataFrame:
+    """`work` on the rows of every value of `by`, an Arrow table each; small groups are handed to Python many at once, in about so many bundles."""
+
+    def each(bundle: pa.Table) -> pa.Table:
+        bundle = bundle.sort_by([(c, "ascending") for c in by])
+        new = np.zeros(bundle.num_rows, bool)
+        for c in by:
+            x = bundle[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        cut = [0, *np.flatnonzero(new).tolist(), bundle.num_rows]
+        out = pa.concat_tables([work(bundle.slice(a, b - a)) for a, b in zip(cut, cut[1:])])
+        give_back()
+        return out
+
+    number = F.pmod(F.xxhash64(*by), F.lit(max(1, bundles))).alias("bundle")
+    return rows.select("*", number).groupBy("bundle").applyInArrow(each, schema)
+
+
+def counted_join(rows: DataFrame, side: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined (inner or left) to `side`: one row a key, with the number of `rows` of that key, 1 or more, as `rows`.
+
+    A side is broadcast that can't have many rows, as `total` is small, or was written and counted and has few. Of
+    a large one the hot keys are, at most HOT_KEYS of them as no more can be hot among `total` rows; their rows stay where
+    they are. The rest is shuffled, and no key there has many rows.
+    """
+    if total <= BROADCAST_ROWS or row_count(side := written(side, "side")) <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side.drop("rows")), on, how)
+    hot = F.col("rows") > max(HOT_ROWS, total // HOT_KEYS)
+    few, many = side.where(hot).drop("rows"), side.where(~hot).drop("rows")
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(many, on, how)
+    return rows.join(F.broadcast(few), on).unionByName(rest)
 
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table with a broadcast hint if it was counted and is small, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def free_name(taken, base: str) -> str:
+    """A column name like `base` that none of `taken` has, upper case or not."""
+    low, name = {c.lower() for c in taken}, base
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def held_out(column: str, modulus: int, rest: int) -> Column:

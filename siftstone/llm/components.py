@@ -6,18 +6,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import forget, written
+from siftstone.llm.common import BROADCAST_ROWS, counted_join, forget, scratch, written
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """Each node's neighbours (larger: those above it; else those below, and itself) linked to its least neighbour."""
+def _star(edges: DataFrame, larger: bool, total: int) -> DataFrame:
+    """Each node's neighbours (larger: those above it; else those below, and itself) linked to its least neighbour.
+
+    A hub's rows aren't dealt by the hub: minima are broadcast where they are few or their node is hot.
+    """
+    near = edges.select(F.col("u").alias("n"), F.col("v").alias("w"))
     if larger:
-        near = edges.select(F.col("u").alias("n"), F.col("v").alias("w")).union(edges.select(F.col("v"), F.col("u")))
-        least = near.groupBy("n").agg(F.min("w").alias("m")).select(F.col("n").alias("k"), F.least("m", "n").alias("m"))
-        pairs = near.join(least, near["n"] == least["k"]).where("w > n").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        near = near.union(edges.select(F.col("v"), F.col("u")))
+    least = near.groupBy("n").agg(F.min("w").alias("m"), F.count(F.lit(1)).alias("rows"))
+    both = counted_join(near, least, ["n"], 2 * total if larger else total)
+    if larger:
+        pairs = both.where("w > n").select(F.col("w").alias("u"), F.least("m", "n").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        pairs = edges.join(least, edges["u"] == least["k"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select(F.col("k"), F.col("m")))
+        pairs = both.select(F.col("w").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select(F.col("n"), F.col("m")))
     return pairs.where("u > v").distinct()
 
 
@@ -28,15 +33,18 @@ def components(links: DataFrame) -> DataFrame:
     neighbours never meet in one row or group: only minima and joins are taken, and rounds grow with the logarithm of a
     component's width. Each round is written to the shared folder, so lost executors cost that round at most.
     """
-    ends = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(ends, "links")
-    while True:
-        after = written(_star(_star(edges, True), False), "links")
-        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
-        forget(edges)
-        edges = after
-        if same:
-            break
+    with scratch() as made:
+        edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        total = edges.count()
+        while total:
+            after = written(_star(_star(edges, True, total), False, total), "links")
+            count = after.count()
+            same = count == total and after.join(F.broadcast(edges) if total <= BROADCAST_ROWS else edges, ["u", "v"], "left_anti").isEmpty()
+            forget(edges)
+            edges, total = after, count
+            if same:
+                break
+        made[:] = [t for t in made if t is not edges]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.common import batches, conf_int, give_back, mix, stream, text_array, text_bytes
-from siftstone.llm.words import _power
+from siftstone.llm.words import _BASE
 
 GRAM = 20
 #: Strings of a span at most; a longer run with one anchor is several spans.
@@ -45,7 +45,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     n = len(raw) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), EMPTY, EMPTY, EMPTY
-    power, inverse = _power(len(raw))
+    power, inverse = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(raw), b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_RANDOM[raw] * power[: len(raw)], out=sums[1:])
     least = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(raw) - GRAM + 1])

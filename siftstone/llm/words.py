@@ -16,15 +16,16 @@ _BYTE = _EXACT.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes whose prefix sums are taken at once; tables of powers are no longer, however long a text.
+SPAN = 1 << 19
 _powers: list[np.ndarray] = []
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 19)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, SPAN + 1 of them."""
+    if not _powers:
         with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+            _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(SPAN, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _powers[0], _powers[1]
 
 
@@ -47,13 +48,31 @@ def bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """One 64-bit hash a word; fold: A-Z as a-z."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_BYTE if fold else _EXACT)[raw] * power[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """One 64-bit hash a word; fold: A-Z as a-z. Stretches of SPAN bytes at a time; a longer word is taken in parts."""
+    out = np.zeros(len(starts), np.uint64)
+    value = _BYTE if fold else _EXACT
+    power, inverse = powers()
+    first = 0
+    while first < len(starts):
+        at = int(starts[first])
+        end = int(np.searchsorted(ends, at + SPAN, "right"))
+        if end <= first:
+            total, scale = np.uint64(0), np.uint64(1)
+            with np.errstate(over="ignore"):
+                for a in range(at, int(ends[first]), SPAN):
+                    part = raw[a : min(a + SPAN, int(ends[first]))]
+                    total += scale * np.sum(value[part] * power[: len(part)], dtype=np.uint64)
+                    scale *= power[SPAN]
+            out[first] = total
+            end = first + 1
+        else:
+            part = raw[at : int(ends[end - 1])]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(value[part] * power[: len(part)], out=sums[1:])
+            a, z = starts[first:end] - at, ends[first:end] - at
+            out[first:end] = (sums[z] - sums[a]) * inverse[a]
+        first = end
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:

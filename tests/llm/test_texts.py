@@ -1,6 +1,7 @@
 """Near duplicates, repeated passages, words."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -80,10 +81,49 @@ def test_clusters_in_tiles(docs, monkeypatch):
     assert got == classes_by_force(texts, 3, 85)
 
 
+def test_background_overlap_stays_cheap(spark, monkeypatch):
+    """Texts of similarity 0.05 to 0.2: few pairs are verified, though chains of tables may lie between them."""
+    r = random.Random(4)
+    pieces = [[f"p{p}w{k}" for k in range(12)] for p in range(30)]
+    texts = {i: " ".join(w for p in r.sample(range(30), 5) for w in pieces[p]) + f" own{i} a{i} b{i}" for i in range(300)}
+    seen = []
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *rest, f=minhash.verified: (seen.append(pairs.count()), f(pairs, *rest))[1])
+    monkeypatch.setattr(minhash, "links_in_tiles", lambda chosen, *rest, f=minhash.links_in_tiles: (seen.append(chosen.count()), f(chosen, *rest))[1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_duplicates(df, 3, 85).collect()}
+    assert got == classes_by_force(texts, 3, 85) and sum(seen) < 100
+
+
+def test_rows_that_repeat_an_id_with_another_text(spark):
+    same, other = "one two three four five six seven", "quite another text with nothing in common here"
+    df = spark.createDataFrame([(1, same), (2, same), (2, other), (2, other), (3, other)], "doc_id bigint, text string")
+    got = sorted((x["doc_id"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(df, 3, 85).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (3, 2, False)]
+    named = df.selectExpr("doc_id", "text", "1 AS text_hash", "2 AS same", "3 AS node", "4 AS __gone", "5 AS uid")
+    left = minhash.one_of_each(named)
+    assert left.columns == named.columns and sorted((x["doc_id"], x["text"]) for x in left.collect()) == [(1, same), (2, other)]
+
+
+def test_long_words_and_texts(monkeypatch):
+    """Hashes don't depend on the stretches in which bytes are read."""
+    text = "ab " * 50 + "x" * 700 + " cd" * 300 + " " + "y" * 257
+    raw, off = text_bytes(text_array(pa.array([text, "ab cd", None])))
+    starts, ends, _ = words.bounds(raw, off)
+    whole = words.hashes(raw, starts, ends)
+    monkeypatch.setattr(words, "SPAN", 64)
+    monkeypatch.setattr(words, "_powers", [])
+    assert (words.hashes(raw, starts, ends) == whole).all()
+
+
 def test_side_keeps_pairs_at_the_threshold():
     for s in (0.8, 0.85):
         side = minhash.side_for(s)
-        assert 1 - (1 - (1 - s * s) ** side) ** 2 <= 1e-4 < 1 - (1 - (1 - s * s) ** (side - 1)) ** 2
+        q = s**minhash.HASHES
+        assert 1 - (1 - (1 - q) ** side) ** 2 <= 1e-4 < 1 - (1 - (1 - q) ** (side - 1)) ** 2
+        n = 2 * minhash.HASHES * side
+        least = minhash.least_agreement(s, n)
+        below = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(least))
+        assert below <= 1e-6 and 0.4 * n < least < s * n
 
 
 @given(st.lists(st.text(alphabet="aB \n\té\x1c", max_size=12), max_size=6))
