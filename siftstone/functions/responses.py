@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from siftstone.schema import CATEGORIES, FINDINGS, finding
 
 ITEM = "array<struct<category: string, subcategory: string, severity: string, explanation: string>>"
+#: Fixed value: characters kept of an explanation that breaks off.
+SHOWN_OF_EXPLANATION = 300
 DETAILED = "array<struct<category: string, description: string, severity: string, extracted_data: map<string, string>>>"
 
 
@@ -33,29 +35,40 @@ def known_severity(severity: Column, unknown: str = "medium") -> Column:
 
 
 def cut_off_array(answer: str | None) -> str | None:
-    """The whole objects of an array that breaks off, as an array; null if there are none. Braces in strings don't count."""
+    """What can be read of an array that breaks off, as an array: its whole objects, else what there is of the first; null if there is nothing. Braces in strings don't count."""
     if answer is None or (start := answer.find("[")) < 0:
         return None
-    depth, quoted, escaped, last = 0, False, False, -1
+    depth, quoted, escaped, value = 0, False, False, False
+    whole = field = opened = -1  # ends of the last whole object and of the last text value; start of the last string
+    name = ""
     for i in range(start + 1, len(answer)):
         c = answer[i]
         if quoted:
             escaped, quoted = c == "\\" and not escaped, not (c == '"' and not escaped)
+            if not quoted and depth == 1:
+                name, field = (name, i) if value else (answer[opened + 1 : i], field)
         elif c == '"':
-            quoted = True
+            quoted, opened = True, i
+        elif c in ":,":
+            value = c == ":"
         elif c in "{[":
-            depth += 1
+            depth, value = depth + 1, False
         elif c in "}]":
             depth -= 1
-            last = i if depth == 0 and c == "}" else last
-    if last < 0:
-        return None
-    whole = answer[start : last + 1] + "]"
-    try:
-        json.loads(whole)
-    except ValueError:
-        return None
-    return whole
+            whole = i if depth == 0 and c == "}" else whole
+    # All whole objects; else the first one's whole fields; else it with the words of an explanation that breaks off.
+    tries = [answer[start : whole + 1] + "]"] if whole >= 0 else []
+    if whole < 0 and field >= 0:
+        tries.append(answer[start : field + 1] + "}]")
+    if whole < 0 and quoted and value and depth == 1 and name == "explanation":
+        tries.insert(0, answer[start : opened + 1 + SHOWN_OF_EXPLANATION].rstrip("\\") + '..."}]')
+    for text in tries:
+        try:
+            json.loads(text)
+        except ValueError:
+            continue
+        return text
+    return None
 
 
 @F.pandas_udf(T.StringType())
@@ -95,7 +108,7 @@ def parse_findings(answer: Column, strict: bool = True, source: str = "model", t
         all_blocks = F.concat(all_blocks, F.array_compact(F.array(tail)))
     raw = F.flatten(F.transform(all_blocks, lambda b: items(b, strict)))
     category = lambda x: F.lower(F.trim(x["category"])) if tidy_category else x["category"]
-    rows = F.transform(raw, lambda x: F.struct(resolved_category(category(x), x["subcategory"]).alias("category"), F.coalesce(x["subcategory"], F.lit("")).alias("subcategory"), known_severity(x["severity"]).alias("severity"), F.coalesce(x["explanation"], F.lit("")).alias("explanation")))
+    rows = F.transform(raw, lambda x: F.struct(resolved_category(category(x), x["subcategory"]).alias("category"), F.coalesce(x["subcategory"], F.lit("")).alias("subcategory"), known_severity(x["severity"]).alias("severity"), described(x["explanation"], category(x), x["subcategory"]).alias("explanation")))
     once = first_of_each(rows, lambda x: F.concat_ws(":", x["category"], x["subcategory"]))
     risky = F.filter(once, lambda x: x["category"] != "safe")
     chosen = F.when(F.size(risky) > 0, risky).otherwise(once)
@@ -103,6 +116,12 @@ def parse_findings(answer: Column, strict: bool = True, source: str = "model", t
     return F.when(F.size(made) > 0, made).otherwise(F.array(nothing_found(source)).cast(FINDINGS))
 
 
+def described(explanation: Column, category: Column, subcategory: Column) -> Column:
+    """The explanation, or where there is none a sentence that names what was found."""
+    name = F.when(F.coalesce(subcategory, F.lit("")) == "", category).otherwise(subcategory)
+    return F.coalesce(explanation, F.concat(F.lit("Detected "), name, F.lit(" content")))
+
+
 def nothing_found(source: str) -> Column:
     return finding(F.lit("safe"), F.lit("safe.documentation"), F.lit("Nothing of concern found."), F.lit("info"), F.lit(source))
 

@@ -112,11 +112,14 @@ def rule_numbers(text: Column, rules: list[Rule] = RULES) -> Column:
 
 
 def rule_finding(text: Column, rule: Rule) -> Column:
-    found = match_list(text, rule.pattern)
-    shown = F.transform(F.slice(found, 1, SHOWN), shortened)
-    more = F.when(F.size(found) > SHOWN, F.concat(F.lit(" (+"), (F.size(found) - SHOWN).cast("string"), F.lit(" more)"))).otherwise("")
-    extracted = F.map_from_entries(F.transform(shown, lambda x, i: F.struct(F.concat(F.lit("match_"), (i + 1).cast("string")).alias("key"), x.alias("value"))))
-    return finding(F.lit(rule.subcategory.split(".")[0]), F.lit(rule.subcategory), F.concat(F.lit(f"{rule.label}: "), F.array_join(shown, ", "), more), F.lit(rule.severity), F.lit("regex"), extracted)
+    def of(found: Column) -> Column:
+        shown = F.transform(F.slice(found, 1, SHOWN), shortened)
+        more = F.when(F.size(found) > SHOWN, F.concat(F.lit(" (+"), (F.size(found) - SHOWN).cast("string"), F.lit(" more)"))).otherwise("")
+        extracted = F.map_from_entries(F.transform(shown, lambda x, i: F.struct(F.concat(F.lit("match_"), (i + 1).cast("string")).alias("key"), x.alias("value"))))
+        return finding(F.lit(rule.subcategory.split(".")[0]), F.lit(rule.subcategory), F.concat(F.lit(f"{rule.label}: "), F.array_join(shown, ", "), more), F.lit(rule.severity), F.lit("regex"), extracted)
+
+    # A list of one, so that the matches are a variable that is read four times, not an expression made four times.
+    return F.get(F.transform(F.array(match_list(text, rule.pattern)), of), F.lit(0))
 
 
 def unsafe_yaml(text: Column, every: bool = False) -> Column:

@@ -23,10 +23,13 @@ def prefix_dedup(rows: DataFrame, chars: int, order: str, text: str = "text", fi
 
     The winner comes from a minimum, combined before the shuffle, so a very common start costs nothing.
     """
+    p = "__"
+    while any(c.startswith(p) for c in rows.columns):
+        p += "_"
     key = F.sha2(F.coalesce(F.substring(text, 1, chars), F.lit("\0")), 256)
     lead = F.lit(0) if first is None else first
-    winner = rows.groupBy(key.alias("__k")).agg(F.min(F.struct(lead.alias("a"), F.col(order).alias("b"))).alias("__w")).select("__k", F.col("__w.b").alias("__id"))
-    return rows.withColumn("__key", key).join(winner, (F.col("__key") == F.col("__k")) & F.col(order).eqNullSafe(F.col("__id")), "left_semi").drop("__key")
+    winner = rows.groupBy(key.alias(f"{p}k")).agg(F.min(F.struct(lead.alias("a"), F.col(order).alias("b"))).alias(f"{p}w")).select(f"{p}k", F.col(f"{p}w.b").alias(f"{p}id"))
+    return rows.withColumn(f"{p}key", key).join(winner, (F.col(f"{p}key") == F.col(f"{p}k")) & F.col(order).eqNullSafe(F.col(f"{p}id")), "left_semi").drop(f"{p}key")
 
 
 def hold_out(candidates: DataFrame, train: DataFrame, text: str = "text", chars: int | None = FINGERPRINT_CHARS) -> DataFrame:
@@ -45,7 +48,9 @@ def run_sources(sources: dict[str, Callable[[], DataFrame]], only: Sequence[str]
     made, errors = [], {}
     for name in only or sources:
         try:
-            made.append(sources[name]().withColumn("source", F.lit(name)))
+            rows = sources[name]().withColumn("source", F.lit(name))
+            rows.limit(1).collect()  # an error of a lazy reader shows here, not in the union
+            made.append(rows)
         except Exception as e:  # a broken source is reported, not fatal
             errors[name] = str(e)
     if not made:
@@ -77,7 +82,8 @@ SYSTEM = "You review documents and answer with a JSON array of findings."
 
 def chosen_instruction(id_column: Column, seed: int = 42) -> Column:
     """One of the instructions by the hash of the seed and the id."""
-    at = F.pmod(F.crc32(F.concat_ws("|", F.lit(str(seed)), id_column.cast("string"))), F.lit(len(INSTRUCTIONS)))
+    digits = F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), id_column.cast("string")), 256), 1, 8)
+    at = F.conv(digits, 16, 10).cast("bigint") % len(INSTRUCTIONS)
     return F.element_at(F.array(*map(F.lit, INSTRUCTIONS)), at.cast("int") + 1)
 
 

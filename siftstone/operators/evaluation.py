@@ -21,9 +21,9 @@ def label_matches(predicted: Column, expected: Column, alternative: Column | Non
 
 
 def subcategory_matches(predicted: Column, expected: Column) -> Column:
-    """Equal, or a bare last part that equals the other's last part."""
+    """Equal, or predicted as the bare last part of a dotted label; not the other way round."""
     p, e = clean(predicted), clean(expected)
-    return (p == e) | ((~p.contains(".") | ~e.contains(".")) & (F.substring_index(p, ".", -1) == F.substring_index(e, ".", -1)))
+    return (p == e) | (e.contains(".") & (p == F.substring_index(e, ".", -1)))
 
 
 def scored(truth: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:

@@ -102,9 +102,9 @@ def attack_rows(bundles: DataFrame) -> DataFrame:
     tactics = F.coalesce(F.transform("o.kill_chain_phases", lambda k: k["phase_name"]), empty)
     platforms = F.coalesce(F.col("o.x_mitre_platforms"), empty)
     critical = F.arrays_overlap(tactics, F.array(*map(F.lit, CRITICAL_TACTICS)))
-    line = lambda label, value: F.when(value != "", F.concat(F.lit(f"{label}: "), value, F.lit("\n"))).otherwise("")
-    text = F.concat(F.lit("# "), "o.name", F.lit("\n\n"), line("Technique", technique), line("Tactics", F.array_join(tactics, ", ")), line("Platforms", F.array_join(platforms, ", ")), F.lit("\n"), F.substring("o.description", 1, 3000))
     pattern = F.col("o.type") == "attack-pattern"
+    line = lambda label, value: F.when(value != "", F.concat(F.lit(f"{label}: "), value, F.lit("\n"))).otherwise("")
+    text = F.concat(F.lit("# "), "o.name", F.lit("\n\n"), F.when(pattern, F.concat(line("Technique", technique), line("Tactics", F.array_join(tactics, ", ")))).otherwise(line("Type", F.col("o.type"))), line("Platforms", F.array_join(platforms, ", ")), F.lit("\n"), F.substring("o.description", 1, 3000))
     return rows.select(F.col("o.name").alias("name"), technique.alias("technique_id"), F.col("o.type").alias("kind"), F.when(pattern, "malicious.exploit").otherwise("malicious.malware").alias("subcategory"), F.when(pattern & ~critical, "medium").otherwise("critical").alias("severity"), text.alias("text"))
 
 

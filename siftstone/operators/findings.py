@@ -25,7 +25,9 @@ def merge_rows(findings: DataFrame, doc: str = "doc_id", order: tuple[str, ...]
     """
     columns = findings.columns
     risky = findings.where(F.col("category") != SAFE)
-    best = risky.groupBy(doc, "category", "subcategory").agg(F.min(F.struct((-F.col("sev_rank")).alias("__s"), *order, *[c for c in columns if c not in order])).alias("b")).select("b.*").select(*columns)
+    # Maps have no order, so the row itself is a value, and the minimum is of what it is ordered by.
+    place = F.struct((-F.col("sev_rank")).alias("severity"), *order)
+    best = risky.groupBy(doc, "category", "subcategory").agg(F.min_by(F.struct(*columns), place).alias("b")).select("b.*").select(*columns)
     quiet = findings.where(F.col("category") == SAFE).join(risky.select(F.col(doc).alias("__doc")).distinct(), F.col(doc) == F.col("__doc"), "left_anti")
     return best.unionByName(quiet)
 

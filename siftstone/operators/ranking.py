@@ -20,17 +20,20 @@ def seeded(id_column: Column, seed: int) -> Column:
 
 def rank_in_group(rows: DataFrame, groups: list[Column], order: Column, tie: Column, name: str = "rank") -> DataFrame:
     """`rows` with the rank (from 1) of each within its group by (order, tie); order is a string of hex digits."""
-    keyed = rows.withColumns({f"__g{k}": g for k, g in enumerate(groups)} | {"__order": order, "__tie": tie})
-    keyed = keyed.withColumn("__bucket", F.substring("__order", 1, DIGITS))
-    keys = [f"__g{k}" for k in range(len(groups))]
-    counts = keyed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select(*[F.col(k).alias(f"{k}b") for k in keys], F.col("__bucket").alias("__bucketb"), (F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket")) - F.col("__n")).alias("__before"))
-    near = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy("__order", "__tie"))
-    on = keyed["__bucket"] == before["__bucketb"]
+    p = "__"
+    while any(c.startswith(p) for c in rows.columns):
+        p += "_"
+    keyed = rows.withColumns({f"{p}g{k}": g for k, g in enumerate(groups)} | {f"{p}order": order, f"{p}tie": tie})
+    keyed = keyed.withColumn(f"{p}bucket", F.substring(f"{p}order", 1, DIGITS))
+    keys = [f"{p}g{k}" for k in range(len(groups))]
+    counts = keyed.groupBy(*keys, f"{p}bucket").agg(F.count(F.lit(1)).alias(f"{p}n"))
+    before = counts.select(*[F.col(k).alias(f"{k}b") for k in keys], F.col(f"{p}bucket").alias(f"{p}bucketb"), (F.sum(f"{p}n").over(Window.partitionBy(*keys).orderBy(f"{p}bucket")) - F.col(f"{p}n")).alias(f"{p}before"))
+    near = F.row_number().over(Window.partitionBy(*keys, f"{p}bucket").orderBy(f"{p}order", f"{p}tie"))
+    on = keyed[f"{p}bucket"] == before[f"{p}bucketb"]
     for k in keys:
         on = on & keyed[k].eqNullSafe(before[f"{k}b"])
-    out = keyed.withColumn("__near", near).join(before, on)
-    return out.withColumn(name, F.col("__before") + F.col("__near")).select(*rows.columns, name)
+    out = keyed.withColumn(f"{p}near", near).join(before, on)
+    return out.withColumn(name, F.col(f"{p}before") + F.col(f"{p}near")).select(*rows.columns, name)
 
 
 def cap_per_group(rows: DataFrame, group: str, most: int, id_column: str, seed: int = 42) -> DataFrame:
@@ -49,8 +52,15 @@ def stratified_quota(rows: DataFrame, group: str, quotas: dict[str, int], id_col
     return out
 
 
-def balanced_fill(rows: DataFrame, group: str, most: int, id_column: str, seed: int = 42) -> DataFrame:
-    """`most` rows spread over the groups: an equal share of each by the seeded order, then the best of the rest, whichever group."""
+def balanced_fill(rows: DataFrame, group: str, most: int, id_column: str, seed: int = 42, text: str | None = None, chars: int = 200) -> DataFrame:
+    """`most` rows spread over the groups: an equal share of each by the seeded order, then the best of the rest, whichever group.
+
+    text: of rows whose texts start with the same characters, in whichever groups, only the first by group and id counts.
+    """
+    if text is not None:
+        from siftstone.operators.corpus import prefix_dedup
+
+        rows = prefix_dedup(rows, chars, id_column, text, F.col(group))
     n = rows.agg(F.count_distinct(group)).first()[0]
     share = most // max(n, 1)
     ranked = rank_in_group(rows, [F.col(group)], seeded(F.col(id_column), seed), F.col(id_column), "__rank")

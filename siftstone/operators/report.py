@@ -110,9 +110,21 @@ def sarif_results(files: DataFrame) -> DataFrame:
     return exploded(files).where(F.col("category") != SAFE).select("path", "pos", F.col("category").alias("rule_id"), level.alias("level"), F.col("description").alias("message"), F.lit(1).alias("start_line"))
 
 
+#: Rows of a report that is made as one text on the driver; a larger one is an error there, and is written by `save`.
+REPORT_ROWS = 200_000
+
+
+def bounded(rows: DataFrame, *order: str) -> list:
+    """All rows in order, if they are few enough for one text."""
+    got = rows.orderBy(*order).limit(REPORT_ROWS + 1).collect()
+    if len(got) > REPORT_ROWS:
+        raise ValueError(f"more than {REPORT_ROWS} rows: narrow the files, or write the report with save()")
+    return got
+
+
 def sarif(files: DataFrame, tool: str = "siftstone") -> str:
-    """The SARIF 2.1.0 document. A report: its findings come to the driver, so narrow the files first."""
-    rows = sarif_results(files).orderBy("path", "pos").collect()
+    """The SARIF 2.1.0 document, of REPORT_ROWS findings at most."""
+    rows = bounded(sarif_results(files), "path", "pos")
     rules = [{"id": c, "shortDescription": {"text": c}} for c in sorted({r["rule_id"] for r in rows})]
     results = [{"ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["path"]}, "region": {"startLine": 1}}}]} for r in rows]
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]}, indent=2)
@@ -142,11 +154,26 @@ def html_rows(files: DataFrame) -> DataFrame:
     return files.select(basename(F.col("path")).alias("name"), F.array_join(F.array_distinct(F.transform(risky, lambda f: f["category"])), ", ").alias("categories"), severity_name(F.array_max(F.transform(risky, lambda f: f["sev_rank"]))).alias("severity"), F.coalesce(F.get(words, F.lit(0))["description"], F.lit("No description.")).alias("explanation"))
 
 
-def html_page(files: DataFrame, title: str = "Scan report", most: int = 1000) -> str:
-    """A page with the first `most` files by name; all values are escaped."""
-    rows = html_rows(files).orderBy("name").limit(most).collect()
+#: Of a page: rows show by the words typed and the severity chosen; a click on a head sorts by that column.
+PAGE_SCRIPT = """const rows=()=>[...document.querySelectorAll('tbody tr')],box=id=>document.getElementById(id);
+function show(){const w=box('words').value.toLowerCase(),s=box('grade').value;
+rows().forEach(r=>r.hidden=!(r.textContent.toLowerCase().includes(w)&&(!s||r.cells[2].textContent===s)))}
+const grades=['','info','low','medium','high','critical'];
+document.querySelectorAll('th').forEach((h,k)=>h.onclick=()=>{const up=h.dataset.up!=='1';h.dataset.up=up?'1':'0';
+const key=r=>k===2?grades.indexOf(r.cells[2].textContent):r.cells[k].textContent;
+rows().sort((a,b)=>(key(a)>key(b)?1:key(a)<key(b)?-1:0)*(up?1:-1)).forEach(r=>r.parentNode.append(r))});
+box('words').oninput=show;box('grade').onchange=show;"""
+
+
+def html_page(files: DataFrame, title: str = "Scan report") -> str:
+    """A page with counts and all files by name (REPORT_ROWS at most), to filter and sort; all values are escaped."""
+    rows = bounded(html_rows(files), "name")
+    one = summary(files).first()
+    counts = "".join(f"<li>{name}: {one[name] or 0}</li>" for name in ("files", "flagged", "clean", "findings", *reversed(SEVERITIES)))
     cells = "".join("<tr>" + "".join(f"<td>{html.escape(str(v or ''))}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<!doctype html><title>{html.escape(title)}</title><table><tr><th>File</th><th>Categories</th><th>Severity</th><th>Explanation</th></tr>{cells}</table>"
+    choices = "".join(f"<option>{s}</option>" for s in ("", *reversed(SEVERITIES)))
+    head = "".join(f"<th>{h}</th>" for h in ("File", "Categories", "Severity", "Explanation"))
+    return f"<!doctype html><title>{html.escape(title)}</title><ul>{counts}</ul><input id=words placeholder=Filter><select id=grade>{choices}</select><table><thead><tr>{head}</tr></thead><tbody>{cells}</tbody></table><script>{PAGE_SCRIPT}</script>"
 
 
 # File endings by format.
@@ -161,11 +188,29 @@ def file_name(kind: str, when) -> str:
 def formatted(files: DataFrame, kind: str) -> str:
     """The report as text: json, markdown, sarif, html; any other name gives the terminal's lines."""
     if kind == "json":
-        return "[" + ",\n".join(r["json"] for r in json_lines(files).orderBy("path").collect()) + "]"
+        return "[" + ",\n".join(r["json"] for r in bounded(json_lines(files), "path")) + "]"
     if kind == "markdown":
-        return "\n\n".join(r["section"] for r in markdown_sections(files).orderBy("path").collect())
+        return "\n\n".join(r["section"] for r in bounded(markdown_sections(files), "path"))
     if kind == "sarif":
         return sarif(files)
     if kind == "html":
         return html_page(files)
-    return "\n".join(r["line"] for r in terminal_lines(files).orderBy("path", "pos").collect())
+    return "\n".join(r["line"] for r in bounded(terminal_lines(files), "path", "pos"))
+
+
+def save(files: DataFrame, kind: str, folder: str, when) -> list[str]:
+    """Write a report of any size, as text files in path order in a folder named for the time, and always as JSON lines too; the folders' paths.
+
+    markdown, json and the terminal's lines are written by Spark, a line or section a record; html and sarif, which are
+    one document, as one text (REPORT_ROWS at most).
+    """
+    lines = {"json": json_lines(files).select("path", F.lit(0).alias("pos"), F.col("json").alias("value")), "markdown": markdown_sections(files).select("path", F.lit(0).alias("pos"), F.concat("section", F.lit("\n")).alias("value"))}
+    out = []
+    for name in dict.fromkeys((kind, "json")):
+        if name in ("html", "sarif"):
+            rows = files.sparkSession.createDataFrame([(formatted(files, name),)], "value string")
+        else:
+            rows = (lines[name] if name in lines else terminal_lines(files).select("path", "pos", F.col("line").alias("value"))).orderBy("path", "pos").select("value")
+        out.append(f"{folder.rstrip('/')}/{file_name(name, when)}")
+        rows.write.text(out[-1])
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.functions.responses import parse_detailed, parse_findings
+from siftstone.functions.responses import parse_detailed, parse_findings, repaired_tail
 from siftstone.functions.rules import rule_numbers, safety_net
 from siftstone.functions.text import chunks
 from siftstone.operators.findings import enriched, merge_nested, with_default
@@ -27,13 +27,15 @@ def scan(docs: DataFrame, responses: DataFrame | None = None, text: str = "text"
     """doc_id, path, kind, size, findings of each document (doc_id, text).
 
     responses: a model's answers by chunk (doc_id, chunk_no, response). Findings of a document's chunks are merged; the
-    rule net adds what the model has no category for; a document without any gets a safe one.
+    rule net adds what the model has no category for; a document without any gets a safe one. Of an answer that breaks off
+    counts what can be read.
     """
     base = docs.select("doc_id", F.col(text).alias("text"))
     if responses is None:
         base = base.withColumn("found", F.array().cast(FINDINGS))
     else:
-        parsed = responses.select("doc_id", "chunk_no", parse_findings(F.col("response")).alias("f"))
+        whole = responses.select("doc_id", "chunk_no", "response", repaired_tail(F.col("response")).alias("tail"))
+        parsed = whole.select("doc_id", "chunk_no", parse_findings(F.col("response"), tail=F.col("tail")).alias("f"))
         lists = parsed.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "f")), lambda a, b: a["chunk_no"] - b["chunk_no"]), lambda c: c["f"])).alias("found"))
         base = base.join(lists, "doc_id", "left").withColumn("found", merge_nested(F.coalesce("found", F.array().cast(FINDINGS))))
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt"))

@@ -28,10 +28,10 @@ def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.hold_out(docs.where("doc_id % 4 = 0"), docs.where("doc_id % 4 <> 0")).select("doc_id")
 
 
-@query("SELECT origin, count(*) AS n, count(lang) AS with_lang, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT 'documents' AS origin, text, lang FROM documents UNION ALL SELECT 'pages', html, NULL FROM pages UNION ALL SELECT 'conversations', text, NULL FROM conversations) GROUP BY origin")
+@query("SELECT origin, sha256(text) AS digest, lang FROM (SELECT 'documents' AS origin, text, lang FROM documents UNION ALL SELECT 'pages', html, NULL FROM pages UNION ALL SELECT 'conversations', text, NULL FROM conversations)")
 def combine_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), "text", "lang"), table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("html").alias("text")), table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("origin"), "text")]
-    return C.combine(parts).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.count("lang").alias("with_lang"), F.sum(F.length("text")).alias("chars"))
+    return C.combine(parts).select("origin", F.sha2("text", 256).alias("digest"), "lang")
 
 
 @query(f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {SEEDED}, doc_id) <= 20")
@@ -74,7 +74,7 @@ def split_train_val(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.split_train_validation(table(spark, sf_dir, "documents").select("doc_id"), 0.05, "doc_id")
 
 
-@query("SELECT doc_id, 'doc_' || lpad(CAST(row_number() OVER (ORDER BY sha256('0|' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS VARCHAR), 5, '0') AS id FROM documents")
+@query("SELECT doc_id, printf('doc_%05d', row_number() OVER (ORDER BY sha256('0|' || CAST(doc_id AS VARCHAR)), doc_id) - 1) AS id FROM documents")
 def numbered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_", "doc_id")
 
@@ -85,24 +85,30 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(made, F.col("doc_id") == F.col("id")).select("id", "text", "findings")
 
 
-CUT = "CASE WHEN length(text) <= 500 THEN text WHEN position(' ' IN substring(text, 1, 500)) > 0 AND 500 - position(' ' IN reverse(substring(text, 1, 500))) > 350 THEN substring(text, 1, 500 - position(' ' IN reverse(substring(text, 1, 500)))) || chr(10) || '[...truncated...]' ELSE substring(text, 1, 500) || chr(10) || '[...truncated...]' END"
+# The operators' own limit of input characters.
+HEAD = "substring(text, 1, 4000)"
+CUT = f"CASE WHEN length(text) <= 4000 THEN text WHEN position(' ' IN {HEAD}) > 0 AND 4000 - position(' ' IN reverse({HEAD})) > 2800 THEN substring(text, 1, 4000 - position(' ' IN reverse({HEAD}))) || chr(10) || '[...truncated...]' ELSE {HEAD} || chr(10) || '[...truncated...]' END"
 ANSWER = f"SELECT doc_id, '[' || string_agg('{{\"category\":\"' || category || '\",\"subcategory\":\"' || subcategory || '\",\"severity\":\"' || severity || '\",\"explanation\":\"' || description || '\"}}', ',' ORDER BY pos) || ']' AS output FROM ({FINDING_ROWS}) GROUP BY doc_id"
 
 
-@query(f"SELECT d.doc_id AS id, {CUT} AS input, output FROM documents d JOIN ({ANSWER}) a ON a.doc_id = d.doc_id")
+ALPACA = f"SELECT d.doc_id AS id, ({sql_list(C.INSTRUCTIONS)})[CAST(CAST('0x' || substring(sha256('42|' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {len(C.INSTRUCTIONS)} AS INT) + 1] AS instruction, {CUT} AS input, output FROM documents d JOIN ({ANSWER}) a ON a.doc_id = d.doc_id"
+
+
+@query(ALPACA)
 def sft_alpaca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.alpaca(_pairs(spark, sf_dir), 500).select("id", "input", "output")
+    return C.alpaca(_pairs(spark, sf_dir))
 
 
-@query(f"SELECT d.doc_id AS id, 3 AS messages, 'system,user,assistant' AS roles, output AS last FROM documents d JOIN ({ANSWER}) a ON a.doc_id = d.doc_id")
+@query(f"SELECT id, 3 AS messages, 'system,user,assistant' AS roles, {quoted(C.SYSTEM)} AS system, instruction || chr(10) || chr(10) || input AS user, output AS assistant FROM ({ALPACA})")
 def sft_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.chat(_pairs(spark, sf_dir), 500)
-    return rows.select("id", F.size("messages").alias("messages"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.element_at("messages", -1)["content"].alias("last"))
+    rows = C.chat(_pairs(spark, sf_dir))
+    content = [F.get("messages", F.lit(k))["content"].alias(name) for k, name in enumerate(("system", "user", "assistant"))]
+    return rows.select("id", F.size("messages").alias("messages"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), *content)
 
 
-@query(f"SELECT d.doc_id AS id, right({CUT} || chr(10) || chr(10) || '### Assistant:' || chr(10), 25) AS prompt_end, output AS completion FROM documents d JOIN ({ANSWER}) a ON a.doc_id = d.doc_id")
+@query(f"SELECT id, replace({quoted('### System:|' + C.SYSTEM + '||### User:|')}, '|', chr(10)) || instruction || chr(10) || chr(10) || input || replace('||### Assistant:|', '|', chr(10)) AS prompt, output AS completion FROM ({ALPACA})")
 def sft_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.completion(_pairs(spark, sf_dir), 500).select("id", F.substring("prompt", -25, 25).alias("prompt_end"), "completion")
+    return C.completion(_pairs(spark, sf_dir))
 
 
 @query(f"SELECT subcategory, count(*) AS n, CAST(avg(CAST(several AS INT)) AS DOUBLE) AS several, count(*) > 5000 AS over_cap FROM (SELECT path, coalesce(arg_min(subcategory, pos), 'unknown') AS subcategory, count(pos) > 1 AS several FROM ({FILE_FINDINGS}) GROUP BY path) GROUP BY subcategory ORDER BY n DESC, subcategory LIMIT 30")
@@ -130,6 +136,6 @@ def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.not_done(docs, docs.where("doc_id % 3 = 0"), "doc_id", F.col("doc_id") % 9 == 0)
 
 
-@query(f"SELECT 'R' || lpad(CAST(row_number() OVER (ORDER BY {SEEDED}, doc_id) AS VARCHAR), 3, '0') AS review_id, doc_id AS key, substring(replace(text, chr(10), ' \\n '), 1, 1500) AS preview FROM documents WHERE doc_id < 500")
+@query(f"SELECT printf('R%03d', row_number() OVER (ORDER BY {SEEDED}, doc_id)) AS review_id, doc_id AS key, substring(replace(text, chr(10), ' \\n '), 1, 1500) AS preview FROM documents")
 def review_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.review_sheet(documents(spark, sf_dir, "doc_id", "text").where("doc_id < 500"), "doc_id")
+    return C.review_sheet(documents(spark, sf_dir, "doc_id", "text"), "doc_id")

@@ -98,17 +98,17 @@ def filter_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.filter_findings(P.exploded(files(spark, sf_dir)), "high", "pii", "SRC1").select("path", "pos", "category", "severity", "description")
 
 
-@query(f"SELECT path, pos, severity FROM ({FILE_FINDINGS}) WHERE severity IS NOT NULL ORDER BY sev_rank DESC, path, pos LIMIT 100")
+@query(f"SELECT path, pos, severity FROM ({FILE_FINDINGS}) WHERE severity IS NOT NULL ORDER BY sev_rank DESC, path, pos")
 def sort_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.sort_findings(P.exploded(files(spark, sf_dir)).where("severity IS NOT NULL"), "severity", descending=True).limit(100).select("path", "pos", "severity")
+    return P.sort_findings(P.exploded(files(spark, sf_dir)).where("severity IS NOT NULL"), "severity", descending=True).select("path", "pos", "severity")
 
 
-PARSED = [("pii", "pii.identity", "high"), ("credentials", "credentials.token", "critical"), ("pii", "pii.identity", "low"), ("safe", "safe.documentation", "info"), ("safe", "safe.documentation", "info"), ("medical", "medical.record", "medium")]
+PARSED = [("pii", "pii.identity", "high", "seen"), ("credentials", "credentials.token", "critical", "seen"), ("pii", "pii.identity", "low", "seen"), ("safe", "safe.documentation", "info", "seen"), ("safe", "safe.documentation", "info", "Nothing of concern found."), ("medical", "medical.record", "medium", "Detected medical.record content")]
 
 
-@query("SELECT doc_id, " + ", ".join(f"CASE doc_id % 6 {' '.join(f'WHEN {k} THEN {quoted(p[i])}' for k, p in enumerate(PARSED))} END AS {name}" for i, name in enumerate(("category", "subcategory", "severity"))) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"CASE doc_id % 6 {' '.join(f'WHEN {k} THEN {quoted(p[i])}' for k, p in enumerate(PARSED))} END AS {name}" for i, name in enumerate(("category", "subcategory", "severity", "description"))) + " FROM documents")
 def parse_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers(spark, sf_dir).select("doc_id", F.explode(parse_findings(F.col("response"))).alias("f")).select("doc_id", "f.category", "f.subcategory", "f.severity")
+    return answers(spark, sf_dir).select("doc_id", F.explode(parse_findings(F.col("response"))).alias("f")).select("doc_id", "f.category", "f.subcategory", "f.severity", "f.description")
 
 
 @query("SELECT doc_id, 'pii' AS category, 'high' AS severity, 'a' AS extracted FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'x', 'info', '' FROM documents WHERE doc_id % 3 = 1")
@@ -118,12 +118,16 @@ def parse_greedy_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.explode(parse_detailed(F.col("r"))).alias("f")).select("doc_id", "f.category", "f.severity", F.array_join(F.map_values("f.extracted_data"), ",").alias("extracted"))
 
 
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS n FROM documents")
+LENIENT = [("pii", "low"), None, [("a", "low"), ("c", "low")], ("pii", "low"), None, ("confidential", "warning")]
+LENIENT_SQL = " ".join(f"WHEN {k} THEN {quoted(' '.join(f'{c}/{s}' for c, s in ([x] if isinstance(x, tuple) else x or [])))}" for k, x in enumerate(LENIENT))
+
+
+@query(f"SELECT doc_id, CASE doc_id % 6 {LENIENT_SQL} END AS items FROM documents")
 def parse_lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = lambda sub, severity: f'{{"category": "{sub.split(".")[0]}", "severity": "{severity}"}}'
     said = [item("pii.x", "low"), "none", f"```json\n[{item('a.b', 'low')}, {item('c.d', 'low')}]\n```", f"see [{item('pii.x', 'low')}] there", "[1", ANSWERS(item)[5]]
     rows = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % 6 + 1).cast("int")).alias("r"))
-    return rows.select("doc_id", F.size(parse_lenient(F.col("r"))).alias("n"))
+    return rows.select("doc_id", F.array_join(F.transform(parse_lenient(F.col("r")), lambda x: F.concat(x["category"], F.lit("/"), x["severity"])), " ").alias("items"))
 
 
 PAIRS = f"SELECT doc_id, ({sql_list(['confidential', 'pii', 'safe'])})[doc_id % 3 + 1] AS category, ({sql_list(['medical.record', 'other.thing', 'pii.identity', 'plain'])})[doc_id % 4 + 1] AS subcategory FROM documents"

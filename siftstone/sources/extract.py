@@ -70,7 +70,10 @@ def mail_parts(content: bytes | None) -> list[tuple[int, str, str, str, bytes]]:
     """(part_no, name, content_type, text, bytes): part 0 is headers and body, the others attachments."""
     message = email.message_from_bytes(content or b"", policy=email.policy.default)
     body = message.get_body(("plain", "html"))
-    text = "" if body is None else body.get_content()
+    try:
+        text = "" if body is None else body.get_content()
+    except (LookupError, ValueError):  # a charset that isn't known, or isn't the text's
+        text = (body.get_payload(decode=True) or b"").decode("utf-8", "replace")
     if body is not None and body.get_content_type() == "text/html":
         text = _TAG.sub(" ", text)
     head = "\n".join(f"{name}: {message[name]}" for name in ("From", "To", "Subject") if message[name])
@@ -81,12 +84,34 @@ def mail_parts(content: bytes | None) -> list[tuple[int, str, str, str, bytes]]:
     return out
 
 
+_FROM = re.compile(rb"^From .*\r?\n", re.M)
+
+
+def mailbox_messages(content: bytes | None) -> list[bytes]:
+    """The messages of an mbox file: each begins at a line "From ...". A file without such a line is one message."""
+    data = content or b""
+    at = [m for m in _FROM.finditer(data) if m.start() == 0 or data[: m.start()].endswith((b"\n\n", b"\r\n\r\n"))]
+    if not at:
+        return [data]
+    ends = [m.start() for m in at[1:]] + [len(data)]
+    return [data[m.end() : end] for m, end in zip(at, ends)]
+
+
+@F.pandas_udf(T.StringType())
+def mail_text(content: pd.Series) -> pd.Series:
+    """Headers and bodies of all messages of a mail file, blank lines between them; null if it holds none."""
+    return content.map(lambda c: "\n\n".join(mail_parts(m)[0][3] for m in mailbox_messages(c)).strip() or None)
+
+
 def mail(files: DataFrame) -> DataFrame:
-    """One row a part of each file (path, content): path, part_no, name, content_type, text, content."""
+    """One row a part of each file (path, content), of all its messages: path, part_no, name, content_type, text, content."""
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, *part) for p, c in zip(batch["path"], batch["content"]) for part in mail_parts(c)]
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                parts = [part for m in mailbox_messages(content) for part in mail_parts(m)]
+                rows += [(path, k, *part[1:]) for k, part in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["path", "part_no", "name", "content_type", "text", "content"])
 
     return files.select("path", "content").mapInPandas(parts, "path string, part_no int, name string, content_type string, text string, content binary")
@@ -105,10 +130,14 @@ def ocr_text(words: DataFrame) -> DataFrame:
 
 
 def text_of(path_extension: Column, content: Column) -> Column:
-    """Text by format: office files by their UDF, old Word files by printable runs, others as UTF-8."""
+    """Text by format: office files, PDF and mail by their UDFs, old binary formats by printable runs, others as UTF-8.
+
+    A PDF without a reader, and a broken office file, have no text (null).
+    """
     from siftstone.sources.files import decoded, printable_runs
 
-    return F.when(path_extension.isin(*_OFFICE), office(path_extension, content)).when(path_extension == "doc", printable_runs(content)).otherwise(decoded(content))
+    of = path_extension.isin
+    return F.when(of(*_OFFICE), office(path_extension, content)).when(of("pdf"), pdf(content)).when(of("eml", "mbox"), mail_text(content)).when(of("doc", "xls", "ppt", "msg"), printable_runs(content)).otherwise(decoded(content))
 
 
 def pdf_text(content: bytes | None) -> str | None:

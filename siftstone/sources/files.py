@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 from pathlib import Path
@@ -64,12 +65,21 @@ def ignore_patterns(*folders: str) -> list[str]:
     return out
 
 
+def scan_root(path: str) -> str:
+    """The folder to scan: a blank path, "/", "." and "./" mean the working folder, relative paths lie below it; URLs stay."""
+    path = path.strip()
+    if re.match(r"^[a-zA-Z][\w+.-]*:", path):
+        return path
+    return str(Path.cwd() if path in ("", "/", ".", "./") else (Path.cwd() / path).resolve())
+
+
 def discover(spark: SparkSession, path: str, most_bytes: int = 100 * 1024 * 1024, kinds: list[str] | None = None, patterns: list[str] | None = None, with_content: bool = True) -> tuple[DataFrame, DataFrame]:
     """(files, skipped): files are path, kind, size, [content]; skipped counts the others by reason.
 
     Only sizes and names are read for the decision; contents are read for what is left. Spark lists no files of length 0, so
     these are neither found nor counted. A path that isn't there is Spark's error.
     """
+    path = scan_root(path)
     root = path.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     relative = F.regexp_replace(F.col("path"), f"^(?:file:)?/*{_quoted(root.lstrip('/'))}/*", "")
@@ -88,7 +98,7 @@ def discover(spark: SparkSession, path: str, most_bytes: int = 100 * 1024 * 1024
 
 def decoded(content: Column) -> Column:
     """Text of a file's first 10 MB; bytes that are no UTF-8 become replacement marks."""
-    return F.decode(F.substring(content, 1, TEXT_BYTES), "UTF-8")
+    return F.make_valid_utf8(F.substring(content, 1, TEXT_BYTES).cast("string"))
 
 
 def printable_runs(content: Column, least: int = 4) -> Column:

@@ -17,7 +17,7 @@ def test_attack_rows(spark):
     ]
     got = D.attack_rows(spark.createDataFrame(bundles, OBJECT)).collect()
     assert [(r["name"], r["technique_id"], r["subcategory"], r["severity"]) for r in got] == [("Phish", "T1", "malicious.exploit", "critical"), ("M", "", "malicious.malware", "critical")]
-    assert got[0]["text"] == "# Phish\n\nTechnique: T1\nTactics: discovery, impact\nPlatforms: Linux\n\nwords" and got[1]["text"] == "# M\n\n\nwords"
+    assert got[0]["text"] == "# Phish\n\nTechnique: T1\nTactics: discovery, impact\nPlatforms: Linux\n\nwords" and got[1]["text"] == "# M\n\nType: malware\n\nwords"
 
 
 def test_advisory_text(spark):
