@@ -111,15 +111,19 @@ def rule_numbers(text: Column, rules: list[Rule] = RULES) -> Column:
     return F.array_sort(F.array_compact(F.array(*first)))
 
 
-def rule_finding(text: Column, rule: Rule) -> Column:
-    def of(found: Column) -> Column:
+def rule_finding(text: Column, number: Column, rules: list[Rule] = RULES) -> Column:
+    """The finding of the rule of a number: its matches are made once, then read for words and extracted data."""
+    of = lambda values: F.get(F.array(*map(F.lit, values)), number)
+    sub = of([r.subcategory for r in rules])
+
+    def made(found: Column) -> Column:
         shown = F.transform(F.slice(found, 1, SHOWN), shortened)
         more = F.when(F.size(found) > SHOWN, F.concat(F.lit(" (+"), (F.size(found) - SHOWN).cast("string"), F.lit(" more)"))).otherwise("")
         extracted = F.map_from_entries(F.transform(shown, lambda x, i: F.struct(F.concat(F.lit("match_"), (i + 1).cast("string")).alias("key"), x.alias("value"))))
-        return finding(F.lit(rule.subcategory.split(".")[0]), F.lit(rule.subcategory), F.concat(F.lit(f"{rule.label}: "), F.array_join(shown, ", "), more), F.lit(rule.severity), F.lit("regex"), extracted)
+        return finding(F.substring_index(sub, ".", 1), sub, F.concat(of([r.label for r in rules]), F.lit(": "), F.array_join(shown, ", "), more), of([r.severity for r in rules]), F.lit("regex"), extracted)
 
-    # A list of one, so that the matches are a variable that is read four times, not an expression made four times.
-    return F.get(F.transform(F.array(match_list(text, rule.pattern)), of), F.lit(0))
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, of([unicode(r.pattern) for r in rules]), F.lit(0))))
+    return F.get(F.transform(F.array(found), made), F.lit(0))
 
 
 def unsafe_yaml(text: Column, every: bool = False) -> Column:
@@ -142,8 +146,9 @@ def safety_net(text: Column, found: Column | None = None, rules: list[Rule] = RU
     """
     hit = rule_numbers(text, rules) if numbers is None else numbers
     have = lambda category: F.lit(False) if found is None else F.coalesce(F.exists(found, lambda f: f["category"] == category), F.lit(False))
-    speaks = lambda n: F.array_contains(hit, n) & ~have(rules[n].subcategory.split(".")[0])
-    net = F.array_compact(F.array(*[F.when(speaks(n), rule_finding(text, r)) for n, r in enumerate(rules)]))
+    categories = F.array(*[F.lit(r.subcategory.split(".")[0]) for r in rules])
+    speaking = hit if found is None else F.filter(hit, lambda n: ~F.coalesce(F.exists(found, lambda f: f["category"] == F.get(categories, n)), F.lit(False)))
+    net = F.transform(speaking, lambda n: rule_finding(text, n, rules))
     call = F.substring(F.get(F.regexp_extract_all(text, F.lit(unicode(YAML_LOAD)), F.lit(0)), F.lit(0)), 1, 200)
     yaml = F.array(finding(F.lit("malicious"), F.lit("malicious.exploit"), F.lit("yaml load without safe loader"), F.lit("critical"), F.lit("regex"), evidence=call)).cast(FINDINGS)
     exploits = F.arrays_overlap(hit, F.array(*[F.lit(n) for n, r in enumerate(rules) if r.subcategory == "malicious.exploit"]))
