@@ -195,10 +195,39 @@ def test_deviation_from_true_weights_does_not_grow(spark, docs, sizes, weights):
         assert np.all(np.abs(had - w * (slot + 1)) < 2 + w * len(w)) and had.sum() == slot + 1
 
 
+@pytest.mark.parametrize("sizes,weights", [((9000, 18000, 33000), (1, 2, 4)), ((4000, 8000), (1 / 3, 2 / 3)), ((6400, 1700, 300, 4900, 77), None), ((3000, *[200] * 60), (0.3, *[0.7 / 60] * 60))])
+def test_below_one_block_whatever_the_weights(spark, sizes, weights):
+    made = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "k int, n int").selectExpr("explode(sequence(0, n - 1)) AS i", "k").selectExpr("CAST(k * 100000 + i AS BIGINT) AS doc_id", "concat('s', lpad(k, 3, '0')) AS source")
+    given = {f"s{k:03}": x for k, x in enumerate(weights)} if weights else None
+    blocks = lambda period: sorted((r["slot"], r["source"], r["block"], r["release"], r["deadline"]) for r in mixing.mix_sources(made, given, period=period, block_docs=4).where("block_offset = 0").collect())
+    got = blocks(64)
+    assert got == blocks(1000) and all(release <= slot < due for slot, _, _, release, due in got)  # the cut into periods doesn't show
+    w = np.array(weights or np.sqrt(sizes)) / sum(weights or np.sqrt(sizes))
+    end = min(max(x[0] for x in got if x[1] == f"s{k:03}") for k in range(len(sizes)))
+    had = np.zeros(len(w))
+    for slot, name, *_ in got:
+        if slot > end:
+            break
+        had[int(name[1:])] += 1
+        assert np.abs(had - w * (slot + 1)).max() < 1 + 1e-5 and had.sum() == slot + 1
+
+
+def test_many_sources(spark):
+    """More sources than a row may hold: small ones share the pool, each keeps its share, no place is given twice."""
+    made = spark.range(60_000).selectExpr("id AS doc_id", "IF(id < 20000, 'hot', concat('h', id % 20000)) AS source")
+    got = mixing.mix_sources(made, block_docs=1).toPandas()
+    assert len(got) == 60_000 == got["mix_order"].nunique() and got["slot"].max() < mixing.AFTER
+    w = np.sqrt(20_000) / (np.sqrt(20_000) + 20_000 * np.sqrt(2))
+    hot = got[got["source"] == "hot"]["slot"].sort_values().to_numpy()[:300]
+    assert np.abs(np.arange(1, 301) - w * (hot + 1)).max() < 1.01
+
+
 def test_mixing_edges(spark, docs):
     assert mixing.mix_sources(docs({})).count() == 0 and mixing.mix_sources(docs([(None, None), (1, "a"), (1, "a")], source=None)).count() == 3
     left = mixing.mixed(docs([(None, None), (1, "a"), (1, "a"), (2, "b")]))
     assert left.count() == 4 and left.columns == docs({}).columns
+    named = docs({1: "a", 2: "b"}).selectExpr("*", "1 AS mix_id", "2 AS mix_order", "3 AS __id", "4 AS __order")
+    assert mixing.mixed(named).columns == named.columns and mixing.mixed(named).count() == 2
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
