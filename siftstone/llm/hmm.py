@@ -3,7 +3,7 @@
 A state emits a symbol: the end of a document, one of the most frequent words, or a class of other words (by the
 last two bytes); a word of a class then has its smoothed share of the class's training tokens. Word counts cover all
 training documents and stay a distributed table; only a bounded head of it is broadcast, the rest is joined.
-Expected counts of Baum-Welch are summed over partitions in every sweep: some sweeps over a sample first, to place the
+Expected counts of Baum-Welch, of whole sequences, are summed over partitions in every sweep: some sweeps over a sample first, to place the
 states, then sweeps over all training documents. Scores are exact log-likelihoods by the scaled forward recursion.
 """
 
@@ -25,7 +25,8 @@ CLASSES = 64
 END = np.int64(-(1 << 62) - CLASSES)
 #: Words whose counts are broadcast (16 bytes each), and those of them that are symbols of their own.
 HEAD_WORDS, SYMBOL_WORDS = 262_144, 4096
-SEGMENT = 64
+#: Tokens of a sequence that is stepped through as it is; a longer one is taken in segments of SEGMENT, all at once. Cells of one group.
+WHOLE, SEGMENT, CELLS = 1024, 256, 1 << 18
 HALF = np.log10(0.5)
 
 
@@ -155,36 +156,103 @@ class Hmm:
         return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def expected(model: Hmm, symbols: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, moves, emissions by symbol) of segments, a row each, the first of it always real."""
+def expected(model: Hmm, symbols: np.ndarray, mask: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts (start, moves, emissions by symbol) of sequences, a row each, the first symbol of it always real.
+
+    before, after: for segments of a longer sequence, the states' probabilities at the symbol before (a row that isn't above
+    0 anywhere: there is none), and the likelihood of all that follows by the last state.
+    """
     n, length = symbols.shape
     states = len(model.start)
     seen = model.emit[symbols.T]
+    inner = np.zeros(n, bool) if before is None else before.any(1)
     alpha, scale = np.empty((length, n, states)), np.ones((length, n, 1))
-    now = model.start * seen[0]
+    now = (model.start if before is None else np.where(inner[:, None], before @ model.move, model.start)) * seen[0]
     for t in range(length):
         if t:
             now = np.where(mask[:, t, None], (alpha[t - 1] @ model.move) * seen[t], alpha[t - 1])
         scale[t] = now.sum(1, keepdims=True)
         now = now / scale[t]
         alpha[t] = now
-    beta = np.ones((n, states))
+    beta = np.ones((n, states)) if after is None else after / (alpha[-1] * after).sum(1, keepdims=True)
     moves = np.zeros((states, states))
     emit = np.zeros((len(model.emit), states))
     posterior = np.empty_like(alpha)
-    posterior[-1] = alpha[-1]
+    posterior[-1] = alpha[-1] * beta
     for t in range(length - 1, 0, -1):
         ahead = seen[t] * beta / scale[t]
         real = mask[:, t, None]
         moves += (alpha[t - 1] * real).T @ ahead
         beta = np.where(real, ahead @ model.move.T, beta)
         posterior[t - 1] = alpha[t - 1] * beta
+    if before is not None:
+        moves += before[inner].T @ (seen[0] * beta / scale[0])[inner]
     flat = mask.T.ravel()
     of = symbols.T.ravel()[flat]
     p = posterior.reshape(-1, states)[flat]
     for k in range(states):
         emit[:, k] = np.bincount(of, p[:, k], len(emit))
-    return posterior[0].sum(0), moves * model.move, emit
+    return posterior[0][~inner].sum(0), moves * model.move, emit
+
+
+def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences as rows of one matrix, and where they are real."""
+    size = np.array([len(t) for t in texts])
+    mask = np.arange(size.max()) < size[:, None]
+    out = np.zeros(mask.shape, np.int64)
+    out[mask] = np.concatenate(texts)
+    return out, mask
+
+
+class Segments:
+    """A long sequence in segments: what each does to the states' probabilities is a matrix, found for all segments at once; only the chain of matrices is walked one by one."""
+
+    def __init__(self, model: Hmm, text: np.ndarray):
+        states = len(model.start)
+        self.symbols, self.mask = padded([text[a : a + SEGMENT] for a in range(0, len(text), SEGMENT)])
+        n = len(self.symbols)
+        now = np.repeat(model.move[None], n, axis=0)
+        now[0] = model.start
+        logs = np.zeros(n)
+        for t in range(self.symbols.shape[1]):
+            real = self.mask[:, t, None, None]
+            step = (now if t == 0 else now @ model.move) * model.emit[self.symbols[:, t]][:, None, :]
+            scale = np.where(real, step.max((1, 2), keepdims=True), 1)
+            now = np.where(real, step / scale, now)
+            logs += np.log10(scale[:, 0, 0])
+        self.before, self.after = np.zeros((n, states)), np.ones((n, states))
+        at, self.log = now[0, 0], logs.sum()
+        for k in range(n):
+            if k:
+                self.before[k] = at
+                at = at @ now[k]
+            total = at.sum()
+            at, self.log = at / total, self.log + np.log10(total)
+        for k in range(n - 1, 0, -1):
+            back = now[k] @ self.after[k]
+            self.after[k - 1] = back / back.max()
+
+
+def groups(texts: list[np.ndarray]) -> Iterator[list[int]]:
+    """Indexes of sequences of up to WHOLE tokens, by length, in groups of about CELLS cells."""
+    order = [i for i in np.argsort([len(t) for t in texts], kind="stable").tolist() if len(texts[i]) <= WHOLE]
+    a = 0
+    for b in range(1, len(order) + 1):
+        if b == len(order) or (b - a + 1) * len(texts[order[b]]) > CELLS:
+            yield order[a:b]
+            a = b
+
+
+def all_expected(model: Hmm, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Expected counts of whole sequences, however long."""
+    for some in groups(texts):
+        yield expected(model, *padded([texts[i] for i in some]))
+    for text in texts:
+        if len(text) > WHOLE:
+            whole, most = Segments(model, text), max(1, CELLS // SEGMENT)
+            for a in range(0, len(whole.symbols), most):
+                part = slice(a, a + most)
+                yield expected(model, whole.symbols[part], whole.mask[part], whole.before[part], whole.after[part])
 
 
 def sweep(tokens: DataFrame, model: Hmm, weight: np.ndarray) -> Hmm:
@@ -197,18 +265,10 @@ def sweep(tokens: DataFrame, model: Hmm, weight: np.ndarray) -> Hmm:
         model: Hmm = shared.value
         start, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
         for batch in incoming:
-            texts = batch.column("symbols")
-            size = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-            flat = np.frombuffer(texts.buffers()[2], np.uint16)[size[0] // 2 : size[-1] // 2]
-            size = (size - size[0]) // 2
-            parts = -(-np.diff(size) // SEGMENT)
-            begin = np.repeat(size[:-1] - SEGMENT * (np.cumsum(parts) - parts), parts) + SEGMENT * np.arange(int(parts.sum()))
-            left = np.minimum(np.repeat(size[1:], parts) - begin, SEGMENT)
-            for i in range(0, len(begin), 1024):
-                mask = np.arange(SEGMENT) < left[i : i + 1024, None]
-                at = np.where(mask, begin[i : i + 1024, None] + np.arange(SEGMENT), 0)
-                s, m, e = expected(model, flat[at].astype(np.int64), mask)
+            texts = [np.frombuffer(x, np.uint16) for x in batch.column("symbols").to_pylist()]
+            for s, m, e in all_expected(model, texts):
                 start, moves, emit = start + s, moves + m, emit + e
+            give_back()
         used = np.flatnonzero(emit.any(1))
         rows = np.concatenate((emit[used], moves, start[None]))
         slot = np.concatenate((used, -1 - np.arange(states + 1)))
@@ -221,22 +281,23 @@ def sweep(tokens: DataFrame, model: Hmm, weight: np.ndarray) -> Hmm:
 
 
 def log_likelihoods(model: Hmm, texts: list[np.ndarray]) -> np.ndarray:
-    """log10 of each sequence's probability, all of them a step at a time."""
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    sizes = np.array([len(texts[i]) for i in order])
-    first = np.cumsum(sizes) - sizes
-    flat = np.concatenate([texts[i] for i in order]).astype(np.int64)
-    total = np.zeros(len(texts))
-    alive = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
-    now = np.empty((0, 0))
-    for t, n in enumerate(alive.tolist()):
-        seen = model.emit[flat[first[:n] + t]]
-        now = (model.start if t == 0 else now[:n] @ model.move) * seen
-        scale = now.sum(1)
-        now /= scale[:, None]
-        total[:n] += np.log10(scale)
-    out = np.empty(len(texts))
-    out[order] = total
+    """log10 of each sequence's probability; sequences of up to WHOLE tokens a step at a time, longer ones by segments."""
+    out = np.zeros(len(texts))
+    for some in groups(texts):
+        symbols, mask = padded([texts[i] for i in some])
+        now, total = None, np.zeros(len(some))
+        for t in range(symbols.shape[1]):
+            real = mask[:, t]
+            step = (model.start if t == 0 else now[real] @ model.move) * model.emit[symbols[real, t]]
+            scale = step.sum(1)
+            if now is None:
+                now = np.zeros((len(some), len(model.start)))
+            now[real] = step / scale[:, None]
+            total[real] += np.log10(scale)
+        out[some] = total
+    for i, text in enumerate(texts):
+        if len(text) > WHOLE:
+            out[i] = Segments(model, text).log
     return out
 
 
@@ -248,7 +309,8 @@ def score_texts(docs: DataFrame, states: int = 8, warm_sweeps: int = 6, warm_sha
     states; sweeps over all of them follow.
 
     Returns doc_id, held_out, n_tokens, n_known (tokens whose training count is above 0), train_tokens, base_score (add-half
-    unigram), score (the model's). Null text is empty: one end. Each row has its own result and null ids train;
+    unigram), score (the model's). Sequences are whole in training and scoring, however long: a long one is taken in segments
+    with what comes before and after them. Null text is empty: one end. Each row has its own result and null ids train;
     without training documents base_score is 0. Other columns aren't read; an empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -173,6 +173,47 @@ def test_baum_welch_never_falls():
         model = model.next(dict(enumerate(emit)) | {-1 - k: m for k, m in enumerate(moves)} | {-3: start}, weight)
 
 
+def test_long_sequences_are_whole(monkeypatch):
+    """Segments give what one pass over the whole sequence gives: likelihoods, starts, moves over the cuts, emissions."""
+    r = np.random.default_rng(6)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    model = hmm.Hmm(norm(r.random(3), 0), norm(r.random((3, 3)) ** 4, 1), norm(r.random((5, 3)), 0))
+    texts = [r.integers(0, 5, n).astype(np.uint16) for n in (1, 6, 7, 8, 50, 91)]
+    total = lambda: [sum(x) for x in zip(*hmm.all_expected(model, texts))]
+    want, scores = total(), hmm.log_likelihoods(model, texts)
+    monkeypatch.setattr(hmm, "WHOLE", 5)
+    monkeypatch.setattr(hmm, "SEGMENT", 7)
+    monkeypatch.setattr(hmm, "CELLS", 28)
+    assert all(np.allclose(a, b) for a, b in zip(total(), want)) and np.allclose(hmm.log_likelihoods(model, texts), scores)
+    assert np.isclose(want[1].sum(), sum(len(t) - 1 for t in texts)) and np.isclose(want[0].sum(), len(texts))
+
+
+def test_score_of_the_query_by_force(docs, monkeypatch):
+    """score: the likelihood of the symbols, and for each word of a class its smoothed share of the class."""
+    models, known = [], []
+    monkeypatch.setattr(hmm, "HEAD_WORDS", 30)
+    monkeypatch.setattr(hmm, "SYMBOL_WORDS", 10)
+    monkeypatch.setattr(hmm, "sweep", lambda *a, f=hmm.sweep: (models.append(f(*a)), models[-1])[1])
+    monkeypatch.setattr(hmm.Vocabulary, "__init__", lambda self, *a, f=hmm.Vocabulary.__init__: (f(self, *a), known.append(self))[0])
+    r = random.Random(8)
+    texts = {i: " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randrange(0, 60))) for i in range(120)}
+    got = {x["doc_id"]: x["score"] for x in hmm.score_texts(docs(texts), states=3).collect()}
+    model, v = models[-1], known[-1]
+    key = lambda w: int(hmm.word_keys(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    train = Counter(key(w) for i, t in texts.items() if not held(i, 5, 1) for w in word_list(t))
+    symbols = {int(k): int(s) for k, s in zip(v.key, v.symbol) if s >= 0}
+    for i, t in texts.items():
+        keys, total = [key(w) for w in word_list(t)], 0.0
+        of_class = lambda k: [n for x, n in train.items() if x % 64 == k % 64 and x not in symbols]
+        for k in keys:
+            if k not in symbols:
+                total += math.log10((train[k] + 0.5) / (sum(of_class(k)) + 0.5 * (len(of_class(k)) + 1)))
+        now = model.start
+        for n, s in enumerate([symbols.get(k, 1 + v.words + k % 64) for k in keys] + [0]):
+            now = (now if n == 0 else now @ model.move) * model.emit[s]
+        assert abs(got[i] - total - math.log10(now.sum())) < 1e-6
+
+
 @pytest.mark.parametrize("text, n", [("", 0), ("a!b", 3), ("Éa", 2)])
 def test_grams(text, n):
     import pyarrow as pa
