@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pca_tiled_dedup": vector_dedup.ORACLE, "op3_norm_sorted_topk": topk.ORACLE, "op7_tensored_minhash": minhash.ORACLE, "op10_pfair_mixing": mixing.ORACLE}
+    return {"op2_pca_tiled_dedup": vector_dedup.ORACLE, "op3_norm_sorted_topk": topk.ORACLE, "op6_bucket_pointer_dedup": suffix.ORACLE, "op7_tensored_minhash": minhash.ORACLE, "op10_pfair_mixing": mixing.ORACLE}

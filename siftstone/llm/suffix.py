@@ -3,14 +3,15 @@
 1. Every 50-byte string has an anchor, the least hash of its 20-byte grams, so equal strings have equal anchors. Anchors
    (one for about 16 bytes) go, in blobs, to hash ranges, where those of several documents are told apart from the rest.
 2. Documents meet their shared anchors again. What stands around a shared anchor (all 50-byte strings with it) is a
-   span. Equal spans within a group are sent on once, with the least document; the others are settled there and then.
-3. In each hash range, spans go into suffix buckets: first by 8-byte grams, then refined to 16, 32 and 50 bytes by
-   sorting on the bucket numbers of the bytes that follow, each step using the numbers of the step before. A
-   bucket of 50 bytes is one string; those that start in a document with a smaller doc_id are marked.
+   span. Spans that are equal byte for byte within a group are combined before they move: the first goes on, and later
+   documents' are marked, as the first document holds them.
+3. In each hash range, all places of all spans go into suffix buckets, first by 8-byte grams; unresolved buckets are
+   refined by the bucket pointers of later offsets, new pointers serving at once, until 50 bytes are settled. Strings
+   that start in a document with a smaller doc_id are marked.
 4. Documents meet their marks and are cut.
 
-Hashes only decide what is compared; equality is decided on bytes. Groups are hash ranges of texts or of distinct spans,
-whose number grows with spark.sql.shuffle.partitions.
+Hashes only decide what is compared; equality is decided on bytes. Groups are hash ranges of texts or of spans, of about
+GROUP_BYTES of text, or as many as spark.sql.shuffle.partitions if that is more.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import batches, conf_int, give_back, mix, stream, text_array, text_bytes
-from siftstone.llm.words import _BASE
+from siftstone.llm.common import batches, conf_int, forget, give_back, mix, small_or_shuffled, stream, text_array, text_bytes, written
+from siftstone.llm.words import SPAN, powers
 
 GRAM = 20
 #: Strings of a span at most; a longer run with one anchor is several spans.
@@ -33,6 +34,8 @@ LONGEST = 256
 _RANDOM = stream(41, 256)
 #: Text whose anchors are found at once (arrays of eight bytes a byte), and text whose anchors leave together.
 AT_ONCE, TOGETHER = 1 << 19, 4 << 20
+#: Places whose buckets are refined at once; text of a group and of a task, about, where there is more than shuffle partitions make of it.
+BUCKETS, GROUP_BYTES, TASK_BYTES = 1 << 16, 16 << 20, 256 << 20
 #: Rows between steps: packed blobs of document ids and of what belongs to each, by group.
 PARTS = "key bigint, docs binary, hashes binary, starts binary, sizes binary, data binary"
 EMPTY = np.zeros(0, np.int64)
@@ -45,10 +48,13 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     n = len(raw) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), EMPTY, EMPTY, EMPTY
-    power, inverse = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(raw), b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_RANDOM[raw] * power[: len(raw)], out=sums[1:])
-    least = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(raw) - GRAM + 1])
+    power, inverse = powers()
+    least = np.zeros(len(raw) - GRAM + 1, np.uint64)
+    for a in range(0, len(least), SPAN - GRAM + 1):
+        part = raw[a : a + SPAN]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_RANDOM[part] * power[: len(part)], out=sums[1:])
+        least[a : a + len(part) - GRAM + 1] = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(part) - GRAM + 1])
     width = 1
     while 2 * width <= length - GRAM + 1:
         least = np.minimum(least[:-width], least[width:])
@@ -137,7 +143,7 @@ def send_anchors(groups: int, homes: int, length: int):
 
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
-            texts, ids = text_array(batch.column("text")), batch.column("doc_id").to_numpy()
+            texts, ids = text_array(batch.column("text")), batch.column("row").to_numpy()
             for a, b in batches(texts, TOGETHER):
                 h, doc, _, _ = all_anchors(texts.slice(a, b - a), length)
                 order = np.argsort(h, kind="stable")
@@ -182,14 +188,14 @@ def find_shared(homes: int):
     return work
 
 
-def send_spans(groups: int, homes: int, length: int):
+def send_spans(groups: int, homes: int, length: int, shift: int):
     """Step 2, per group of documents: spans about shared anchors, each distinct one once, with its least document."""
 
     def work(key, docs, hits):
         if not hits.num_rows or not docs.num_rows:
             return table([])
-        docs = docs.filter(docs["doc_id"].is_valid()).sort_by("doc_id")
-        texts, ids = text_array(docs["text"]), docs["doc_id"].to_numpy()
+        docs = docs.filter(docs["row"].is_valid()).sort_by("row")
+        texts, ids = text_array(docs["text"]), docs["row"].to_numpy()
         asked = np.unique(mix(joined(hits["hashes"], np.uint64)) + joined(hits["docs"]).astype(np.uint64))
         seen: dict[bytes, int] = {}
         sent, pieces, settled = [(EMPTY, np.zeros(0, np.uint64), EMPTY, EMPTY)], [], [(EMPTY, EMPTY, EMPTY)]
@@ -202,7 +208,7 @@ def send_spans(groups: int, homes: int, length: int):
             h, own, start, size, begin = h[hit], own[hit], start[hit], strings[hit] + length - 1, (off[doc] + start)[hit]
             data, fresh = raw.tobytes(), np.ones(len(h), bool)
             for i, (x, y, d) in enumerate(zip(begin.tolist(), (begin + size).tolist(), own.tolist())):
-                if seen.setdefault(span := data[x:y], d) == d:
+                if seen.setdefault(span := data[x:y], d) >> shift == d >> shift:
                     pieces.append(span)
                 else:
                     fresh[i] = False
@@ -217,37 +223,74 @@ def send_spans(groups: int, homes: int, length: int):
     return work
 
 
-def refine(bucket: np.ndarray, reach: int, step: int, end: np.ndarray) -> tuple[np.ndarray, int]:
-    """Buckets of `reach` bytes refined to reach + step by the bucket that starts `step` bytes on; 0 where a span ends before."""
-    at = np.flatnonzero(np.arange(len(bucket), dtype=np.int32) + np.int32(reach + step) <= end)
-    _, finer = np.unique(bucket[at].astype(np.int64) * (int(bucket.max(initial=0)) + 1) + bucket[at + step], return_inverse=True)
-    out = np.zeros(len(bucket), np.int32)
-    out[at] = finer + 1
-    return out, reach + step
-
-
 def string_buckets(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
-    """Bucket (from 1) of the `length` bytes from each place of the spans that lie in `data` one after another; 0 where less is left."""
-    end = np.repeat(np.cumsum(size).astype(np.int32), size)
+    """Class (from 1) of the `length` bytes from each place of the spans that lie in `data` one after another; 0 where less is left.
+
+    Bucket-pointer refinement. Places are sorted into buckets by their first eight bytes; a place's pointer is its
+    bucket's first rank. A bucket that isn't resolved (several places, known to agree in `depth` bytes, fewer than `length`) is
+    sorted by the pointers `depth` bytes on, and falls into buckets that agree in so many bytes more as the bucket
+    pointed to does. New pointers stand at once: they serve the buckets' own next refinement, which follows directly,
+    and all later ones. Resolved buckets aren't sorted again.
+    """
+    n = len(data)
+    end = np.repeat(np.cumsum(size), size)
+    left = (end - np.arange(n)).astype(np.int32)
+    short = np.minimum(left, 8).astype(np.int8)
     wide = np.concatenate((data, np.zeros(8, np.uint8)))
-    gram = np.zeros(len(data), np.uint64)
+    gram = np.zeros(n, np.uint64)
     for k in range(8):
-        gram = gram << np.uint64(8) | wide[k : k + len(data)]
-    at = np.flatnonzero(np.arange(len(data)) + 8 <= end)
-    bucket = np.zeros(len(data), np.int32)
-    bucket[at] = np.unique(gram[at], return_inverse=True)[1] + 1
-    del gram, at, wide
-    reach = 8
-    while reach < length:
-        bucket, reach = refine(bucket, reach, min(reach, length - reach), end)
-    return bucket
-
-
-def stretches(order: np.ndarray, anchor: np.ndarray, spans: list[bytes]) -> Iterator[np.ndarray]:
-    """Spans in order of their anchors, in stretches of AT_ONCE bytes or one anchor; equal strings have equal anchors."""
+        gram = gram << np.uint64(8) | np.where(short > k, wide[k : k + n], 0).astype(np.uint64)
+    order = np.lexsort((short, gram)).astype(np.int32)
+    new = np.ones(n, bool)
+    new[1:] = (gram[order[1:]] != gram[order[:-1]]) | (short[order[1:]] != short[order[:-1]])
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, n))
+    pointer, depth = np.empty(n, np.int32), np.full(n, length, np.int32)
+    pointer[order] = np.repeat(starts, sizes)
+    depth[starts] = np.where(short[order[starts]] == 8, 8, length)  # a shorter rest ends there
+    todo = (sizes > 1) & (depth[starts] < length)
+    starts, sizes = starts[todo], sizes[todo]
+    stretch = np.cumsum(sizes) // BUCKETS
+    for at in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(stretch)) + 1) if len(starts) else ():
+        begin, many = starts[at], sizes[at]
+        while len(begin):
+            place = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            bucket, here = np.repeat(begin, many), order[place]
+            known = depth[bucket]
+            ahead = pointer[np.minimum(here + known, n - 1)]
+            ahead[left[here] <= known] = -1
+            by = np.lexsort((ahead, bucket))
+            here, ahead = here[by], ahead[by]
+            order[place] = here
+            first = np.ones(len(place), bool)
+            first[1:] = (bucket[1:] != bucket[:-1]) | (ahead[1:] != ahead[:-1])
+            cut = np.flatnonzero(first)
+            many, begin = np.diff(np.append(cut, len(place))), place[cut]
+            reach = np.where(ahead[cut] < 0, length, np.minimum(known[cut] + depth[ahead[cut]], length))
+            pointer[here] = np.repeat(begin, many)
+            depth[begin] = reach
+            more = (many > 1) & (reach < length)
+            begin, many = begin[more], many[more]
+    # Ranks are by all that was compared, which may be more than `length` bytes: neighbours that agree in these are one class.
+    whole = order[left[order] >= length]
+    same = pointer[whole[1:]] == pointer[whole[:-1]]
+    maybe = np.flatnonzero(~same)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        maybe = maybe[gram[whole[maybe + 1] + k] == gram[whole[maybe] + k]]
+    same[maybe] = True
+    out = np.zeros(n, np.int32)
+    out[whole] = np.cumsum(np.concatenate((np.ones(min(len(whole), 1), bool), ~same)))
+    return out
+
+
+def stretches(anchor: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Uses in order of their anchors, in stretches of AT_ONCE bytes or one anchor; equal strings have equal anchors. An anchor of one use holds nothing twice."""
+    order = np.argsort(anchor, kind="stable")
+    _, times = np.unique(anchor, return_counts=True)
+    order = order[np.repeat(times > 1, times)]
     if not len(order):
         return
-    ends = np.cumsum([len(spans[i]) for i in order.tolist()])
+    ends = np.cumsum(size[order])
     last = np.flatnonzero(np.append(anchor[order][1:] != anchor[order][:-1], True)) + 1
     a = done = 0
     for b in last.tolist():
@@ -256,18 +299,17 @@ def stretches(order: np.ndarray, anchor: np.ndarray, spans: list[bytes]) -> Iter
             a, done = b, ends[b - 1]
 
 
-def held_strings(spans: list[bytes], some: np.ndarray, least: np.ndarray, kind: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of runs of strings that a smaller document holds, for uses (kind, doc, start, size) of some spans."""
-    bytes_of = np.array([len(spans[i]) for i in some.tolist()])
-    bucket = string_buckets(np.frombuffer(b"".join(spans[i] for i in some.tolist()), np.uint8), bytes_of, length)
+def held_strings(data: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of runs of strings that a document with a smaller id holds, for spans (row, start, size) whose bytes lie in `data`."""
+    bucket = string_buckets(data, size, length)
+    own = np.repeat(np.arange(len(size)), size)
+    step = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.flatnonzero(bucket)
+    bucket, own, step = bucket[at], own[at], step[at]
+    ids = doc >> shift
     first = np.full(int(bucket.max(initial=0)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, bucket, np.repeat(least[some], bytes_of))
-    begin = np.cumsum(bytes_of) - bytes_of
-    by_kind = np.argsort(some)
-    p, n = by_kind[np.searchsorted(some[by_kind], kind)], size - length + 1
-    own = np.repeat(np.arange(len(kind)), n)
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    held = first[bucket[begin[p][own] + step]] < doc[own]
+    np.minimum.at(first, bucket, ids[own])
+    held = first[bucket] < ids[own]
     own, step = own[held], step[held]
     if not len(own):
         return EMPTY, EMPTY, EMPTY
@@ -278,31 +320,19 @@ def held_strings(spans: list[bytes], some: np.ndarray, least: np.ndarray, kind:
     return doc[own[a]], start[own[a]] + step[a], start[own[a]] + step[z] + length
 
 
-def mark_repeats(homes: int, length: int):
+def mark_repeats(homes: int, length: int, shift: int):
     """Step 3, per hash range: bytes of strings that a document with a smaller id holds."""
 
     def work(key, part):
         if key[0].as_py() < 0:
             return table([(-1 - key[0].as_py(), squeeze(joined(part["docs"])), None, squeeze(joined(part["starts"])), squeeze(joined(part["sizes"])), None)])
         doc, h, start, size = joined(part["docs"]), joined(part["hashes"], np.uint32), joined(part["starts"]), joined(part["sizes"])
-        data = b"".join(zstandard.decompress(x) for x in part["data"].to_pylist())
-        cut = np.cumsum(size)
-        text: dict[bytes, int] = {}
-        kind = np.fromiter((text.setdefault(data[x:y], len(text)) for x, y in zip((cut - size).tolist(), cut.tolist())), np.int64, len(size))
-        least = np.full(len(text), np.iinfo(np.int64).max)
-        np.minimum.at(least, kind, doc)
-        anchor = np.zeros(len(text), np.uint32)
-        anchor[kind] = h
-        _, at, times = np.unique(anchor, return_inverse=True, return_counts=True)
-        alone = times[at] == 1
-        # The only span of its anchor: later documents hold all of it.
-        whole = alone[kind] & (doc > least[kind])
-        marks = [(doc[whole], start[whole], (start + size)[whole])]
-        spans = list(text)
-        mixed = np.flatnonzero(~alone)
-        for some in stretches(mixed[np.argsort(anchor[mixed], kind="stable")], anchor, spans):
-            use = np.flatnonzero(np.isin(kind, some))
-            marks.append(held_strings(spans, some, least, kind[use], doc[use], start[use], size[use], length))
+        data = np.frombuffer(b"".join(zstandard.decompress(x) for x in part["data"].to_pylist()), np.uint8)
+        begin, marks = np.cumsum(size) - size, [(EMPTY, EMPTY, EMPTY)]
+        for some in stretches(h, size):
+            n = size[some]
+            bytes_of = data[np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            marks.append(held_strings(bytes_of, doc[some], start[some], n, length, shift))
         give_back()
         return table(marks_to_home(*(np.concatenate(x) for x in zip(*marks)), homes, negative=False))
 
@@ -340,7 +370,7 @@ def cut_documents(columns: Sequence[str], with_text: bool):
         doc, start, end = joined(marks["docs"]), joined(marks["starts"]), joined(marks["sizes"])
         order = np.lexsort((start, doc))
         doc, start, end = doc[order], start[order], end[order]
-        ids = docs["doc_id"].to_pylist()
+        ids = docs["row"].to_pylist()
         known = np.array([NO_ID if i is None else i for i in ids], np.int64)
         low, high = np.searchsorted(doc, known).tolist(), np.searchsorted(doc, known, "right").tolist()
         size, removed, count, digest, kept = [], [], [], [], []
@@ -366,27 +396,53 @@ def cut_documents(columns: Sequence[str], with_text: bool):
     return work
 
 
+def with_rows(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """`docs` (doc_id, text, ...) with a number a row, the bits of it below the id, and the bytes of all texts.
+
+    The number is the doc_id, and there are no bits below, unless rows repeat an id with another text. Then it is the id's
+    place among all ids and, in the last 16 bits, the text's place among the id's texts.
+    """
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    one = hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.sum("n").alias("n"))
+    one = one.agg(F.sum("n").alias("n"), F.max(F.col("doc_id").isNotNull() & (F.col("a") != F.col("b"))).alias("unlike")).first()
+    if not one["unlike"]:
+        return docs.withColumn("row", F.col("doc_id")), 0, one["n"] or 0
+    texts = hashed.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h")).distinct()
+    ids = written(texts.select(F.col("r_id").alias("i")).distinct().orderBy("i").select("i", F.shiftleft(F.monotonically_increasing_id(), 16).alias("base")), "ids")
+    other = F.least(F.row_number().over(Window.partitionBy("r_id").orderBy("r_h")) - 1, F.lit(65535))
+    rows = written(texts.withColumn("other", other).join(ids, F.col("r_id") == F.col("i")).select("r_id", "r_h", (F.col("base") + F.col("other")).alias("row")), "rows")
+    forget(ids)
+    return docs.join(small_or_shuffled(rows), (F.col("doc_id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_h")), "left").drop("r_id", "r_h"), 16, one["n"] or 0
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts in a document with a smaller doc_id.
 
     Texts are UTF-8 bytes (null: empty); strings are judged on the input and never cross documents. Returns a row a
     document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes).
     with_text adds kept_text: the text without the characters wholly within removed runs, so that it stays valid; a
-    null text stays null. carry names columns of `docs` to pass on, as carry_0, carry_1, ... Rows with a null id take no part and keep all. Rows that repeat a doc_id don't count as earlier for each
-    other, but share their marks; an empty table gives no rows.
+    null text stays null. carry names columns of `docs` to pass on, as carry_0, carry_1, ...; their own names don't matter.
+
+    Rows with a null id take no part and keep all. Rows that repeat a doc_id don't count as earlier for each other; each is
+    cut by its own text. A very long text is read in one piece by one task (some 60 bytes a byte of it). An empty table
+    gives no rows. length is 20 or more.
     """
-    parts = conf_int(docs.sparkSession, "spark.sql.shuffle.partitions", 200)
-    groups, homes = parts, parts + 1
     columns = [f"carry_{k}" for k in range(len(carry))]
-    at = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
-    texts = docs.select(F.pmod(at + F.shiftright(at, 16), F.lit(homes)).cast("bigint").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in zip(carry, columns)])
-    sent = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(send_anchors(groups, homes, length), PARTS)
-    hits = sent.groupBy("key").applyInArrow(find_shared(homes), PARTS)
-    spans = texts.groupBy("key").cogroup(hits.groupBy("key")).applyInArrow(send_spans(groups, homes, length), PARTS)
-    marks = spans.groupBy("key").applyInArrow(mark_repeats(homes, length), PARTS)
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, columns)])
+    named, shift, size = with_rows(named)
+    parts = conf_int(docs.sparkSession, "spark.sql.shuffle.partitions", 200)
+    groups, tasks = max(parts, size // GROUP_BYTES), max(parts, size // TASK_BYTES)
+    homes = groups + 1
+    dealt = lambda df: (df.repartition(int(tasks), "key") if tasks > parts else df).groupBy("key")
+    at = F.coalesce(F.col("row"), F.lit(0))
+    texts = named.select(F.pmod(at + F.shiftright(at, 16), F.lit(homes)).cast("bigint").alias("key"), "row", "doc_id", "text", *columns)
+    sent = named.select("row", "text").where("row IS NOT NULL").mapInArrow(send_anchors(groups, homes, length), PARTS)
+    hits = dealt(sent).applyInArrow(find_shared(homes), PARTS)
+    spans = dealt(texts).cogroup(dealt(hits)).applyInArrow(send_spans(groups, homes, length, shift), PARTS)
+    marks = dealt(spans).applyInArrow(mark_repeats(homes, length, shift), PARTS)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
     kinds = dict(texts.dtypes)
-    return texts.groupBy("key").cogroup(marks.groupBy("key")).applyInArrow(cut_documents(columns, with_text), schema + "".join(f", {n} {kinds[n]}" for n in columns))
+    return dealt(texts).cogroup(dealt(marks)).applyInArrow(cut_documents(columns, with_text), schema + "".join(f", {n} {kinds[n]}" for n in columns))
 
 
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -400,3 +456,17 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     if "n_chars" in named:
         named["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
     return cut.select(*[named[c].alias(c) for c in docs.columns])
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+p AS (SELECT doc_id, i, hash(substring(x, 2 * i + 1, 100)) AS s FROM (SELECT *, unnest(range(0, greatest(n - 49, 0))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM p GROUP BY s HAVING count(*) > 1),
+m AS (SELECT doc_id, i FROM p JOIN f USING (s) WHERE f.least < p.doc_id),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM m),
+r AS (SELECT doc_id, i, sum(CASE WHEN step IS NULL OR step > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+u AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM u),
+c AS (SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(x), 2 * max(b) + 1) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""

@@ -193,6 +193,23 @@ def test_repeats_null_ids_repeats_and_empty(docs):
     assert suffix.remove_repeats(docs({})).count() == 0
 
 
+def test_repeated_ids_with_other_texts_keep_their_bytes(spark):
+    rows = [(3, "0123456789" * 7), (3, "another text " + "x" * 60), (3, "another text " + "x" * 60), (5, "x" * 55), (9, "0123456789" * 6), (None, "x" * 80)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in got) == [(0, 80, 0), (3, 70, 0), (3, 73, 0), (3, 73, 0), (5, 55, 55), (9, 60, 60)]
+    named = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "1 AS `row`", "2 AS key", "3 AS carry_0", "4 AS r_id")
+    assert suffix.without_repeats(named).columns == named.columns and suffix.without_repeats(named).count() == 6
+
+
+def test_long_texts_in_stretches(docs, monkeypatch):
+    monkeypatch.setattr(suffix, "SPAN", 64)
+    monkeypatch.setattr(suffix, "BUCKETS", 16)
+    raw, off = text_bytes(text_array(pa.array(["".join(random.Random(2).choice("abc") for _ in range(500)), "ab" * 90])))
+    parts = suffix.anchors(raw, off, 50)
+    monkeypatch.undo()
+    assert all((a == b).all() for a, b in zip(parts, suffix.anchors(raw, off, 50)))
+
+
 def test_negative_ids_are_earlier(docs):
     texts = {-7: "q" * 70, -1: "q" * 60, 3: "q" * 50 + "r"}
     got = suffix.remove_repeats(docs(texts)).collect()
