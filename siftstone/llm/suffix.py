@@ -240,7 +240,11 @@ def string_buckets(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarra
     gram = np.zeros(n, np.uint64)
     for k in range(8):
         gram = gram << np.uint64(8) | np.where(short > k, wide[k : k + n], 0).astype(np.uint64)
-    order = np.lexsort((short, gram)).astype(np.int32)
+    # A shorter rest has its length in the last byte, which is free there; only where texts have such bytes is it a key of its own.
+    if ((short == 8) & ((gram & np.uint64(255)) - np.uint64(1) < np.uint64(7))).any():
+        order = np.lexsort((short, gram)).astype(np.int32)
+    else:
+        order = np.argsort(gram | np.where(short < 8, short, 0).astype(np.uint64)).astype(np.int32)
     new = np.ones(n, bool)
     new[1:] = (gram[order[1:]] != gram[order[:-1]]) | (short[order[1:]] != short[order[:-1]])
     starts = np.flatnonzero(new)
@@ -259,7 +263,7 @@ def string_buckets(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarra
             known = depth[bucket]
             ahead = pointer[np.minimum(here + known, n - 1)]
             ahead[left[here] <= known] = -1
-            by = np.lexsort((ahead, bucket))
+            by = np.argsort(bucket << 32 | (ahead + 1))
             here, ahead = here[by], ahead[by]
             order[place] = here
             first = np.ones(len(place), bool)

@@ -223,9 +223,10 @@ def test_cut_texts_keep_columns_and_characters(docs):
     assert {r["doc_id"]: (r["text"], r["n_chars"], r["keys"]) for r in left.collect()} == {1: ("a" + body, 41, "k"), 2: ("bb", 2, "k"), 3: (None, None, "k")}
 
 
-def test_bucket_refinement_is_equality():
+@pytest.mark.parametrize("letters", ["ab", "a\x00\x03\x07"])
+def test_bucket_refinement_is_equality(letters):
     r = random.Random(2)
-    spans = ["".join(r.choice("ab") for _ in range(r.randrange(50, 120))).encode() for _ in range(30)]
+    spans = ["".join(r.choice(letters) for _ in range(r.randrange(50, 120))).encode() for _ in range(30)]
     bucket = suffix.string_buckets(np.frombuffer(b"".join(spans), np.uint8), np.array([len(s) for s in spans]), 50)
     of, at = defaultdict(set), 0
     for s in spans:
