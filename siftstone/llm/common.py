@@ -135,13 +135,13 @@ def held_out(column: str, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == rest, F.lit(False))
 
 
-def batches(texts: pa.ChunkedArray | pa.Array, most: int = 2 << 20):
-    """Row ranges (first, end) of about `most` bytes of text; a longer text is a range of its own."""
+def batches(texts: pa.ChunkedArray | pa.Array, most: int = 2 << 20, rows: int = 1 << 62):
+    """Row ranges (first, end) of about `most` bytes of text and at most `rows` rows; a longer text is a range of its own."""
     off = offsets(texts)
     first, n = 0, len(off) - 1
     while first < n:
         end = int(np.searchsorted(off, off[first] + most, "right")) - 1
-        end = min(max(end, first + 1), n)
+        end = min(max(end, first + 1), first + rows, n)
         yield first, end
         first = end
 

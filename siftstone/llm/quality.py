@@ -21,6 +21,8 @@ TRIGRAMS = 2048
 #: Statistics of a text, each as one of 16 bins: distinct words, repeats of the word before, capitals, marks, digits, spaces, word length.
 STATS, BINS = 7, 16
 WIDTH = TRIGRAMS + STATS * BINS
+#: Documents whose features (WIDTH numbers each) are held at once.
+ROWS = 1024
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
 
@@ -50,7 +52,7 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
+    x = np.log1p(counts, dtype=np.float64) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -79,10 +81,10 @@ def fit(sample: DataFrame, shares: dict[int, int], rank: int) -> dict[str, np.nd
     got = sample.mapInArrow(work, "doc_id bigint, y int, x binary").toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(np.float64)
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint16).reshape(-1, WIDTH).astype(np.float32)
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1
     x = weighed(x, idf)
     values, vectors = np.linalg.eigh(x.T @ x)
-    basis = vectors[:, ::-1][:, :rank].astype(np.float32)
+    basis = np.ascontiguousarray(vectors[:, ::-1][:, :rank])
     near = x @ basis
     near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-12)
     each = np.array([shares.get(c, 0) / max((y == c).sum(), 1) for c in (0, 1)])
@@ -97,7 +99,8 @@ def vote(model: dict[str, np.ndarray], raw: np.ndarray, off: np.ndarray, k: int,
     if not k:
         return np.full(len(z), float(model["prior"]))
     cosine = z @ model["near"].T
-    at = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    # Rounded, so that the shape of a batch doesn't decide between neighbours alike; among these the smaller doc_id counts.
+    at = np.argsort(-np.round(cosine, 9), axis=1, kind="stable")[:, :k]
     w = np.maximum(np.take_along_axis(cosine, at, 1), 0).astype(np.float64) ** power * model["weight"][at]
     return ((w * model["y"][at]).sum(1) + smooth * model["prior"]) / (w.sum(1) + smooth)
 
@@ -108,7 +111,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_a_class: int = 2000
     sample_a_class bounds the labelled documents a class that are learnt from and broadcast (rank floats each); votes
     are weighted back to the classes' shares among all labels. Returns doc_id, held_out, score (0 to 1), predicted.
     Null or empty texts, and all texts where there are no labels, get the share of label 1 (0.5 without labels). Null ids
-    are not held out. Each row has its own result; other columns aren't read; empty tables give no rows.
+    are not held out. Each row has its own result, whatever stands beside it; neighbours at equal cosine count by smaller doc_id. A very
+    long text is read in one piece by one task; other columns aren't read; empty tables give no rows.
     """
     spark = docs.sparkSession
     keep = ~held_out("doc_id", 3, 1)
@@ -118,7 +122,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_a_class: int = 2000
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
             texts = text_array(batch.column("text"))
-            for a, b in batches(texts):
+            for a, b in batches(texts, rows=ROWS):
                 score = np.clip(vote(model.value, *text_bytes(texts.slice(a, b - a)), k, power), 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b].cast(pa.int64()), batch.column("held_out")[a:b], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
             give_back()

@@ -219,3 +219,31 @@ def test_grams(text, n):
     import pyarrow as pa
 
     assert len(language.grams(pa.array(["zz", text], pa.large_string()))[0]) == 2 + n
+
+
+def test_votes_by_force():
+    """Cosines in double precision, the k nearest by (cosine, order), votes by similarity; batches don't matter."""
+    import pyarrow as pa
+
+    from siftstone.llm import quality
+    from siftstone.llm.common import text_array, text_bytes
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["alpha", "beta", "GAMMA", "4711", "!?"]) for _ in range(r.randrange(0, 30))) for _ in range(40)]
+    of = lambda t: quality.features(*text_bytes(text_array(pa.array(t)))).astype(float)
+    rng = np.random.default_rng(1)
+    near = rng.normal(size=(30, 6))
+    near[7] = near[3]
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    model = {"idf": rng.random(quality.WIDTH), "basis": rng.normal(size=(quality.WIDTH, 6)), "near": near, "y": (np.arange(30) % 3 == 0).astype(float), "weight": rng.random(30), "prior": np.array(0.4)}
+    got = quality.vote(model, *text_bytes(text_array(pa.array(texts))), 5, 4.0)
+    for i, t in enumerate(texts):
+        x = np.log1p(of([t])[0]) * model["idf"]
+        z = (x / max(np.linalg.norm(x), 1e-12)) @ model["basis"]
+        z = z / max(np.linalg.norm(z), 1e-12)
+        cosine = [float(z @ v) for v in near]
+        best = sorted(range(30), key=lambda k: (-round(cosine[k], 9), k))[:5]
+        w = [max(cosine[k], 0) ** 4 * model["weight"][k] for k in best]
+        assert abs(got[i] - (sum(a * model["y"][k] for a, k in zip(w, best)) + 1e-3 * 0.4) / (sum(w) + 1e-3)) < 1e-9
+    one = np.concatenate([quality.vote(model, *text_bytes(text_array(pa.array([t]))), 5, 4.0) for t in texts])
+    assert np.abs(one - got).max() < 1e-12
