@@ -49,15 +49,14 @@ def design(doc: np.ndarray, key: np.ndarray, count: np.ndarray, known: np.ndarra
     return doc[hit], at[hit], np.log1p(count[hit])
 
 
-def related_words(doc: np.ndarray, key: np.ndarray, toxic: np.ndarray, least: int, z: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+def related_words(doc: np.ndarray, key: np.ndarray, toxic: np.ndarray, least: int, z: float) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of words in at least `least` sample documents whose shares in the classes differ by z deviations; and the signs."""
     words, at = np.unique(key, return_inverse=True)
     n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
     c1, c0 = np.bincount(at, toxic[doc], len(words)), np.bincount(at, ~toxic[doc], len(words))
     p = (c1 + c0) / (n1 + n0)
     score = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    order = np.argsort(-np.abs(score), kind="stable")[:most]
-    pick = np.sort(order[(np.abs(score[order]) >= z) & ((c1 + c0)[order] >= least)])
+    pick = np.flatnonzero((np.abs(score) >= z) & (c1 + c0 >= least))
     return words[pick], score[pick]
 
 
@@ -102,10 +101,11 @@ def predict(line: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.nd
     return above[:, 0], above.sum(1), p.argmax(1)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample_a_class: int = 4000, grades: int = 4, least: int = 5, z: float = 5.0, most_words: int = 4096) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample_a_class: int = 4000, grades: int = 4, least: int = 5, z: float = 5.0) -> DataFrame:
     """Severity of every whole text, learnt from labels.toxic of documents whose crc32(doc_id as text) mod 3 is not 1.
 
-    sample_a_class bounds the documents a class that are learnt from, most_words the words that are broadcast. Returns
+    sample_a_class bounds the documents a class that are learnt from, and with them the words that are broadcast: all of those
+    documents' that pass the test. Returns
     doc_id, held_out, score (probability of any toxicity), severity (expected grade, 0 to grades - 1), grade (the
     likeliest), predicted (1 if score >= 0.5). Null and empty texts have the score of a text without known words;
     without labels of both classes every score is 0. Each row has its own result; other columns aren't read.
@@ -134,7 +134,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_a_class: int = 400
             doc = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
             key = np.concatenate(keys)
             count = np.concatenate([np.frombuffer(x, np.int32) for x in got["counts"].to_pylist()])
-            known, score = related_words(doc, key, toxic, least, z, most_words)
+            known, score = related_words(doc, key, toxic, least, z)
             doc, feature, value = design(doc, key, count, known)
             grade = severity_grades(doc, feature, value, score, toxic, grades)
             weight = np.where(toxic, shares[1] / toxic.sum(), shares[0] / (~toxic).sum())
