@@ -127,16 +127,27 @@ def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.
 def place(sizes: np.ndarray, capacity: int, first: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Sequence and offset for pieces by falling size, which of them are placed, and the next free sequence.
 
-    Without `last`, only full sequences are made, the rest waits.
+    Without `last`, only full sequences of pieces of one size are made, the rest waits; at last all pieces that wait are joined.
     """
     order = np.argsort(-sizes, kind="stable")
+    if not last:
+        # Full bins of one class each, by falling size; what a class has over waits for the class's next bin.
+        size, begin, many = np.unique(-sizes[order], return_index=True, return_counts=True)
+        bins = many // (capacity // -size)
+        rank = np.arange(len(order)) - np.repeat(begin, many)
+        fit = np.repeat(capacity // -size, many)
+        seq, off, done = np.empty_like(sizes), np.empty_like(sizes), np.zeros(len(sizes), bool)
+        seq[order] = first + np.repeat(np.cumsum(bins) - bins, many) + rank // fit
+        off[order] = rank % fit * sizes[order]
+        done[order] = rank < np.repeat(bins * (capacity // -size), many)
+        return seq, off, done, first + int(bins.sum())
     at = np.cumsum(sizes[order]) - sizes[order]
     total = int(sizes.sum())
     whole = total // capacity
     seq, off = first + at // capacity, at % capacity
     done = at < whole * capacity
     used = first + whole
-    if last and (rest := total - whole * capacity):
+    if rest := total - whole * capacity:
         done[:] = True
         tail = at >= whole * capacity
         begin, bit = 0, capacity >> 1

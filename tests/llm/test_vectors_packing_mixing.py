@@ -290,3 +290,18 @@ def test_entry_works_without_the_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_bins_before_the_last_hold_one_class():
+    r = np.random.default_rng(2)
+    wait, first = np.zeros(0, np.int64), 0
+    for _ in range(6):
+        sizes = np.concatenate((wait, 1 << r.integers(0, 6, 80)))
+        seq, off, done, after = packing.place(sizes, 32, first, last=False)
+        bins = defaultdict(list)
+        for s, o, n in zip(seq[done], off[done], sizes[done]):
+            bins[s].append((o, n))
+        assert sorted(bins) == list(range(first, after))
+        assert all(len({n for _, n in b}) == 1 and sorted(o for o, _ in b) == list(range(0, 32, b[0][1])) for b in bins.values())
+        wait, first = sizes[~done], after
+        assert all((wait == n).sum() < 32 // n for n in set(wait.tolist()))
