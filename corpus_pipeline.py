@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.llm import language, minhash, mixing, packing, suffix
-from siftstone.llm.common import written
+from siftstone.llm.common import forget, scratch, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written and read again for the next."""
+    """All stages over documents; what each returns is written and read again for the next, and then deleted.
+
+    What the last stage reads stays until the application ends, as its result is lazy.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch() as made:
+            done = written(stage(spark, docs, sf_dir), name)
+            made[:] = [t for t in made if t is not done]
+        forget(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
