@@ -3,7 +3,7 @@
 Counts of character 4-grams of a bounded sample a language are summed across partitions; discounts and lower orders come
 from them. A model is sorted arrays of gram hashes with, for each order, a discounted probability and a back-off weight.
 The language of least cross-entropy a character wins; a text is rejected if it has no letter, or if that cross-entropy
-is beyond what documents of the language, kept out of the counts, show.
+is beyond a limit that a stated share of documents kept out of the counts stay below.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, cross
 UNKNOWN = "und"
 #: Grams kept with their scores between batches; when full, the memory starts anew (results don't depend on it).
 CACHE_GRAMS = 500_000
+#: Below so many documents a language's are all counted. Deviation of one character's surprise, and least spread of documents' means, in nats.
+FEWEST = 5
+SURPRISE, LEAST_SPREAD = 2.0, 0.02
+#: Share of documents in learnt languages that may be rejected.
+FALSE_REJECTION = 0.001
 _classes: list[np.ndarray] = []
 
 
@@ -127,22 +132,55 @@ class Scorer:
         return self.values[np.searchsorted(self.keys, unique)]
 
 
-def train(docs: DataFrame, keep: Column, docs_a_language: int, margin: float) -> tuple[list[str], list[Model], np.ndarray]:
-    """Languages in order, their models, and the limit of cross-entropy (a base, and nats over the root of the length)."""
+def limits_of(k: np.ndarray, nats: np.ndarray, length: np.ndarray, languages: int, false_rejection: float) -> np.ndarray:
+    """Limit of cross-entropy by language (a base, and nats over the root of the length), from documents kept out of the counts.
+
+    A document's deviation is its distance from its language's median over (spread + SURPRISE / root of its length). The limit,
+    one for the documents of all languages, is the deviation whose rank among n of them is ceil((n + 1) * (1 - false_rejection)):
+    a new document like them is beyond it with at most that probability. With fewer than 1 / false_rejection - 1 of them no rank
+    is so high, and twice the largest deviation (at least 5) stands in. A language without any must do better than equal chances
+    of all characters.
+    """
+    out = np.tile([np.log(CLASSES), 0.0], (languages, 1))
+    deviation, place = np.zeros(len(k)), {}
+    for i in np.unique(k).tolist():
+        mine = k == i
+        long = nats[mine & (length >= 200)] if (mine & (length >= 200)).any() else nats[mine]
+        mid = np.median(long)
+        spread = max(1.4826 * np.median(np.abs(long - mid)), LEAST_SPREAD)
+        place[i] = mid, spread
+        deviation[mine] = (nats[mine] - mid) / (spread + SURPRISE / np.sqrt(length[mine]))
+    n = len(deviation)
+    rank = int(np.ceil((n + 1) * (1 - false_rejection)))
+    most = 0.0 if not n else np.sort(deviation)[rank - 1] if rank <= n else 2 * max(deviation.max(), 2.5)
+    for i, (mid, spread) in place.items():
+        out[i] = mid + most * spread, most * SURPRISE
+    return out
+
+
+def train(docs: DataFrame, keep: Column, docs_a_language: int, false_rejection: float) -> tuple[list[str], list[Model], np.ndarray]:
+    """Languages in order, their models, and the limits of cross-entropy (see limits_of).
+
+    A fifth of a language's documents, by hash of the id, is kept out of its counts; all are counted where fewer than
+    FEWEST have a letter, or where all of them would be kept out.
+    """
     spark = docs.sparkSession
-    known = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = docs.where(keep & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    fold = F.crc32(F.concat(F.lit("fold:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) % 5 == 0
+    seen = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(~fold).alias("counted")).collect()
+    sizes = {r["lang"]: r["n"] for r in seen}
+    whole = [r["lang"] for r in seen if r["n"] < FEWEST or not r["counted"]]
     names = sorted(sizes)
     if not names:
         return [], [], np.zeros((0, 2))
     # A hash below a language's own rate: about docs_a_language documents, whichever way the rows are dealt.
-    u = F.crc32(F.concat(F.lit("sample:"), F.col("doc_id").cast("string"))) / F.lit(4294967296.0)
+    u = F.crc32(F.concat(F.lit("sample:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / F.lit(4294967296.0)
     index = F.lit(0)
     rate = F.lit(0.0)
     for k, name in enumerate(names):
         index = F.when(F.col("lang") == name, F.lit(k)).otherwise(index)
         rate = F.when(F.col("lang") == name, F.lit(docs_a_language / sizes[name])).otherwise(rate)
-    sample = known.where(u < rate).select(index.alias("k"), (F.crc32(F.concat(F.lit("fold:"), F.col("doc_id").cast("string"))) % 5 == 0).alias("kept_out"), "text")
+    sample = known.where(u < rate).select(index.alias("k"), (fold & ~F.col("lang").isin(whole)).alias("kept_out"), "text")
 
     def count(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
@@ -166,35 +204,29 @@ def train(docs: DataFrame, keep: Column, docs_a_language: int, margin: float) ->
             texts, of = text_array(batch.column("text")), batch.column("k").to_numpy()
             for a, b in batches(texts):
                 nats, length, has = scorer(texts.slice(a, b - a))
-                k = np.array([row.get(x, 0) for x in of[a:b].tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(k[has]), pa.array(nats[np.arange(b - a), k][has]), pa.array(length[has])], names=["k", "nats", "n"])
-
-    seen = sample.where("kept_out").select("k", "text").mapInArrow(measure, "k bigint, nats double, n bigint").toArrow()
-    k, nats, length = (seen[c].to_numpy() for c in ("k", "nats", "n"))
-    limits = []
-    for i in range(len(learnt)):
-        long = nats[(k == i) & (length >= 200)]
-        long = long if len(long) else nats[k == i]
-        mid = np.median(long) if len(long) else np.log(CLASSES)
-        spread = 1.4826 * np.median(np.abs(long - mid)) if len(long) else 0.0
-        limits.append((mid + margin * max(spread, 0.02), margin * 2.0))
+                k = np.array([row.get(x, -1) for x in of[a:b].tolist()], np.int64)
+                use = has & (k >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(k[use]), pa.array(nats[np.arange(b - a), k][use]), pa.array(length[use])], names=["k", "nats", "n"])
+
+    got = sample.where("kept_out").select("k", "text").mapInArrow(measure, "k bigint, nats double, n bigint").toArrow()
+    limits = limits_of(*(got[c].to_numpy() for c in ("k", "nats", "n")), len(learnt), false_rejection)
     shared.unpersist()
-    return [names[k] for k in learnt], models, np.array(limits)
+    return [names[k] for k in learnt], models, limits
 
 
-def identify(docs: DataFrame, docs_a_language: int = 1500, margin: float = 10.0, learn_from: Column | None = None) -> DataFrame:
+def identify(docs: DataFrame, docs_a_language: int = 1500, false_rejection: float = FALSE_REJECTION, learn_from: Column | None = None) -> DataFrame:
     """Language of every whole text, learnt from text and lang of documents whose crc32(doc_id as text) mod 4 is not 2.
 
-    docs_a_language: about so many documents (whole texts, chosen by hash of the id) a language are learnt from. margin:
-    deviations beyond the median cross-entropy at which a text is rejected, widened by twice itself over the root of
-    its length for short ones. learn_from: another condition on documents to learn from.
+    docs_a_language: about so many documents (whole texts, chosen by hash of the id) a language are learnt from.
+    false_rejection: the share of documents in learnt languages that may be rejected (see limits_of). learn_from: another
+    condition on documents to learn from.
 
     Returns doc_id, held_out, lang_pred (a learnt lang; "und" if the text is null or has no letter, or if nothing
     could be learnt), score (the winner's share of likelihood over 100 characters at most), cross_entropy (nats a
     character; null for "und"), rejected. Ties go to the lang first in order. Each row has its own result; other columns
     aren't read; an empty table gives no rows.
     """
-    judge = judged(docs, docs_a_language, margin, ~held_out("doc_id", 4, 2) if learn_from is None else learn_from)
+    judge = judged(docs, docs_a_language, false_rejection, ~held_out("doc_id", 4, 2) if learn_from is None else learn_from)
 
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, (lang, score, least, has, rejected) in judge(incoming):
@@ -203,9 +235,9 @@ def identify(docs: DataFrame, docs_a_language: int = 1500, margin: float = 10.0,
     return docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text").mapInArrow(work, SCHEMA)
 
 
-def judged(docs: DataFrame, docs_a_language: int, margin: float, learn_from: Column):
+def judged(docs: DataFrame, docs_a_language: int, false_rejection: float, learn_from: Column):
     """A function for tasks: record batches with a column text to (batch, (language, score, nats, has a letter, rejected))."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, learn_from, docs_a_language, margin))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, learn_from, docs_a_language, false_rejection))
 
     def judge(incoming: Iterator[pa.RecordBatch]):
         names, models, limits = model.value
@@ -227,12 +259,13 @@ def judged(docs: DataFrame, docs_a_language: int, margin: float, learn_from: Col
     return judge
 
 
-def recognised(docs: DataFrame, docs_a_language: int = 1500, margin: float = 10.0) -> DataFrame:
+def recognised(docs: DataFrame, docs_a_language: int = 1500, false_rejection: float = FALSE_REJECTION) -> DataFrame:
     """The documents, all columns, that `identify` does not reject; they are judged and dropped where they lie.
 
-    A document without a lang gets the one found. Rows are judged one by one, so rows that repeat stay or go together.
+    docs needs doc_id, text and lang. Null texts and texts without a letter go. A document without a lang gets the one found.
+    Texts of any length are scored whole. Rows are judged one by one, so rows that repeat stay or go together.
     """
-    judge = judged(docs, docs_a_language, margin, ~held_out("doc_id", 4, 2))
+    judge = judged(docs, docs_a_language, false_rejection, ~held_out("doc_id", 4, 2))
 
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, (lang, *_, rejected) in judge(incoming):

@@ -87,6 +87,32 @@ def test_language(spark, docs):
     assert left.columns == both.columns and left.where("doc_id < 400").count() == 400
 
 
+def test_rejection_keeps_to_its_rate():
+    r = np.random.default_rng(7)
+    k, length = r.integers(0, 3, 3000), r.integers(20, 4000, 3000)
+    draw = lambda k, length: 1.5 + 0.1 * k + r.standard_t(4, len(k)) * (0.03 + 1.0 / np.sqrt(length))
+    nats = draw(k, length)
+    for rate in (0.001, 0.01, 0.1):
+        limits = language.limits_of(k, nats, length, 3, rate)
+        beyond = nats > limits[k, 0] + limits[k, 1] / np.sqrt(length)
+        assert beyond.sum() == 3000 - math.ceil(3001 * (1 - rate))
+        new_k, new_length = r.integers(0, 3, 50_000), r.integers(20, 4000, 50_000)
+        new = draw(new_k, new_length)
+        assert (new > limits[new_k, 0] + limits[new_k, 1] / np.sqrt(new_length)).mean() < 2 * rate + 0.001
+    few = language.limits_of(k[:50], nats[:50], length[:50], 5, 0.001)
+    assert (few[3:] == [math.log(language.CLASSES), 0]).all() and not (nats[:50] > few[k[:50], 0] + few[k[:50], 1] / np.sqrt(length[:50])).any()
+    assert language.limits_of(k[:0], nats[:0], length[:0], 2, 0.001).shape == (2, 2)
+
+
+def test_language_of_one_document_is_learnt(spark, docs):
+    a, b = tongue(3, "abcdefgh"), tongue(4, "ijklmnop")
+    fold = next(i for i in range(1000, 2000) if zlib.crc32(f"fold:{i}".encode()) % 5 == 0 and not held(i, 4, 2))
+    both = docs([(i, a(30)) for i in range(100)], "aa").union(docs([(fold, b(300))], "bb")).union(docs([(2001, "12 34")], "cc"))
+    got = {r["doc_id"]: r for r in language.identify(both.union(docs([(3000, b(40)), (3001, a(40))], None))).collect()}
+    assert got[3000]["lang_pred"] == "bb" and got[3001]["lang_pred"] == "aa" and got[2001]["lang_pred"] == "und"
+    assert not got[3000]["rejected"] and not got[fold]["rejected"] and {r["lang_pred"] for r in got.values()} == {"aa", "bb", "und"}
+
+
 def kneser_ney(counts, order):
     """Interpolated Kneser-Ney from its definition, by dictionaries of tuples; counts of the highest order."""
     tables, discounts = [dict(counts)], []
