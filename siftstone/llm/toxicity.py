@@ -2,11 +2,13 @@
 
 P(grade <= j) = sigmoid(t_j - w.x) with ordered thresholds t and one weight vector w for all of them. x counts a
 document's words (hashed; logarithm of the count) among those that a test on the sample finds related to the label.
+The labels are toxic or not; among the toxic, grades come from words weighed on other documents (see severity_grades).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from siftstone.llm.common import batches, held_out, text_array, text_bytes
 from siftstone.llm.quality import labelled_sample
 from siftstone.llm.words import bounds, hashes
 
+#: Parts of the sample; the severity of each part's documents is weighed by words of the others.
+FOLDS = 5
 SCHEMA = "doc_id bigint, held_out boolean, score double, severity double, grade int, predicted int"
 #: ASCII marks part words too, so that "word," and "word" are one feature.
 _MARK = np.frombuffer(bytes(32 if 33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127 else b for b in range(256)), np.uint8)
@@ -49,10 +53,10 @@ def design(doc: np.ndarray, key: np.ndarray, count: np.ndarray, known: np.ndarra
     return doc[hit], at[hit], np.log1p(count[hit])
 
 
-def related_words(doc: np.ndarray, key: np.ndarray, toxic: np.ndarray, least: int, z: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of words in at least `least` sample documents whose shares in the classes differ by z deviations; and the signs."""
+def related_words(doc: np.ndarray, key: np.ndarray, toxic: np.ndarray, least: int, z: float, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of words in at least `least` documents `among` whose shares in the classes differ by z deviations; and those deviations."""
     words, at = np.unique(key, return_inverse=True)
-    n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
+    n1, n0 = max((toxic & among).sum(), 1), max((~toxic & among).sum(), 1)
     c1, c0 = np.bincount(at, toxic[doc], len(words)), np.bincount(at, ~toxic[doc], len(words))
     p = (c1 + c0) / (n1 + n0)
     score = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
@@ -60,13 +64,23 @@ def related_words(doc: np.ndarray, key: np.ndarray, toxic: np.ndarray, least: in
     return words[pick], score[pick]
 
 
-def severity_grades(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, score: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
-    """Grade of each sample document: 0 if not toxic, else 1 to grades - 1 by quantiles, among the toxic, of its weight of words that speak for toxicity."""
-    load = np.bincount(doc, value * np.maximum(score[feature], 0), len(toxic)) if len(doc) else np.zeros(len(toxic))
+def severity_grades(doc: np.ndarray, key: np.ndarray, count: np.ndarray, toxic: np.ndarray, fold: np.ndarray, least: int, z: float, grades: int) -> np.ndarray:
+    """Grade of each sample document: 0 if not toxic, else 1 to grades - 1 by its share of evidence, cross-fitted.
+
+    A toxic document's evidence is its log counts times the deviations of words that speak for toxicity in the documents of
+    all other folds, so neither its own label nor its own words take part in weighing it. Its grade is the quantile of that
+    evidence among the toxic of its fold; what equals a quantile is below it.
+    """
     out = np.zeros(len(toxic), np.int64)
-    if toxic.any():
-        cuts = np.quantile(load[toxic], np.arange(1, grades - 1) / (grades - 1))
-        out[toxic] = 1 + np.searchsorted(cuts, load[toxic], "right")
+    for f in np.unique(fold).tolist():
+        mine = fold == f
+        other = ~mine[doc]
+        words, score = related_words(doc[other], key[other], toxic, least, z, ~mine)
+        d, feature, value = design(doc[~other], key[~other], count[~other], words)
+        load = np.bincount(d, value * np.maximum(score[feature], 0), len(toxic))
+        of = np.flatnonzero(mine & toxic)
+        if len(of):
+            out[of] = 1 + np.searchsorted(np.quantile(load[of], np.arange(1, grades - 1) / (grades - 1)), load[of], "left")
     return out
 
 
@@ -101,13 +115,25 @@ def predict(line: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.nd
     return above[:, 0], above.sum(1), p.argmax(1)
 
 
+def folds(ids: list[int]) -> np.ndarray:
+    """Fold of each document, by hash of its id, so that rows that repeat an id share one."""
+    return np.array([crc32(f"grade:{i}".encode()) % FOLDS for i in ids], np.int64)
+
+
+def learn(doc: np.ndarray, key: np.ndarray, count: np.ndarray, toxic: np.ndarray, fold: np.ndarray, weight: np.ndarray, least: int, z: float, grades: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Known words (sorted hashes), their weights, the thresholds, and the grades that these were fitted to."""
+    known, _ = related_words(doc, key, toxic, least, z, np.ones(len(toxic), bool))
+    grade = severity_grades(doc, key, count, toxic, fold, least, z, grades)
+    return known, *fit_ordinal(*design(doc, key, count, known), grade, weight, len(known), grades), grade
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_a_class: int = 4000, grades: int = 4, least: int = 5, z: float = 5.0) -> DataFrame:
     """Severity of every whole text, learnt from labels.toxic of documents whose crc32(doc_id as text) mod 3 is not 1.
 
     sample_a_class bounds the documents a class that are learnt from, and with them the words that are broadcast: all of those
     documents' that pass the test. Returns
     doc_id, held_out, score (probability of any toxicity), severity (expected grade, 0 to grades - 1), grade (the
-    likeliest), predicted (1 if score >= 0.5). Null and empty texts have the score of a text without known words;
+    likeliest), predicted (1 if score >= 0.5). Texts of any length are scored whole. Null and empty texts have the score of a text without known words;
     without labels of both classes every score is 0. Each row has its own result; other columns aren't read.
     """
     spark = docs.sparkSession
@@ -134,11 +160,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_a_class: int = 400
             doc = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
             key = np.concatenate(keys)
             count = np.concatenate([np.frombuffer(x, np.int32) for x in got["counts"].to_pylist()])
-            known, score = related_words(doc, key, toxic, least, z)
-            doc, feature, value = design(doc, key, count, known)
-            grade = severity_grades(doc, feature, value, score, toxic, grades)
-            weight = np.where(toxic, shares[1] / toxic.sum(), shares[0] / (~toxic).sum())
-            w, t = fit_ordinal(doc, feature, value, grade, weight, len(known), grades)
+            known, w, t, _ = learn(doc, key, count, toxic, folds(got["doc_id"].to_pylist()), np.where(toxic, shares[1] / toxic.sum(), shares[0] / (~toxic).sum()), least, z, grades)
     model = spark.sparkContext.broadcast((known, w, t))
 
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,55 @@ def test_toxicity(spark, docs):
     assert toxicity.score_toxicity(docs([]), labels).count() == 0
 
 
+def plain_words(text):
+    """Words of toxicity features from their definition: ASCII marks part words, A-Z are folded."""
+    return [w for w in re.split(r"[ \t-\r!-/:-@\[-`{-~]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+
+
+def plain_related(bags, toxic, least, z):
+    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
+    c1, c0 = Counter(w for b, y in zip(bags, toxic) if y for w in b), Counter(w for b, y in zip(bags, toxic) if not y for w in b)
+    out = {}
+    for w in set(c1) | set(c0):
+        p = (c1[w] + c0[w]) / (n1 + n0)
+        s = (c1[w] / n1 - c0[w] / n0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+        if abs(s) >= z and c1[w] + c0[w] >= least:
+            out[w] = s
+    return out
+
+
+def test_toxicity_against_a_plain_version(spark, docs):
+    r = random.Random(5)
+    texts = []
+    for i in range(400):
+        w = [r.choice([f"w{k}" for k in range(30)]) for _ in range(30)]
+        for _ in range(r.randrange(1, 9) if i % 2 else 0):
+            w[r.randrange(30)] = r.choice(["vile!", "Nasty", "foul,bad", "rot"])
+        texts.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs(texts), labels).collect()}
+
+    mine = [(i, Counter(plain_words(t))) for i, t in texts if not held(i, 3, 1)]
+    bags, toxic = [b for _, b in mine], [i % 2 for i, _ in mine]
+    fold = [zlib.crc32(f"grade:{i}".encode()) % toxicity.FOLDS for i, _ in mine]
+    known = plain_related(bags, toxic, 5, 5.0)
+    assert {"vile", "nasty", "foul", "bad", "rot"} == set(known)
+    grade = [0] * len(mine)
+    for f in range(toxicity.FOLDS):
+        signs = plain_related([b for b, g in zip(bags, fold) if g != f], [y for y, g in zip(toxic, fold) if g != f], 5, 5.0)
+        at = [j for j in range(len(mine)) if fold[j] == f and toxic[j]]
+        load = [math.fsum(math.log1p(n) * max(signs.get(w, 0), 0) for w, n in bags[j].items()) for j in at]
+        cuts = np.quantile(load, [1 / 3, 2 / 3])
+        for j, x in zip(at, load):
+            grade[j] = 1 + sum(x > c + 1e-9 for c in cuts)
+    names = sorted(known)
+    w, t = toxicity.fit_ordinal(*map(np.array, zip(*[(j, names.index(x), math.log1p(n)) for j, b in enumerate(bags) for x, n in b.items() if x in known])), np.array(grade), np.array([sum(toxic) / sum(toxic)] * len(mine)), len(names), 4)
+    for i, text in texts:
+        line = sum(math.log1p(n) * w[names.index(x)] for x, n in Counter(plain_words(text)).items() if x in known)
+        above = [1 / (1 + math.exp(c - line)) for c in t]
+        assert abs(got[i]["score"] - above[0]) < 1e-4 and abs(got[i]["severity"] - sum(above)) < 1e-3
+
+
 def test_ordinal_thresholds_are_ordered_and_shared():
     r = np.random.default_rng(1)
     x = r.normal(size=2000)
