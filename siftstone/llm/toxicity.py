@@ -84,8 +84,12 @@ def severity_grades(doc: np.ndarray, key: np.ndarray, count: np.ndarray, toxic:
     return out
 
 
-def fit_ordinal(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, width: int, grades: int, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by Adam on the mean log-likelihood; thresholds are a first one and positive steps."""
+def fit_ordinal(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, width: int, grades: int, steps: int = 1000, prior: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds by Adam on the mean log-likelihood; thresholds are a first one and positive steps.
+
+    prior: the deviation around 0 that weights are expected to have, so that few documents shrink them and many don't.
+    """
+    ridge = 1 / (prior**2 * max(len(grade), 1))
     share = np.array([weight[grade <= j].sum() for j in range(grades - 1)]) / max(weight.sum(), 1e-9)
     start = np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4)))
     gaps = np.log(np.maximum(np.diff(start), 1e-2))
