@@ -26,7 +26,7 @@ END = np.int64(-(1 << 62) - CLASSES)
 #: Words whose counts are broadcast (16 bytes each), and those of them that are symbols of their own.
 HEAD_WORDS, SYMBOL_WORDS = 262_144, 4096
 #: Tokens of a sequence that is stepped through as it is; a longer one is taken in segments of SEGMENT, all at once. Cells of one group.
-WHOLE, SEGMENT, CELLS = 1024, 256, 1 << 18
+WHOLE, SEGMENT, CELLS = 1024, 256, 1 << 19
 HALF = np.log10(0.5)
 
 
@@ -168,12 +168,14 @@ def expected(model: Hmm, symbols: np.ndarray, mask: np.ndarray, before: np.ndarr
     inner = np.zeros(n, bool) if before is None else before.any(1)
     alpha, scale = np.empty((length, n, states)), np.ones((length, n, 1))
     now = (model.start if before is None else np.where(inner[:, None], before @ model.move, model.start)) * seen[0]
+    full = mask.all(0).tolist()
     for t in range(length):
         if t:
-            now = np.where(mask[:, t, None], (alpha[t - 1] @ model.move) * seen[t], alpha[t - 1])
+            now = (alpha[t - 1] @ model.move) * seen[t]
+            if not full[t]:
+                now = np.where(mask[:, t, None], now, alpha[t - 1])
         scale[t] = now.sum(1, keepdims=True)
-        now = now / scale[t]
-        alpha[t] = now
+        np.divide(now, scale[t], out=alpha[t])
     beta = np.ones((n, states)) if after is None else after / (alpha[-1] * after).sum(1, keepdims=True)
     moves = np.zeros((states, states))
     emit = np.zeros((len(model.emit), states))
@@ -181,10 +183,14 @@ def expected(model: Hmm, symbols: np.ndarray, mask: np.ndarray, before: np.ndarr
     posterior[-1] = alpha[-1] * beta
     for t in range(length - 1, 0, -1):
         ahead = seen[t] * beta / scale[t]
-        real = mask[:, t, None]
-        moves += (alpha[t - 1] * real).T @ ahead
-        beta = np.where(real, ahead @ model.move.T, beta)
-        posterior[t - 1] = alpha[t - 1] * beta
+        if full[t]:
+            moves += alpha[t - 1].T @ ahead
+            beta = ahead @ model.move.T
+        else:
+            real = mask[:, t, None]
+            moves += (alpha[t - 1] * real).T @ ahead
+            beta = np.where(real, ahead @ model.move.T, beta)
+        np.multiply(alpha[t - 1], beta, out=posterior[t - 1])
     if before is not None:
         moves += before[inner].T @ (seen[0] * beta / scale[0])[inner]
     flat = mask.T.ravel()
@@ -205,32 +211,68 @@ def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Segments:
-    """A long sequence in segments: what each does to the states' probabilities is a matrix, found for all segments at once; only the chain of matrices is walked one by one."""
+    """Long sequences in segments: what each does to the states' probabilities is a matrix, found for all segments of all sequences at once; only the chains of matrices are walked one by one."""
 
-    def __init__(self, model: Hmm, text: np.ndarray):
+    def __init__(self, model: Hmm, texts: list[np.ndarray]):
         states = len(model.start)
-        self.symbols, self.mask = padded([text[a : a + SEGMENT] for a in range(0, len(text), SEGMENT)])
+        self.symbols, self.mask = padded([t[a : a + SEGMENT] for t in texts for a in range(0, len(t), SEGMENT)])
+        first = np.cumsum([0, *(segments(t) for t in texts)])
         n = len(self.symbols)
-        now = np.repeat(model.move[None], n, axis=0)
-        now[0] = model.start
+        # Segments that are over stand at the end, so that a step takes those before them as they lie.
+        size = self.mask.sum(1)
+        order = np.argsort(-size, kind="stable")
+        still = np.searchsorted(-size[order], -np.arange(self.symbols.shape[1]), "left")
+        start = np.zeros(n, bool)
+        start[first[:-1]] = True
+        now = np.where(start[order, None, None], model.start, model.move)
         logs = np.zeros(n)
-        for t in range(self.symbols.shape[1]):
-            real = self.mask[:, t, None, None]
-            step = (now if t == 0 else now @ model.move) * model.emit[self.symbols[:, t]][:, None, :]
-            scale = np.where(real, step.max((1, 2), keepdims=True), 1)
-            now = np.where(real, step / scale, now)
-            logs += np.log10(scale[:, 0, 0])
+        for t, m in enumerate(still.tolist()):
+            if t:
+                np.matmul(now[:m].reshape(-1, states), model.move, out=step[: m * states])
+                now[:m] = step[: m * states].reshape(m, states, states)
+            else:
+                step = np.empty((n * states, states))
+            now[:m] *= model.emit[self.symbols[order[:m], t]][:, None, :]
+            if t % 8 == 7 or t == len(still) - 1:
+                scale = now.max((1, 2))
+                now /= scale[:, None, None]
+                logs += np.log10(scale)
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        now, logs = now[back], logs[back]
         self.before, self.after = np.zeros((n, states)), np.ones((n, states))
-        at, self.log = now[0, 0], logs.sum()
-        for k in range(n):
-            if k:
-                self.before[k] = at
-                at = at @ now[k]
-            total = at.sum()
-            at, self.log = at / total, self.log + np.log10(total)
-        for k in range(n - 1, 0, -1):
-            back = now[k] @ self.after[k]
-            self.after[k - 1] = back / back.max()
+        self.log = np.zeros(len(texts))
+        for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            at, log = now[a, 0], logs[a:z].sum()
+            for k in range(a, z):
+                if k > a:
+                    self.before[k] = at
+                    at = at @ now[k]
+                total = at.sum()
+                at, log = at / total, log + np.log10(total)
+            self.log[i] = log
+            for k in range(z - 1, a, -1):
+                back = now[k] @ self.after[k]
+                self.after[k - 1] = back / back.max()
+
+
+def segments(text: np.ndarray) -> int:
+    return -(-len(text) // SEGMENT)
+
+
+def long_groups(texts: list[np.ndarray]) -> Iterator[list[int]]:
+    """Indexes of sequences of over WHOLE tokens, in groups of about CELLS cells (a longer one alone)."""
+    some, cells = [], 0
+    for i, text in enumerate(texts):
+        if len(text) > WHOLE:
+            more = segments(text) * SEGMENT
+            if some and cells + more > CELLS:
+                yield some
+                some, cells = [], 0
+            some.append(i)
+            cells += more
+    if some:
+        yield some
 
 
 def groups(texts: list[np.ndarray]) -> Iterator[list[int]]:
@@ -247,12 +289,12 @@ def all_expected(model: Hmm, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarr
     """Expected counts of whole sequences, however long."""
     for some in groups(texts):
         yield expected(model, *padded([texts[i] for i in some]))
-    for text in texts:
-        if len(text) > WHOLE:
-            whole, most = Segments(model, text), max(1, CELLS // SEGMENT)
-            for a in range(0, len(whole.symbols), most):
-                part = slice(a, a + most)
-                yield expected(model, whole.symbols[part], whole.mask[part], whole.before[part], whole.after[part])
+    most = max(1, CELLS // SEGMENT)
+    for some in long_groups(texts):
+        whole = Segments(model, [texts[i] for i in some])
+        for a in range(0, len(whole.symbols), most):
+            part = slice(a, a + most)
+            yield expected(model, whole.symbols[part], whole.mask[part], whole.before[part], whole.after[part])
 
 
 def sweep(tokens: DataFrame, model: Hmm, weight: np.ndarray) -> Hmm:
@@ -295,9 +337,8 @@ def log_likelihoods(model: Hmm, texts: list[np.ndarray]) -> np.ndarray:
             now[real] = step / scale[:, None]
             total[real] += np.log10(scale)
         out[some] = total
-    for i, text in enumerate(texts):
-        if len(text) > WHOLE:
-            out[i] = Segments(model, text).log
+    for some in long_groups(texts):
+        out[some] = Segments(model, [texts[i] for i in some]).log
     return out
 
 
