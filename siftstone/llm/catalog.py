@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import hmm, language, minhash, mixing, packing, quality, suffix, topk, toxicity, vector_dedup
+from siftstone.llm import codes, hmm, language, minhash, mixing, packing, pieces, quality, suffix, topk, toxicity, trie, vector_dedup
 from siftstone.plans.scan import spread
 
 
@@ -57,9 +57,21 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op11_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_table(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_agenda_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_leaf_peeling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbour_quality, op2_pca_tiled_dedup, op3_norm_sorted_topk, op4_ordinal_toxicity, op5_kneser_ney_language, op6_bucket_pointer_dedup, op7_tensored_minhash, op8_hidden_markov_score, op9_harmonic_packing, op10_pfair_mixing)}
+    return {f.__name__: f for f in (op1_neighbour_quality, op2_pca_tiled_dedup, op3_norm_sorted_topk, op4_ordinal_toxicity, op5_kneser_ney_language, op6_bucket_pointer_dedup, op7_tensored_minhash, op8_hidden_markov_score, op9_harmonic_packing, op10_pfair_mixing, op11_delta_lloyd_codes, op12_agenda_sentencepiece, op13_leaf_peeling_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pca_tiled_dedup": vector_dedup.ORACLE, "op3_norm_sorted_topk": topk.ORACLE, "op6_bucket_pointer_dedup": suffix.ORACLE, "op7_tensored_minhash": minhash.ORACLE, "op10_pfair_mixing": mixing.ORACLE}
+    return {"op2_pca_tiled_dedup": vector_dedup.ORACLE, "op3_norm_sorted_topk": topk.ORACLE, "op6_bucket_pointer_dedup": suffix.ORACLE, "op7_tensored_minhash": minhash.ORACLE, "op10_pfair_mixing": mixing.ORACLE, "op11_delta_lloyd_codes": codes.ORACLE, "op13_leaf_peeling_trie": trie.ORACLE}
