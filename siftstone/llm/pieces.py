@@ -48,6 +48,8 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self.make(word), "<u4").tobytes()
         if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
             self[word] = ids
         return ids
 
