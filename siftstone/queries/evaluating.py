@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.folders import work_folder
 from siftstone.operators import evaluation as E
+from siftstone.operators import resumable
 from siftstone.queries.base import predictions, query, quoted, scored_sql, table, truth
 from siftstone.schema import CATEGORIES
 
@@ -109,3 +111,14 @@ def smoke_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engine smoke test, no operator of the scanner."""
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     return joined.groupBy("o_custkey", "c_nationkey").agg(F.count(F.lit(1)).alias("orders")).orderBy(F.desc("orders"), "o_custkey").limit(25)
+
+
+@query(f"SELECT id, lower(predicted) AS predicted, failed AS again FROM ({SCORED})")
+def resumed_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of two calls on one folder: those that failed in the first are done again by the second, the others aren't."""
+    todo = predictions(spark, sf_dir).select("id", F.col("predicted").alias("said"), "error")
+    answer = lambda failed, call: lambda rows: rows.select("id", F.when(~failed, F.lower("said")).alias("predicted"), F.when(failed, F.lit("timeout")).alias("error"), F.lit(call).alias("call"))
+    folder = work_folder(spark, "evaluation")
+    resumable.evaluate(todo, answer(F.col("error").isNotNull(), 1), folder, "id", batch_rows=20_000_000)
+    rows = resumable.evaluate(todo, answer(F.lit(False), 2), folder, "id", batch_rows=20_000_000)
+    return rows.select("id", "predicted", (F.col("call") == 2).alias("again"))

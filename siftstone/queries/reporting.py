@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.folders import work_folder
 from siftstone.functions.responses import parse_detailed, parse_findings, parse_lenient, repaired_labels, resolved_category
 from siftstone.operators import findings as M
 from siftstone.operators import report as P
 from siftstone.queries.base import ANSWERS, EXTENSIONS, FILE_FINDINGS, FILES, FINDING_ROWS, answers, files, finding_rows, query, quoted, sql_list, table
-from siftstone.schema import CATEGORIES
+from siftstone.schema import CATEGORIES, SEVERITIES
 
 MERGED = f"""SELECT doc_id, category, subcategory, severity, chunk_no, pos FROM ({FINDING_ROWS}) WHERE category <> 'safe' QUALIFY row_number() OVER (PARTITION BY doc_id, category, subcategory ORDER BY sev_rank DESC, chunk_no, pos) = 1
 UNION ALL SELECT doc_id, category, subcategory, severity, chunk_no, pos FROM ({FINDING_ROWS}) f WHERE category = 'safe' AND NOT EXISTS (SELECT 1 FROM ({FINDING_ROWS}) r WHERE r.doc_id = f.doc_id AND r.category <> 'safe')"""
@@ -148,3 +149,25 @@ def resolve_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repair_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir).withColumn("findings", F.array(F.struct("category", "subcategory"))).withColumn("after", repaired_labels(F.col("findings")))
     return rows.select("doc_id", "subcategory", F.col("after")[0]["category"].alias("category"), (F.col("after")[0]["category"] != F.col("category")).cast("bigint").alias("fixed"))
+
+
+@query(f"SELECT path, category AS rule_id, severity, description AS message FROM ({FILE_FINDINGS}) WHERE category <> 'safe'")
+def sarif_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of a SARIF document, written as one file and read again."""
+    at = P.write_document(spark, P.sarif_pieces(files(spark, sf_dir)), f"{work_folder(spark, 'sarif')}/report.sarif.json")
+    place = "locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>"
+    rows = spark.read.text(at).select(F.from_json(F.regexp_replace("value", "^,", ""), f"ruleId string, message struct<text:string>, properties struct<severity:string>, {place}").alias("r")).where("r.ruleId IS NOT NULL")
+    return rows.select(F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("path"), F.col("r.ruleId").alias("rule_id"), "r.properties.severity", F.col("r.message.text").alias("message"))
+
+
+FIRST_SEEN = f"SELECT path, string_agg(category, ', ' ORDER BY seen) AS label FROM (SELECT path, category, min(pos) AS seen FROM ({FILE_FINDINGS}) WHERE category <> 'safe' GROUP BY path, category) GROUP BY path"
+CALM = f"SELECT path, arg_min(description, pos) AS said FROM ({FILE_FINDINGS}) WHERE category = 'safe' GROUP BY path"
+WORST = f"SELECT path, max(sev_rank) AS worst FROM ({FILE_FINDINGS}) WHERE category <> 'safe' GROUP BY path"
+
+
+@query(f"SELECT f.path, coalesce(({sql_list(SEVERITIES)})[w.worst + 1], 'clean') AS status, coalesce(l.label, c.said, 'No findings') AS label FROM ({FILES}) f LEFT JOIN ({FIRST_SEEN}) l ON l.path = f.path LEFT JOIN ({CALM}) c ON c.path = f.path LEFT JOIN ({WORST}) w ON w.path = f.path")
+def html_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of all files of an HTML report, written as one file and read again."""
+    at = P.write_document(spark, P.html_pieces(files(spark, sf_dir)), f"{work_folder(spark, 'html')}/report.html", "")
+    cells = F.regexp_extract_all("value", F.lit("<td>(.*?)</td>"), F.lit(1))
+    return spark.read.text(at).where(F.col("value").startswith("<tr><td>")).select(cells.alias("c")).where(F.size("c") == 4).select(F.col("c")[0].alias("path"), F.col("c")[2].alias("status"), F.col("c")[3].alias("label"))
