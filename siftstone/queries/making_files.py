@@ -1,4 +1,4 @@
-"""Mail made from documents: mailboxes in splits, parts of messages, findings of whole mails."""
+"""Files made from documents: mailboxes in splits, parts of mails, findings of whole mails, trees of files."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from siftstone.folders import work_folder
 from siftstone.operators.report import exploded
 from siftstone.plans.scan import mail_findings
-from siftstone.queries.base import documents, query
-from siftstone.sources import mailboxes
+from siftstone.queries.base import FILES, documents, files, query, table
+from siftstone.sources import listing, mailboxes
+from siftstone.sources.files import changed_files as changed
 
 BODY = "regexp_replace(text, '\\s+$', '')"
 
@@ -72,3 +73,23 @@ def mail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mail_findings(parts, answers, key=["doc_id"])
     files = rows.select(F.col("doc_id").alias("path"), F.lit("text").alias("kind"), F.lit(0).alias("size"), "findings")
     return exploded(files).where("subcategory IN ('pii.contact', 'financial.transaction') AND source <> 'regex'").select(F.col("path").alias("doc_id"), "pos", "subcategory", "evidence")
+
+
+@query("""SELECT lang AS what, CAST(sum(strlen(text) + 1) AS BIGINT) AS n FROM documents WHERE lang <> 'de' GROUP BY lang
+UNION ALL SELECT 'ignored folder', CAST(count(DISTINCT lang) AS BIGINT) FROM documents WHERE lang = 'de' HAVING count(*) > 0 UNION ALL SELECT 'empty', 1""")
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with all documents in a folder for each language, listed without one of them: bytes found, and what was skipped."""
+    folder = work_folder(spark, "languages")
+    documents(spark, sf_dir, "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").write.partitionBy("lang").text(folder)
+    found, skipped = listing.discover_tree(spark, folder, most_bytes=1 << 50, kinds=["text"], patterns=["lang=de/"])
+    bytes_of = found.groupBy(F.regexp_extract("relative", "lang=([^/]+)/", 1).alias("what")).agg(F.sum("size").alias("n"))
+    return bytes_of.unionByName(skipped.where("reason IN ('ignored folder', 'empty')").select(F.col("reason").alias("what"), "n"))
+
+
+@query(f"SELECT path, size FROM ({FILES}) WHERE doc_id % 7 = 0")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files among a list of changed paths that is a table itself."""
+    rows = files(spark, sf_dir)
+    number = F.regexp_extract("path", "/(-?\\d+)\\.[a-z]+$", 1).cast("bigint")
+    paths = rows.where(number % 7 == 0).select(F.concat(F.lit("./"), "path")).union(table(spark, sf_dir, "documents").select(F.concat(F.lit("gone/"), F.col("doc_id").cast("string"))))
+    return changed(rows.withColumn("path", F.concat(F.lit("file:/repo/"), "path")), paths, "file:/repo").select(F.regexp_replace("path", "^file:/repo/", "").alias("path"), "size")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import subprocess
 from functools import reduce
 from operator import or_
 from pathlib import Path
@@ -13,22 +14,29 @@ from pyspark.sql import functions as F
 from siftstone.functions.text import extension
 
 # Extensions by kind, the first bytes (hex) of images, and the bytes of a text that are read.
-TEXT = "txt csv json xml yaml yml toml ini cfg conf log md rst html htm css js ts py rs go java c cpp h hpp rb php sh bash zsh sql env pem key crt pub tex rtf pdf docx doc xlsx xls pptx tsv eml msg mbox".split()
-IMAGE = "png jpg jpeg gif bmp tiff tif webp".split()
-EMAIL = "pst ost".split()
+TEXT = [
+    "txt", "csv", "json", "xml", "yaml", "yml", "toml", "ini", "cfg", "conf", "log", "md", "rst", "html", "htm", "css", "js", "ts", "py", "rs", "go", "java", "c", "cpp", "h", "hpp",
+    "rb", "php", "sh", "bash", "zsh", "sql", "env", "pem", "key", "crt", "pub", "tex", "rtf", "pdf", "docx", "doc", "xlsx", "xls", "pptx", "tsv", "eml", "msg", "mbox",
+]
+IMAGE = ["png", "jpg", "jpeg", "gif", "bmp", "tiff", "tif", "webp"]
+EMAIL = ["pst", "ost"]
+# What HTML begins with by the WHATWG sniffing rules, each followed by a space or ">".
+HTML_STARTS = ["!doctype html", "html", "head", "script", "iframe", "h1", "div", "font", "table", "a", "style", "title", "b", "body", "br", "p", "!--"]
 IMAGE_MAGIC = ["89504E47", "FFD8FF", "47494638", "424D", "49492A00", "4D4D002A", "52494646"]
 TEXT_BYTES = 10 * 1024 * 1024
 IGNORE_FILE = ".scanignore"
 
 
 def kind_of(path: Column, content: Column | None = None) -> Column:
-    """text, image, email or unknown, by extension; without a known one by the first bytes, if content is given."""
+    """text, image, email or unknown, by extension; without a known one by the first bytes, if content is given: those of images, HTML, XML and scripts."""
     ext = extension(path)
     by_name = F.when(ext.isin(TEXT), "text").when(ext.isin(IMAGE), "image").when(ext.isin(EMAIL), "email")
     if content is None:
         return by_name.otherwise("unknown")
     head = F.hex(F.substring(content, 1, 8))
-    return by_name.when(reduce(or_, (head.startswith(m) for m in IMAGE_MAGIC)), "image").otherwise("unknown")
+    start = F.decode(F.substring(content, 1, 512), "ISO-8859-1")
+    markup = start.rlike(f"(?i)^\\s*<(?:{'|'.join(HTML_STARTS)})[ >]") | start.rlike("^\\s*<\\?xml") | start.startswith("#!")
+    return by_name.when(reduce(or_, (head.startswith(m) for m in IMAGE_MAGIC)), "image").when(markup, "text").otherwise("unknown")
 
 
 def ignored(relative: Column, patterns: list[str]) -> Column:
@@ -46,7 +54,7 @@ def ignored(relative: Column, patterns: list[str]) -> Column:
         elif "**" in p:
             halves = p.split("**")
             if len(halves) == 2:
-                tests.append(relative.startswith(halves[0]) & relative.endswith(halves[1].lstrip("/")))
+                tests.append(relative.startswith(halves[0].rstrip("/")) & relative.endswith(halves[1].lstrip("/")))
         elif p.endswith("/"):
             tests.append(F.array_contains(parts, p.rstrip("/")))
     return reduce(or_, tests)
@@ -133,6 +141,33 @@ def one_text(spark: SparkSession, text: str, label: str = "<stdin>") -> DataFram
     return spark.createDataFrame([(label, "text", len(text.encode()), text)], "path string, kind string, size long, text string")
 
 
-def changed_files(files: DataFrame, paths: list[str]) -> DataFrame:
-    """Files whose path ends with one of the (repository) paths."""
-    return files.where(reduce(or_, (F.col("path").endswith(f"/{p}") for p in paths), F.lit(False)))
+def changed_paths(spark: SparkSession, folder: str, since: str) -> DataFrame:
+    """(value) of paths, relative to a repository's top folder, that git says have changed since a commit; deleted ones are among them."""
+    run = subprocess.run(["git", "-C", folder, "diff", "--name-only", "-z", since, "--"], capture_output=True)
+    if run.returncode:
+        raise ValueError(run.stderr.decode(errors="replace").strip())
+    return spark.createDataFrame([(p,) for p in run.stdout.decode(errors="replace").split("\0") if p], "value string")
+
+
+def tidy_path(path: Column) -> Column:
+    """A path without empty and "." parts, and without a slash at either end."""
+    return F.array_join(F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".")), "/")
+
+
+def changed_files(files: DataFrame, paths: DataFrame | list[str], root: str | None = None) -> DataFrame:
+    """Files (path) that are among changed `paths`: a list, or a table whose first column holds them, of any length.
+
+    Paths are relative to `root`; without a root, a file is changed if its path ends with one. Joined by equal paths; blank
+    and null ones match nothing, repeated ones once.
+    """
+    table = files.sparkSession.createDataFrame([(p,) for p in paths], "value string") if isinstance(paths, list) else paths
+    changed = table.toDF(*[f"c{k}" for k in range(len(table.columns))]).select(tidy_path(F.col("c0")).alias("__changed")).where("__changed <> ''")
+    if root is not None:
+        top = F.length(tidy_path(F.lit(root)))
+        path = tidy_path(F.col("path"))
+        inside = F.when(path.startswith(F.concat(tidy_path(F.lit(root)), F.lit("/"))), F.substring(path, top + 2, F.length(path)))
+        return files.withColumn("__relative", inside).join(changed, F.col("__relative") == F.col("__changed"), "left_semi").drop("__relative")
+    parts = F.split(tidy_path(F.col("path")), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    hit = files.select(F.col("path").alias("__path"), F.explode(ends).alias("__end")).join(changed, F.col("__end") == F.col("__changed"), "left_semi")
+    return files.join(hit, F.col("path") == F.col("__path"), "left_semi")
