@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import batches, give_back, held_out, text_array
+from siftstone.llm.common import batches, give_back, held_out, small_or_shuffled, text_array
 
 ORDER, BITS = 4, 10
 CLASSES = 1 << BITS
@@ -169,18 +169,15 @@ def train(docs: DataFrame, keep: Column, docs_a_language: int, false_rejection:
     fold = F.crc32(F.concat(F.lit("fold:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) % 5 == 0
     seen = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(~fold).alias("counted")).collect()
     sizes = {r["lang"]: r["n"] for r in seen}
-    whole = [r["lang"] for r in seen if r["n"] < FEWEST or not r["counted"]]
+    whole = {r["lang"] for r in seen if r["n"] < FEWEST or not r["counted"]}
     names = sorted(sizes)
     if not names:
         return [], [], np.zeros((0, 2))
     # A hash below a language's own rate: about docs_a_language documents, whichever way the rows are dealt.
     u = F.crc32(F.concat(F.lit("sample:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / F.lit(4294967296.0)
-    index = F.lit(0)
-    rate = F.lit(0.0)
-    for k, name in enumerate(names):
-        index = F.when(F.col("lang") == name, F.lit(k)).otherwise(index)
-        rate = F.when(F.col("lang") == name, F.lit(docs_a_language / sizes[name])).otherwise(rate)
-    sample = known.where(u < rate).select(index.alias("k"), (fold & ~F.col("lang").isin(whole)).alias("kept_out"), "text")
+    told = [(name, k, docs_a_language / sizes[name], name not in whole) for k, name in enumerate(names)]
+    table = small_or_shuffled(spark.createDataFrame(told, "lang string, k int, rate double, folds boolean"), len(names))
+    sample = known.select("lang", "text", u.alias("u"), fold.alias("fold")).join(table, "lang").where("u < rate").select("k", (F.col("fold") & F.col("folds")).alias("kept_out"), "text")
 
     def count(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:

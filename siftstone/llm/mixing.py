@@ -137,8 +137,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period
     known = known.withColumn("task_block", F.col("block")).withColumn("in_pool", ~F.col("alone") & F.col("place").isNull())
     if total["pooled"]:
         known = with_pool_blocks(known, sources, block_docs, total["n"], total["rest"])
-    known = known.join(F.broadcast(own), (F.col("source") == F.col("t_source")) & F.col("alone") | F.col("in_pool") & F.col("t_source").isNull(), "left")
+    # The task's name, null for the pool; rows of sources without a weight have no task.
     name = F.when(F.col("alone"), F.col("source"))
+    known = known.join(F.broadcast(own.withColumn("t_any", F.lit(True))), name.eqNullSafe(F.col("t_source")) & ((F.col("alone") | F.col("in_pool")) == F.col("t_any")), "left")
     out = known.join(plan, name.eqNullSafe(F.col("p_source")) & F.col("place").isNull() & (F.col("task_block") == F.col("p_block")), "left")
     due = F.expr(DUE.format(block="task_block", q="q"))
     out = out.select("doc_id", "source", "block", F.expr(f"rank % {block_docs}").alias("block_offset"), F.expr(f"task_block * {ONE} DIV q").alias("release"), due.alias("deadline"), F.coalesce("p_slot", due - 1, F.lit(AFTER) + F.col("place") + F.col("block")).alias("slot"))

@@ -404,19 +404,33 @@ def with_rows(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """`docs` (doc_id, text, ...) with a number a row, the bits of it below the id, and the bytes of all texts.
 
     The number is the doc_id, and there are no bits below, unless rows repeat an id with another text. Then it is the id's
-    place among all ids and, in the last 16 bits, the text's place among the id's texts.
+    place among all ids and, in as many bits below as the id of most texts needs, the text's place among the id's texts.
+    Places come from buckets and the counts of buckets before, so a much repeated id meets in no task. An error where ids
+    times texts of an id pass 2^62, for which some 2^32 rows have to repeat ids with other texts.
     """
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
     one = hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.sum("n").alias("n"))
     one = one.agg(F.sum("n").alias("n"), F.max(F.col("doc_id").isNotNull() & (F.col("a") != F.col("b"))).alias("unlike")).first()
     if not one["unlike"]:
         return docs.withColumn("row", F.col("doc_id")), 0, one["n"] or 0
-    texts = hashed.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h")).distinct()
-    ids = written(texts.select(F.col("r_id").alias("i")).distinct().orderBy("i").select("i", F.shiftleft(F.monotonically_increasing_id(), 16).alias("base")), "ids")
-    other = F.least(F.row_number().over(Window.partitionBy("r_id").orderBy("r_h")) - 1, F.lit(65535))
-    rows = written(texts.withColumn("other", other).join(ids, F.col("r_id") == F.col("i")).select("r_id", "r_h", (F.col("base") + F.col("other")).alias("row")), "rows")
-    forget(ids)
-    return docs.join(small_or_shuffled(rows), (F.col("doc_id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_h")), "left").drop("r_id", "r_h"), 16, one["n"] or 0
+    texts = written(hashed.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h")).distinct().withColumn("bucket", F.shiftrightunsigned("r_h", 52)), "texts")
+    counts = texts.groupBy("r_id", "bucket").agg(F.count(F.lit(1)).alias("m"))
+    before = counts.select("r_id", "bucket", (F.sum("m").over(Window.partitionBy("r_id").orderBy("bucket")) - F.col("m")).alias("before"))
+    near = F.row_number().over(Window.partitionBy("r_id", "bucket").orderBy("r_h")) - 1
+    placed = texts.withColumn("near", near).join(before, ["r_id", "bucket"]).select("r_id", "r_h", (F.col("before") + F.col("near")).alias("other"))
+    ids = written(counts.groupBy(F.col("r_id").alias("i")).agg(F.sum("m").alias("m")).orderBy("i").select("i", "m", F.monotonically_increasing_id().alias("at")), "ids")
+    # A partition's ids have numbers in a row; one row a partition says where they begin.
+    parts = ids.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("k"))
+    parts = parts.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("begin"))
+    ids = ids.join(F.broadcast(parts), F.shiftright("at", 33) == F.col("part"))
+    most = ids.agg(F.max("m").alias("texts"), F.max(F.col("begin") + F.col("at") - F.shiftleft(F.col("part"), 33)).alias("place")).first()
+    shift = max(16, int(most["texts"] - 1).bit_length())
+    if int(most["place"]).bit_length() + shift > 62:
+        raise ValueError(f"{most['place'] + 1} ids and {most['texts']} texts of one of them are more than a row's number holds")
+    base = F.shiftleft(F.col("begin") + F.col("at") - F.shiftleft(F.col("part"), 33), shift)
+    rows = written(placed.join(ids.select("i", base.alias("base")), F.col("r_id") == F.col("i")).select("r_id", "r_h", (F.col("base") + F.col("other")).alias("row")), "rows")
+    forget(texts)
+    return docs.join(small_or_shuffled(rows), (F.col("doc_id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_h")), "left").drop("r_id", "r_h"), shift, one["n"] or 0
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
@@ -436,10 +450,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False, c
     named, shift, size = with_rows(named)
     parts = conf_int(docs.sparkSession, "spark.sql.shuffle.partitions", 200)
     groups, tasks = max(parts, size // GROUP_BYTES), max(parts, size // TASK_BYTES)
-    homes = groups + 1
+    homes = (groups + 1) | 1  # odd, so that numbers with bits below their ids spread as well
     dealt = lambda df: (df.repartition(int(tasks), "key") if tasks > parts else df).groupBy("key")
-    at = F.coalesce(F.col("row"), F.lit(0))
-    texts = named.select(F.pmod(at + F.shiftright(at, 16), F.lit(homes)).cast("bigint").alias("key"), "row", "doc_id", "text", *columns)
+    at, any_home = F.col("row"), F.monotonically_increasing_id()
+    # Rows without an id have no spans and no marks, so they may be anywhere, but not all in one place.
+    key = F.coalesce(F.pmod(at + F.shiftright(at, 16), F.lit(homes)), F.pmod(any_home + F.shiftright(any_home, 33), F.lit(homes)))
+    texts = named.select(key.cast("bigint").alias("key"), "row", "doc_id", "text", *columns)
     sent = named.select("row", "text").where("row IS NOT NULL").mapInArrow(send_anchors(groups, homes, length), PARTS)
     hits = dealt(sent).applyInArrow(find_shared(homes), PARTS)
     spans = dealt(texts).cogroup(dealt(hits)).applyInArrow(send_spans(groups, homes, length, shift), PARTS)
