@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.folders import work_folder
+from siftstone.operators import generators
 from siftstone.operators.report import exploded
 from siftstone.plans.scan import mail_findings
 from siftstone.queries.base import FILES, documents, files, query, table
@@ -93,3 +94,39 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("path", "/(-?\\d+)\\.[a-z]+$", 1).cast("bigint")
     paths = rows.where(number % 7 == 0).select(F.concat(F.lit("./"), "path")).union(table(spark, sf_dir, "documents").select(F.concat(F.lit("gone/"), F.col("doc_id").cast("string"))))
     return changed(rows.withColumn("path", F.concat(F.lit("file:/repo/"), "path")), paths, "file:/repo").select(F.regexp_replace("path", "^file:/repo/", "").alias("path"), "size")
+
+
+RULES = {
+    "note": [(2, "Dear team, {body} Regards."), (1, "Log é: {body}")],
+    "body": [(1, "the number is {ssn:pii.identity}."), (3, "pay {card:financial.credit_card} for order {number}, says {who}.")],
+    "who": [(1, "nobody"), (1, "the holder of {web_token:credentials.token}")],
+}
+
+
+def _draw_sql(path: str, n: int) -> str:
+    return f"CAST('0x' || substring(sha256('42|' || doc_id || '|{path}'), 1, 12) AS BIGINT) % {n}"
+
+
+def _digits_sql(path: str, n: int, first: int = 0) -> str:
+    return "concat(" + ", ".join(f"CAST('0x' || substring(sha256('42|' || doc_id || '|{path}|value'), {1 + 2 * (first + k)}, 2) AS INT) % 10" for k in range(n)) + ")"
+
+
+SSN = f"'9' || {_digits_sql('0.0.0', 2)} || '-' || {_digits_sql('0.0.0', 2, 2)} || '-' || {_digits_sql('0.0.0', 4, 4)}"
+CARD = f"'4000-' || {_digits_sql('0.0.0', 4)} || '-' || {_digits_sql('0.0.0', 4, 4)} || '-' || {_digits_sql('0.0.0', 4, 8)}"
+BODY_CHOICE = f"CASE WHEN {_draw_sql('0.0', 4)} < 1 THEN 'ssn' ELSE 'card' END"
+
+
+@query(f"""SELECT doc_id, opening, kind, planted, place, planted_tokens FROM (
+  SELECT doc_id, CASE WHEN {_draw_sql('0', 3)} < 2 THEN 'Dear team, ' ELSE 'Log é: ' END AS opening, {BODY_CHOICE} AS kind,
+    CASE WHEN {BODY_CHOICE} = 'ssn' THEN {SSN} ELSE {CARD} END AS planted,
+    CAST(CASE WHEN {_draw_sql('0', 3)} < 2 THEN 11 ELSE 7 END + CASE WHEN {BODY_CHOICE} = 'ssn' THEN 14 ELSE 4 END AS INT) AS place,
+    CAST(CASE WHEN {BODY_CHOICE} = 'card' AND {_draw_sql('0.0.2', 2)} = 1 THEN 1 ELSE 0 END AS INT) AS planted_tokens FROM documents)""")
+def generated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled text for each document: what it opens with, and what was planted where."""
+    rows = generators.expanded(table(spark, sf_dir, "documents").select("doc_id"), generators.grammar_table(spark, RULES), "note", key="doc_id")
+    first = F.col("findings")[0]
+    begin, end = (first["extracted_data"][x].cast("int") for x in ("begin", "end"))
+    tokens = F.size(F.filter("findings", lambda f: (f["subcategory"] == "credentials.token") & (F.size(F.split(f["evidence"], "\\.")) == 3)))
+    opening = F.when(F.col("text").startswith("Dear"), "Dear team, ").otherwise(F.substring("text", 1, 7))
+    kind = F.when(first["subcategory"] == "pii.identity", "ssn").otherwise("card")
+    return rows.select("doc_id", opening.alias("opening"), kind.alias("kind"), F.substring(F.col("text"), begin + 1, end - begin).alias("planted"), begin.alias("place"), tokens.alias("planted_tokens"))
