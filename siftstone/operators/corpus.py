@@ -21,15 +21,17 @@ def fingerprint(text: Column, chars: int | None = FINGERPRINT_CHARS) -> Column:
 def prefix_dedup(rows: DataFrame, chars: int, order: str, text: str = "text", first: Column | None = None) -> DataFrame:
     """The first row, by (`first`, `order`), of those that start with the same characters. Null texts count as one.
 
-    The winner comes from a minimum, combined before the shuffle, so a very common start costs nothing.
+    Of rows that are first with the same `order`, the one with the least text, and of equal ones any. The winner is a minimum
+    that carries its row, combined before the shuffle, so a very common start costs nothing.
     """
     p = "__"
     while any(c.startswith(p) for c in rows.columns):
         p += "_"
     key = F.sha2(F.coalesce(F.substring(text, 1, chars), F.lit("\0")), 256)
     lead = F.lit(0) if first is None else first
-    winner = rows.groupBy(key.alias(f"{p}k")).agg(F.min(F.struct(lead.alias("a"), F.col(order).alias("b"))).alias(f"{p}w")).select(f"{p}k", F.col(f"{p}w.b").alias(f"{p}id"))
-    return rows.withColumn(f"{p}key", key).join(winner, (F.col(f"{p}key") == F.col(f"{p}k")) & F.col(order).eqNullSafe(F.col(f"{p}id")), "left_semi").drop(f"{p}key")
+    place = F.struct(lead.alias("a"), F.col(order).isNotNull().alias("n"), F.col(order).alias("b"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("c"))
+    winner = rows.groupBy(key.alias(f"{p}k")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), place).alias(f"{p}w"))
+    return winner.select(f"{p}w.*")
 
 
 def hold_out(candidates: DataFrame, train: DataFrame, text: str = "text", chars: int | None = FINGERPRINT_CHARS) -> DataFrame:

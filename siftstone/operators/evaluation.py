@@ -27,9 +27,13 @@ def subcategory_matches(predicted: Column, expected: Column) -> Column:
 
 
 def scored(truth: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
-    """truth (key, category, [alt_category], ...) with predicted, correct and failed. predictions: key, predicted, [error]."""
+    """truth (key, category, [alt_category], ...) with predicted, correct and failed. predictions: key, predicted, [error].
+
+    Of several predictions for a key one counts: one that didn't fail before one that did, then the greatest label.
+    """
     error = F.col("error").isNotNull() if "error" in predictions.columns else F.lit(False)
-    said = predictions.select(F.col(key).alias("__key"), "predicted", error.alias("failed"))
+    one = predictions.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct((~error).alias("ok"), F.col("predicted").alias("predicted"))).alias("one"))
+    said = one.select("__key", F.col("one.predicted").alias("predicted"), (~F.col("one.ok")).alias("failed"))
     alternative = F.col("alt_category") if "alt_category" in truth.columns else None
     return truth.join(said, F.col(key) == F.col("__key")).drop("__key").withColumn("correct", ~F.col("failed") & label_matches(F.col("predicted"), F.col("category"), alternative))
 
@@ -120,6 +124,41 @@ def mcnemar(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
     return n.withColumn("chi_square", F.when(discordant > 0, F.round(F.pow(F.abs(F.col("n10") - F.col("n01")) - 1, F.lit(2)) / discordant, 6)))
 
 
+# Coefficients of W. J. Cody's rational approximations of erfc (1969): for |x| up to 0.46875, up to 4, and above.
+ERF_SMALL = ([3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1], [2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03])
+ERFC_MIDDLE = (
+    [5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e01, 2.98635138197400131e02, 8.81952221241769090e02, 1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03, 2.15311535474403846e-8],
+    [1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03, 4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03],
+)
+ERFC_LARGE = ([3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4, 1.63153871373020978e-2], [2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3])
+
+
+def _quotient(y: Column, top: list[float], bottom: list[float]) -> Column:
+    """The polynomials' quotient: the last of `top` leads, the others follow; `bottom` leads with 1."""
+    upper, lower = F.lit(top[-1]) * y, y
+    for a, b in zip(top[:-2], bottom[:-1]):
+        upper, lower = (upper + a) * y, (lower + b) * y
+    return (upper + top[-2]) / (lower + bottom[-1])
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0, as a column: Spark has none."""
+    small = 1 - x * _quotient(x * x, *ERF_SMALL)
+    middle = F.exp(-x * x) * _quotient(x, *ERFC_MIDDLE)
+    inverse = 1 / (x * x)
+    large = F.exp(-x * x) / x * (1 / math.sqrt(math.pi) - inverse * _quotient(inverse, *ERFC_LARGE))
+    return F.when(x <= 0.46875, small).when(x <= 4, middle).otherwise(large)
+
+
+def p_value(chi_square: Column) -> Column:
+    """Of a chi-square with one degree of freedom."""
+    return erfc(F.sqrt(chi_square / 2))
+
+
+def stars(p: Column) -> Column:
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+
+
 def mcnemar_p(row) -> tuple[float | None, str]:
     """p-value and stars of a row of `mcnemar`."""
     if row["chi_square"] is None:
@@ -128,6 +167,32 @@ def mcnemar_p(row) -> tuple[float | None, str]:
     return p, "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else ""
 
 
+def all_pairs(scores: DataFrame, models: list[str], key: str = "id") -> DataFrame:
+    """McNemar's test of every pair of models, in one pass: a, b, common, n10 (only a is right), n01, chi_square, p, stars.
+
+    scores: key, model, correct. A key's answers become one row of two bit sets, of the models that answered and of those
+    that were right, and a pair's counts are sums over these rows; nothing is joined with itself. Repeated answers of a model
+    to a key: right if the greatest is. Null keys and models not named are left out. Pairs are in the order of `models` (62 at
+    most); chi_square has the continuity correction, and is null without a discordant key, as p then is.
+    """
+    assert len(models) <= 62
+    number = F.array_position(F.array(*map(F.lit, models)), F.col("model")).cast("int") - 1
+    rows = scores.where(F.col(key).isNotNull() & F.col("model").isin(models)).groupBy(F.col(key).alias("k"), number.alias("m")).agg(F.max(F.coalesce("correct", F.lit(False))).alias("right"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("m"))
+    sets = rows.groupBy("k").agg(F.sum(bit).alias("there"), F.coalesce(F.sum(F.when(F.col("right"), bit)), F.lit(0).cast("bigint")).alias("right"))
+    # Keys with the same sets count together: their number no longer matters to the pairs.
+    sets = sets.groupBy("there", "right").agg(F.count(F.lit(1)).alias("n"))
+    pairs = [(i, j) for i in range(len(models)) for j in range(i + 1, len(models))]
+    struct = F.array(*[F.struct(F.lit(1 << i).cast("bigint").alias("x"), F.lit(1 << j).cast("bigint").alias("y"), F.lit(models[i]).alias("a"), F.lit(models[j]).alias("b"), F.lit(k).alias("k")) for k, (i, j) in enumerate(pairs)]) if pairs else F.array().cast("array<struct<x:bigint,y:bigint,a:string,b:string,k:int>>")
+    each = sets.select("there", "right", "n", F.explode(struct).alias("p")).select("there", "right", "n", "p.*")
+    both = (F.col("there").bitwiseAND(F.col("x")) != 0) & (F.col("there").bitwiseAND(F.col("y")) != 0)
+    a, b = F.col("right").bitwiseAND(F.col("x")) != 0, F.col("right").bitwiseAND(F.col("y")) != 0
+    n = each.where(both).groupBy("k", "a", "b").agg(F.sum("n").alias("common"), F.coalesce(F.sum(F.when(a & ~b, F.col("n"))), F.lit(0)).alias("n10"), F.coalesce(F.sum(F.when(~a & b, F.col("n"))), F.lit(0)).alias("n01"))
+    discordant = F.col("n10") + F.col("n01")
+    n = n.withColumn("chi_square", F.when(discordant > 0, F.pow((F.abs(F.col("n10") - F.col("n01")) - 1).cast("double"), F.lit(2.0)) / discordant))
+    return n.withColumn("p", p_value(F.col("chi_square"))).withColumn("stars", F.when(F.col("p").isNotNull(), stars(F.col("p"))).otherwise("")).select("a", "b", "common", "n10", "n01", "chi_square", "p", "stars")
+
+
 def delta(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """(key, a, b, points): the difference of two tables' values in percentage points."""
     return a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key).withColumn("points", F.round(100 * (F.col("b") - F.col("a")), 4))

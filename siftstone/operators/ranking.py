@@ -41,10 +41,17 @@ def cap_per_group(rows: DataFrame, group: str, most: int, id_column: str, seed:
     return rank_in_group(rows, [F.col(group)], seeded(F.col(id_column), seed), F.col(id_column), "__rank").where(F.col("__rank") <= most).drop("__rank")
 
 
-def stratified_quota(rows: DataFrame, group: str, quotas: dict[str, int], id_column: str, seed: int = 42, strict: bool = True) -> DataFrame:
-    """Exactly quotas[g] rows of each named group by the seeded order, the rest of the groups left out; strict: a group that is short is an error."""
+def stratified_quota(rows: DataFrame, group: str, quotas: dict[str, int], id_column: str, seed: int = 42, strict: bool | str = True) -> DataFrame:
+    """Exactly quotas[g] rows of each named group by the seeded order, the rest of the groups left out.
+
+    strict: a group that is short is an error, at once; "in plan": when rows are made, as part of the plan, so that nothing
+    runs before; false: what there is.
+    """
     quota = F.try_element_at(F.create_map(*[x for g, n in quotas.items() for x in (F.lit(g), F.lit(n))]), F.col(group))
-    out = rank_in_group(rows.where(F.col(group).isin(list(quotas))), [F.col(group)], seeded(F.col(id_column), seed), F.col(id_column), "__rank").where(F.col("__rank") <= quota).drop("__rank")
+    named = rows.where(F.col(group).isin(list(quotas)))
+    out = rank_in_group(named, [F.col(group)], seeded(F.col(id_column), seed), F.col(id_column), "__rank").where(F.col("__rank") <= quota).drop("__rank")
+    if strict == "in plan":
+        return out.unionByName(_none_if_enough(named, group, quotas))
     if strict:
         have = {r[group]: r["n"] for r in out.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
         if short := {g: have.get(g, 0) for g, n in quotas.items() if have.get(g, 0) < n}:
@@ -52,6 +59,18 @@ def stratified_quota(rows: DataFrame, group: str, quotas: dict[str, int], id_col
     return out
 
 
+def _none_if_enough(rows: DataFrame, group: str, quotas: dict[str, int]) -> DataFrame:
+    """No row, with the columns of `rows`; an error when that is found out, if a group has too few."""
+    counts = rows.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    one = counts.agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("have"))  # a row; groups are those of the quota
+    count = lambda w: F.coalesce(F.try_element_at("have", w["g"]), F.lit(0))
+    short = F.filter(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(n).alias("n")) for g, n in quotas.items()]), lambda w: count(w) < w["n"])
+    told = F.array_join(F.transform(short, lambda w: F.concat(w["g"], F.lit(": "), count(w).cast("string"), F.lit(" of "), w["n"].cast("string"))), ", ")
+    # In a condition, which isn't pruned as a column may be.
+    failed = F.when(F.size(short) > 0, F.raise_error(F.concat(F.lit("too few rows for the quota: "), told)).cast("boolean")).otherwise(F.lit(False))
+    return one.where(failed).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
 def balanced_fill(rows: DataFrame, group: str, most: int, id_column: str, seed: int = 42, text: str | None = None, chars: int = 200) -> DataFrame:
     """`most` rows spread over the groups: an equal share of each by the seeded order, then the best of the rest, whichever group.
 

@@ -122,3 +122,17 @@ def resumed_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     resumable.evaluate(todo, answer(F.col("error").isNotNull(), 1), folder, "id", batch_rows=20_000_000)
     rows = resumable.evaluate(todo, answer(F.lit(False), 2), folder, "id", batch_rows=20_000_000)
     return rows.select("id", "predicted", (F.col("call") == 2).alias("again"))
+
+
+MODELS = {"a": 7, "b": 5, "c": 3}
+LONG = " UNION ALL ".join(f"SELECT '{m}' AS model, id, correct FROM ({scored_sql(step)})" for m, step in MODELS.items())
+
+
+@query(f"""SELECT a, b, common, n10, n01, round(CASE WHEN n10 + n01 > 0 THEN pow(abs(n10 - n01) - 1, 2) / (n10 + n01) END, 6) AS chi_square
+FROM (SELECT x.model AS a, y.model AS b, count(*) AS common, count(*) FILTER (x.correct AND NOT y.correct) AS n10, count(*) FILTER (y.correct AND NOT x.correct) AS n01
+      FROM ({LONG}) x JOIN ({LONG}) y ON x.id = y.id AND x.model < y.model GROUP BY 1, 2)""")
+def mcnemar_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of three sets of predictions."""
+    parts = [rows(spark, sf_dir, step).select("id", "correct", F.lit(m).alias("model")) for m, step in MODELS.items()]
+    pairs = E.all_pairs(parts[0].unionByName(parts[1]).unionByName(parts[2]), list(MODELS))
+    return pairs.select("a", "b", "common", "n10", "n01", F.round("chi_square", 6).alias("chi_square"))
