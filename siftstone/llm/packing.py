@@ -1,10 +1,14 @@
 """Packing token sequences by harmonic classes, each worker on its own.
 
-Classes are the reciprocals 1/1, 1/2, 1/4, ... of the capacity. A document's ids are cut, longest piece first, into
-pieces that are exactly such a share, so the bins of class 1/k take k pieces and have no padding. What a worker has left
-in all classes (fewer than k pieces each) goes, largest pieces first, into joint sequences; pieces are powers of two in
-falling order, so none straddles an end. Its last sequence, if not full, is cut into sequences whose lengths are powers
-of two. No sequence is padded at all. There is no shuffle, and a worker holds one batch of documents at a time.
+A stretch of ids that is longer than 1/(k+1) of a sequence and at most 1/k of it is of class k, for every k. Documents of
+up to a sequence are such stretches whole; longer ones give full sequences (class 1) and one stretch of what is over.
+A bin of class k takes exactly k stretches, so it has room left, less than 1/(k+1) of a sequence. Only that room is filled with
+cut stretches: those that found no bin yet (fewer than k of a class), longest first, poured from one bin's room to the next.
+Bins are kept, those with the least room first, as long as all ids at hand can fill them; the others give up their
+stretches to be poured. So each bin is full, and each cuts one stretch at most. What a worker has left at its end is joined,
+longest first, into full sequences, and the last of them into sequences whose lengths are powers of two. No sequence is
+padded at all. There is no shuffle; a worker holds one batch of documents at a time, and fewer ids of stretches that
+wait than there are classes of whole lengths (2 * sqrt(capacity)) times the capacity.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -106,63 +111,112 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, length) of every piece: full capacities, then falling powers of two."""
-    docs, starts, sizes = [], [], []
-    full = lengths // capacity
-    docs.append(np.repeat(np.arange(len(lengths)), full))
-    starts.append((np.arange(int(full.sum())) - np.repeat(np.cumsum(full) - full, full)) * capacity)
-    sizes.append(np.full(int(full.sum()), capacity))
-    at = full * capacity
-    size = capacity >> 1
-    while size:
-        has = np.flatnonzero((lengths - at) & size)
-        docs.append(has)
-        starts.append(at[has])
-        sizes.append(np.full(len(has), size))
-        at[has] += size
-        size >>= 1
-    return np.concatenate(docs), np.concatenate(starts), np.concatenate(sizes)
-
-
-def place(sizes: np.ndarray, capacity: int, first: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Sequence and offset for pieces by falling size, which of them are placed, and the next free sequence.
-
-    Without `last`, only full sequences of pieces of one size are made, the rest waits; at last all pieces that wait are joined.
+    """(document, start, length) of every stretch, in the order of documents: full capacities, then what is over."""
+    many = -(-lengths // capacity)
+    doc = np.repeat(np.arange(len(lengths)), many)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * capacity
+    return doc, start, np.minimum(lengths[doc] - start, capacity)
+
+
+def classes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The bin of each stretch (-1: none) and its place there; and how many bins there are.
+
+    Class k = capacity // size fills bins of exactly k. Bins whose room the other stretches can't fill are given up,
+    the roomiest first.
     """
-    order = np.argsort(-sizes, kind="stable")
-    if not last:
-        # Full bins of one class each, by falling size; what a class has over waits for the class's next bin.
-        size, begin, many = np.unique(-sizes[order], return_index=True, return_counts=True)
-        bins = many // (capacity // -size)
-        rank = np.arange(len(order)) - np.repeat(begin, many)
-        fit = np.repeat(capacity // -size, many)
-        seq, off, done = np.empty_like(sizes), np.empty_like(sizes), np.zeros(len(sizes), bool)
-        seq[order] = first + np.repeat(np.cumsum(bins) - bins, many) + rank // fit
-        off[order] = rank % fit * sizes[order]
-        done[order] = rank < np.repeat(bins * (capacity // -size), many)
-        return seq, off, done, first + int(bins.sum())
-    at = np.cumsum(sizes[order]) - sizes[order]
-    total = int(sizes.sum())
-    whole = total // capacity
-    seq, off = first + at // capacity, at % capacity
-    done = at < whole * capacity
-    used = first + whole
-    if rest := total - whole * capacity:
-        done[:] = True
-        tail = at >= whole * capacity
-        begin, bit = 0, capacity >> 1
-        while bit:
-            if rest & bit:
-                inside = tail & (off >= begin) & (off < begin + bit)
-                seq[inside] = used
-                off_inside = off[inside] - begin
-                np.place(off, inside & (seq == used), off_inside)
-                tail &= ~inside
-                begin, used = begin + bit, used + 1
-            bit >>= 1
-    out_seq, out_off, out_done = np.empty_like(seq), np.empty_like(off), np.empty(len(sizes), bool)
-    out_seq[order], out_off[order], out_done[order] = seq, off, done
-    return out_seq, out_off, out_done, used
+    fit = capacity // sizes
+    order = np.argsort(fit, kind="stable")
+    k, begin, many = np.unique(fit[order], return_index=True, return_counts=True)
+    rank = np.arange(len(order)) - np.repeat(begin, many)
+    full = many // k
+    number = np.repeat(np.cumsum(full) - full, many) + rank // fit[order]
+    number[rank >= np.repeat(full * k, many)] = -1
+    bins = np.full(len(sizes), -1, np.int64)
+    bins[order] = number
+    total = int(full.sum())
+    room = capacity - np.bincount(bins[bins >= 0], sizes[bins >= 0], total).astype(np.int64)
+    keep = np.sort(np.argsort(room, kind="stable")[: int(sizes.sum()) // capacity])
+    renumber = np.full(total + 1, -1, np.int64)  # the last entry is that of no bin
+    renumber[keep] = np.arange(len(keep))
+    bins = renumber[bins]
+    placed = order[bins[order] >= 0]
+    before = np.cumsum(sizes[placed]) - sizes[placed]
+    opens = np.flatnonzero(np.diff(bins[placed], prepend=-1))  # where a bin's stretches begin; they stand together
+    offset = np.zeros(len(sizes), np.int64)
+    offset[placed] = before - before[opens][bins[placed]]
+    return bins, offset, len(keep)
+
+
+def pour(sizes: np.ndarray, rooms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches, one after another, into rooms, one after another: (stretch, start in it, length, room, offset in it) of each piece.
+
+    Rooms and sizes are above 0, and there is at least as much of the stretches as of room.
+    """
+    at, door = np.cumsum(sizes) - sizes, np.cumsum(rooms) - rooms
+    total = int(rooms.sum())
+    begin = np.unique(np.concatenate((at[at < total], door)))
+    stretch, room = np.searchsorted(at, begin, "right") - 1, np.searchsorted(door, begin, "right") - 1
+    return stretch, begin - at[stretch], np.diff(np.concatenate((begin, [total]))), room, begin - door[room]
+
+
+@dataclass
+class Stretches:
+    """Stretches of ids in a worker's hands; `first` is where each one's ids begin in `ids`."""
+
+    doc: np.ndarray
+    known: np.ndarray
+    total: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def none(cls) -> Stretches:
+        return cls(*[np.zeros(0, np.int64)] * 6, np.zeros(0, np.uint32))
+
+    def join(self, other: Stretches) -> Stretches:
+        columns = ((getattr(self, c), getattr(other, c)) for c in ("doc", "known", "total", "start", "size"))
+        return Stretches(*map(np.concatenate, columns), np.concatenate((self.first, other.first + len(self.ids))), np.concatenate((self.ids, other.ids)))
+
+    def part(self, at: np.ndarray, skip: np.ndarray) -> Stretches:
+        """Stretches `at` without their first `skip` ids, and the ids of these alone."""
+        size, first = self.size[at] - skip, self.first[at] + skip
+        return Stretches(self.doc[at], self.known[at], self.total[at], self.start[at] + skip, size, np.cumsum(size) - size, gather(self.ids, first, size))
+
+    def rows(self, at: np.ndarray, skip: np.ndarray, size: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
+        """Pieces: `size` ids of stretch `at` after its first `skip`, with where they are put."""
+        data = self.ids.astype("<u4").tobytes()
+        begin = (self.first[at] + skip) * 4
+        crc = np.fromiter((zlib.crc32(data[x:y]) for x, y in zip(begin.tolist(), (begin + size * 4).tolist())), np.int64, len(at))
+        columns = [pa.array(self.doc[at], mask=self.known[at] == 0), self.start[at] + skip, size, crc, self.total[at], sequence, offset]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
+def filled(held: Stretches, capacity: int, serial: int) -> tuple[pa.RecordBatch, Stretches, int]:
+    """The pieces of full bins from the stretches at hand, the stretches that wait, and the next free sequence."""
+    bins, offset, many = classes(held.size, capacity)
+    inside = np.flatnonzero(bins >= 0)
+    others = np.flatnonzero(bins < 0)
+    others = others[np.argsort(-held.size[others], kind="stable")]
+    used = np.bincount(bins[inside], held.size[inside], many).astype(np.int64)
+    open_bins = np.flatnonzero(used < capacity)
+    stretch, skip, size, room, inner = pour(held.size[others], capacity - used[open_bins])
+    gone = np.bincount(stretch, size, len(others)).astype(np.int64)
+    put = open_bins[room]
+    at = np.concatenate((inside, others[stretch]))
+    sent = held.rows(at, np.concatenate((np.zeros_like(inside), skip)), np.concatenate((held.size[inside], size)), serial + np.concatenate((bins[inside], put)), np.concatenate((offset[inside], used[put] + inner)))
+    left = gone < held.size[others]
+    return sent, held.part(others[left], gone[left]), serial + many
+
+
+def joined(held: Stretches, capacity: int, serial: int) -> pa.RecordBatch:
+    """All stretches at hand, longest first, in full sequences and at the end in sequences of falling powers of two."""
+    order = np.argsort(-held.size, kind="stable")
+    whole, rest = divmod(int(held.size.sum()), capacity)
+    rooms = np.array([capacity] * whole + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1], np.int64)
+    stretch, skip, size, room, offset = pour(held.size[order], rooms)
+    return held.rows(order[stretch], skip, size, serial + room, offset)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2) -> DataFrame:
@@ -170,21 +224,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
 
     tokenizer: path of the tokenizer's file on every worker. A document's ids are the tokenizer's without special tokens,
     then end_id; null or empty text is the end_id alone. Rows that repeat a doc_id, and null ids, are documents of
-    their own. Returns a row a piece: doc_id, start (ids of the document before it), length, ids_crc32 (unsigned, over
-    little-endian unsigned 32-bit ids), doc_tokens, sequence_id (unique; a worker's own range), offset (from 0, gapless).
-    Sequences are full or a power of two long. Other columns aren't read; an empty table gives no rows.
+    their own. A text of any length is tokenised whole by one task and fills sequences of its own up to what is over.
+    Documents of equal length keep their order. Returns a row a piece: doc_id, start (ids of the document before it),
+    length, ids_crc32 (unsigned, over little-endian unsigned 32-bit ids), doc_tokens, sequence_id (unique; a worker's own
+    range), offset (from 0, gapless). Sequences are full or a power of two long. Other columns aren't read; an empty
+    table gives no rows.
     """
     assert capacity & (capacity - 1) == 0, "capacity must be a power of two"
 
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.of(tokenizer)
         serial = TaskContext.get().partitionId() << 40
-        wait: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
-
-        def sent(rows: list[np.ndarray], sequence: np.ndarray, offset: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-            doc, known, start, size, crc, total = (x[at] for x in rows)
-            return pa.RecordBatch.from_arrays([pa.array(doc, mask=known == 0), pa.array(start), pa.array(size), pa.array(crc), pa.array(total), pa.array(sequence[at]), pa.array(offset[at])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
+        held = Stretches.none()
         for batch in incoming:
             texts = text_array(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64())
@@ -193,15 +244,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
                 tokens, first = words.encode(*text_bytes(texts.slice(a, b - a)), end_id)
                 lengths = np.diff(first)
                 doc, start, size = cut(lengths, capacity)
-                data = tokens.astype("<u4").tobytes()
-                begin = (first[doc] + start) * 4
-                crc = np.fromiter((zlib.crc32(data[x:y]) for x, y in zip(begin.tolist(), (begin + size * 4).tolist())), np.int64, len(doc))
-                rows = [np.concatenate(x) for x in zip(wait, (doc_ids[a:b][doc], known[a:b][doc], start, size, crc, lengths[doc]))]
-                sequence, offset, done, serial = place(rows[3], capacity, serial, last=False)
-                yield sent(rows, sequence, offset, done)
-                wait = [x[~done] for x in rows]
+                new = Stretches(doc_ids[a:b][doc], known[a:b][doc], lengths[doc], start, size, first[doc] + start, tokens)
+                sent, held, serial = filled(held.join(new), capacity, serial)
+                yield sent
             give_back()
-        sequence, offset, done, serial = place(wait[3], capacity, serial, last=True)
-        yield sent(wait, sequence, offset, done)
+        yield joined(held, capacity, serial)
 
     return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)

@@ -294,16 +294,48 @@ def test_entry_works_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
 
 
-def test_bins_before_the_last_hold_one_class():
+def test_bins_take_a_fixed_count_of_their_class():
     r = np.random.default_rng(2)
-    wait, first = np.zeros(0, np.int64), 0
-    for _ in range(6):
-        sizes = np.concatenate((wait, 1 << r.integers(0, 6, 80)))
-        seq, off, done, after = packing.place(sizes, 32, first, last=False)
-        bins = defaultdict(list)
-        for s, o, n in zip(seq[done], off[done], sizes[done]):
-            bins[s].append((o, n))
-        assert sorted(bins) == list(range(first, after))
-        assert all(len({n for _, n in b}) == 1 and sorted(o for o, _ in b) == list(range(0, 32, b[0][1])) for b in bins.values())
-        wait, first = sizes[~done], after
-        assert all((wait == n).sum() < 32 // n for n in set(wait.tolist()))
+    for capacity, most in ((32, 32), (256, 40), (256, 256), (64, 33)):
+        for _ in range(20):
+            sizes = r.integers(1, most + 1, int(r.integers(1, 400)))
+            bins, offset, many = packing.classes(sizes, capacity)
+            assert set(bins[bins >= 0].tolist()) == set(range(many))
+            for b in range(many):
+                own = np.flatnonzero(bins == b)
+                k = capacity // sizes[own[0]]
+                assert set((capacity // sizes[own]).tolist()) == {k} and len(own) == k
+                spans = sorted(zip(offset[own].tolist(), sizes[own].tolist()))
+                assert [o for o, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1].tolist()] and sum(n for _, n in spans) <= capacity
+            # All room can be filled, and no bin was given up without need.
+            assert many * capacity <= sizes.sum()
+            full = sum(n // k for k, n in Counter((capacity // sizes).tolist()).items())
+            assert many == min(full, sizes.sum() // capacity)
+
+
+def test_pour_cuts_at_rooms_only():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        sizes, rooms = r.integers(1, 30, 40), r.integers(1, 20, 15)
+        stretch, start, size, room, offset = packing.pour(sizes, rooms)
+        flat = [(i, j) for i, n in enumerate(sizes) for j in range(n)]
+        want = iter(flat)
+        assert [(i, s + j, q, o + j) for i, s, n, q, o in zip(stretch, start, size, room, offset) for j in range(n)] == [(*next(want), q, o) for q, n in enumerate(rooms) for o in range(n)]
+        assert len(size) <= len(rooms) + len(set(stretch.tolist()))
+    assert all(not len(x) for x in packing.pour(np.array([3]), np.zeros(0, np.int64)))
+
+
+def test_few_documents_are_cut(spark, docs):
+    r = np.random.default_rng(4)
+    lengths = np.concatenate((r.integers(0, 600, 1500), r.integers(600, 5000, 150), [4095, 4095, 2047, 30000]))
+    made = docs([(i, "word " * int(n)) for i, n in enumerate(lengths)]).repartition(2)
+    got = packing.pack(made, WORDS).toPandas()
+    short = got[got.doc_tokens <= 4096].groupby("doc_id").size()
+    assert len(got) < 1.5 * len(lengths) and (short > 1).mean() < 0.4
+    assert got.length.sum() == sum(got.drop_duplicates("doc_id").doc_tokens)
+    ends = got.assign(end=got.offset + got.length).groupby("sequence_id").end.max()
+    assert (ends < 4096).groupby(ends.index.to_numpy() >> 40).sum().max() <= 12 and all(n & (n - 1) == 0 for n in ends)
+    # Every document of one length that leaves much room: bins are given up to fill the others.
+    same = packing.pack(docs([(i, "word " * 2100) for i in range(60)]).coalesce(1), WORDS).toPandas()
+    assert same.length.sum() == 60 * same.doc_tokens.iloc[0] and len(same) < 120
+    assert len(same.groupby("sequence_id").length.sum().loc[lambda n: n != 4096]) <= 12
