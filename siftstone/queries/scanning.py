@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import rules as R
 from siftstone.functions import text as T
 from siftstone.operators import labelling as L
-from siftstone.plans.scan import scan
+from siftstone.plans.scan import chunked, scan
 from siftstone.queries.base import documents, query, quoted, sql_hits, sql_list, table
+from siftstone.sources.model import ask
 
 RULE_ROWS = " UNION ALL ".join(f"SELECT {n} AS rule_no, {quoted(r.name)} AS rule, {quoted(r.subcategory)} AS subcategory, {quoted(r.severity)} AS severity, doc_id, text FROM documents WHERE regexp_matches(text, {quoted(r.pattern)})" for n, r in enumerate(R.RULES))
 RULE_NAMES = ", ".join(f"({n}, {quoted(r.name)}, {quoted(r.subcategory)})" for n, r in enumerate(R.RULES))
@@ -74,6 +77,18 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("chunks").agg(F.count(F.lit(1)).alias("documents"), F.sum("chars").alias("chars"))
 
 
+class DigestClient:
+    """A model that needs no network: its answer is the digest of what it is asked."""
+
+    def chat(self, prompt: str) -> str:
+        return hashlib.sha256(prompt.encode()).hexdigest()
+
+
+@query(f"SELECT doc_id, chunk_no, sha256('Classify this text.' || chr(10) || chr(10) || chunk) AS response, CAST(NULL AS VARCHAR) AS error FROM ({CHUNKS})")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ask(chunked(documents(spark, sf_dir, "doc_id", "text")), DigestClient, "Classify this text.")
+
+
 WINDOWS = "SELECT doc_id, source, CAST(i AS INT) AS window_no, lines[i * 25 + 1 : i * 25 + 25] AS lines FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines, unnest(range(0, (len(string_split(text, chr(10))) - 1) // 25 + 1)) AS i FROM documents)"
 
 

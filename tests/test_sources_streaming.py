@@ -1,12 +1,13 @@
 import email.message
 import io
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftstone.operators.report import summary
-from siftstone.plans.scan import chunked, scan
+from siftstone.plans.scan import chunked, image_findings, scan
 from siftstone.sources import extract, files, model
 from siftstone.streaming import landing
 
@@ -111,6 +112,91 @@ def test_model_and_scan(spark):
     assert replayed.where("response IS NOT NULL").count() == 1 and replayed.count() == 4
 
 
+def test_calls_wait_side_by_side(spark):
+    class Slow:
+        def chat(self, prompt):
+            time.sleep(0.5)
+            return prompt[-2:]
+
+    chunks = spark.range(16).selectExpr("id AS doc_id", "0 AS chunk_no", "lpad(id, 2, '0') AS chunk").coalesce(1)
+    model.ask(chunks.limit(1), Slow, "q").collect()  # the worker is up
+    began = time.monotonic()
+    got = model.ask(chunks, Slow, "q", model.Limits(at_once=8)).collect()
+    assert time.monotonic() - began < 5  # 8 s one after another
+    assert [(r["doc_id"], r["response"], r["error"]) for r in got] == [(i, f"{i:02d}", None) for i in range(16)]
+
+
+def test_hung_calls_end_as_errors():
+    calls = []
+
+    class Hung:
+        def chat(self, prompt):
+            calls.append(prompt)
+            if prompt in ("3", "4", "9"):
+                time.sleep(2)
+                raise model.Refused(503)
+            return prompt
+
+    asking = model.Asking(Hung, model.Limits(at_once=2, seconds=0.3), None)
+    got = asking.answers([lambda c, i=i: c.chat(str(i)) for i in range(10)])
+    late = (None, "no answer within 0.3 seconds")
+    assert got == [late if i in (3, 4, 9) else (str(i), None) for i in range(10)]
+    time.sleep(2.5)
+    assert sorted(calls) == sorted(map(str, range(10)))  # what was given up isn't tried again
+    assert asking.answers([]) == [] and asking.answers([lambda c: c.chat("x")]) == [("x", None)]
+
+
+def test_a_client_serves_one_call_at_a_time_and_may_fail_to_start():
+    class Own:
+        made = 0
+
+        def __init__(self):
+            Own.made += 1
+            self.busy = False
+
+        def chat(self, prompt):
+            assert not self.busy
+            self.busy = True
+            time.sleep(0.005)
+            self.busy = False
+            return prompt
+
+    got = model.Asking(Own, model.Limits(at_once=4), None).answers([lambda c, i=i: c.chat(str(i)) for i in range(100)])
+    assert got == [(str(i), None) for i in range(100)] and Own.made <= 5
+
+    def no_server():
+        raise ConnectionError("refused")
+
+    assert model.Asking(no_server, model.Limits(), None).answers([lambda c: c.chat("x")] * 2) == [(None, "refused")] * 2
+
+
+def test_the_rate_is_shared_by_tasks(spark):
+    class Clock:
+        def chat(self, prompt):
+            return str(time.time())
+
+    chunks = spark.range(24).selectExpr("id AS doc_id", "0 AS chunk_no", "'c' AS chunk")
+    got = model.ask(chunks, Clock, "q", model.Limits(per_second=8, tasks=2)).collect()
+    times = sorted(float(r["response"]) for r in got)
+    # Two tasks of 4 a second each; both may begin one call at once.
+    assert len(times) == 24 and all(b - a > 0.9 for a, b in zip(times, times[10:]))
+
+
+def test_images_and_their_text_are_asked_about(spark):
+    class Eyes:
+        def describe(self, prompt, image):
+            assert prompt in ("look", "look\n\npassport P123")
+            return f"[{{\"category\": \"pii\", \"subcategory\": \"pii.identity\", \"severity\": \"high\", \"description\": \"{len(image)} bytes\"}}]"
+
+    images = spark.createDataFrame([("a.png", bytearray(b"abc"), "passport P123"), ("b.png", bytearray(b"abcd"), None), ("c.png", None, "words"), ("d.png", bytearray(), " ")], "path string, content binary, ocr_text string")
+    asked = model.describe(images, Eyes, "look")
+    assert {r["path"]: (r["response"] is not None, r["error"]) for r in asked.collect()} == {"a.png": (True, None), "b.png": (True, None), "c.png": (False, None), "d.png": (False, None)}
+    found = {r["path"]: [(f["category"], f["description"], f["evidence"]) for f in r["findings"]] for r in image_findings(asked).collect()}
+    assert found["a.png"] == [("pii", "3 bytes", "passport P123")] and found["b.png"] == [("pii", "4 bytes", "[image content]")]
+    assert found["c.png"][0][0] == "unclassified" and found["d.png"][0][0] == "safe"
+    assert model.describe(images.limit(0), Eyes, "look").count() == 0
+
+
 def test_retries_give_up():
     waits = []
     with pytest.raises(model.Refused):
