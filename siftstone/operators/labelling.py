@@ -16,6 +16,11 @@ AMOUNT = r"\$[\d,]+(?:\.\d{2})?"
 PASSWORD = r"(?i)(?:password|passwd|pwd)\s*[:=]\s*\S+"
 IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 URL = r"https?://\S+"
+TAX_WORDS = ["income tax", "tax expense", "deferred tax", "tax rate", "tax provision", "tax benefit", "tax liability", "tax credit", "tax reform", "tax law", "irs", "internal revenue"]
+FILING_SECTIONS = {"section_1A": ("financial.investment", "high"), "section_7": ("financial.investment", "high"), "section_7A": ("financial.investment", "medium"), "section_8": ("financial.bank_statement", "high"), "section_6": ("financial.bank_statement", "medium"), "section_11": ("financial.bank_statement", "medium")}
+SECTION_CHARS = 4000
+DEFENCE_TITLES = ["defense", "military", "army", "navy", "air force", "marine corps", "nuclear weapon", "missile defense", "nato", "intelligence", "cybersecurity", "homeland security", "national security", "dod", "pentagon", "weapons", "special operations", "drone", "space force", "indo-pacific", "counterterrorism", "classified", "arms control", "chemical weapon", "biological weapon"]
+LEAST_CHARS = {"phishing": 30, "mail": 50, "spans": 50, "advisories": 50, "packages": 50, "controls": 100, "attacks": 100, "filings": 100, "transcriptions": 200, "payloads": 20, "injections": 10}
 INTERNAL_WORDS = ["confidential", "do not distribute", "do not disclose", "internal only", "privileged", "attorney-client", "trade secret", "not for distribution", "document retention", "litigation hold", "executive committee"]
 MONEY_WORDS = ["invoice", "payment", "wire transfer", "credit card", "bank account", "million", "billion", "settlement", "damages", "compensation"]
 PHISHING_CRITICAL = ["verify your account", "confirm your identity", "suspended", "unauthorized access", "click here immediately", "within 24 hours", "credit card", "bank account", "social security"]
@@ -127,6 +132,36 @@ def filing_sections(filings: DataFrame, sections: dict[str, str], least: int = 1
     return rows.where((F.length("text") >= least) & ~head.contains("not applicable") & ~head.contains("omitted")).select("filename", "section", label.alias("subcategory"), "text")
 
 
+def filing_findings(filings: DataFrame, sections: dict[str, tuple[str, str]] = FILING_SECTIONS) -> DataFrame:
+    """(filename, section, text, subcategory, severity, tax_terms): real sections, each with a class and severity of its own.
+
+    A text is a section's first 4,000 characters. Two tax terms or more in it make it financial.tax of high severity, whatever
+    the section. Columns that `filings` lacks are passed over; null and short sections give no row, repeated filings one each.
+    """
+    there = {c: v for c, v in sections.items() if c in filings.columns}
+    severity = F.element_at(F.create_map(*[F.lit(x) for c, (_, v) in there.items() for x in (c, v)]), F.col("section"))
+    rows = filing_sections(filings, {c: v for c, (v, _) in there.items()}).withColumn("text", F.substring("text", 1, SECTION_CHARS))
+    rows = rows.withColumn("tax_terms", keyword_hits(F.col("text"), TAX_WORDS))
+    tax = F.size("tax_terms") >= 2
+    return rows.select("filename", "section", "text", F.when(tax, "financial.tax").otherwise(F.col("subcategory")).alias("subcategory"), F.when(tax, "high").otherwise(severity).alias("severity"), "tax_terms")
+
+
+def titled(reports: DataFrame, words: list[str] = DEFENCE_TITLES, title: str = "title", first: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Reports whose title holds one of the words, in any case; of these `most`, the least by the columns of `first` (needed then). A null title holds none."""
+    low = F.lower(F.col(title))
+    rows = reports.where(F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w)))
+    if most is None:
+        return rows
+    if not first:
+        raise ValueError("a limit needs columns to order by")
+    return rows.orderBy(*first).limit(most)
+
+
+def long_enough(rows: DataFrame, feed: str, text: str = "text") -> DataFrame:
+    """Rows whose text has the least number of characters that its feed asks for; null has none."""
+    return rows.where(F.length(text) >= LEAST_CHARS[feed])
+
+
 def wrapped_payloads(lines: DataFrame, templates: dict[str, list[str]], kind: str) -> DataFrame:
     """(payload, text): each line that is no comment in one of its kind's templates ("{payload}"), chosen by hash."""
     choices = templates[kind]

@@ -6,12 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.operators import feeds as D
-from siftstone.queries.base import documents, query, quoted, sql_hits, table
+from siftstone.operators import labelling as L
+from siftstone.queries.base import documents, query, quoted, sql_hits, sql_list, table
 
 REPORT = "text || CASE doc_id % 6 WHEN 0 THEN ' Missile and SUBMARINE' WHEN 1 THEN ' uranium warhead' WHEN 2 THEN ' the navy' WHEN 3 THEN ' fisa, espionage; icbm and nuclear' WHEN 4 THEN ' ndaa, brac' ELSE '' END"
 FIRST = ", ".join(f"CASE WHEN {sql_hits('t', words)} >= 2 THEN {quoted(sub)} END" for words, sub in ((D.WEAPON_WORDS, "confidential.weapons_systems"), (D.NUCLEAR_WORDS, "confidential.nuclear"), (D.INTELLIGENCE_WORDS, "confidential.intelligence")))
 
 
+TAXED = "CASE doc_id % 4 WHEN 0 THEN 'Income Tax and the IRS: ' WHEN 1 THEN 'deferred tax ' WHEN 2 THEN 'Not applicable. ' ELSE '' END || text"
+FILINGS = f"SELECT doc_id AS filename, text AS section_7A, {TAXED} AS section_8 FROM documents"
+TAX_TERMS = "list_filter(" + sql_list(L.TAX_WORDS) + ", lambda w: contains(lower(t), w))"
+
+
+@query(
+    f"SELECT filename, section, length(t) AS chars, CASE WHEN len(x) >= 2 THEN 'financial.tax' WHEN section = 'section_8' THEN 'financial.bank_statement' ELSE 'financial.investment' END AS subcategory, CASE WHEN len(x) >= 2 OR section = 'section_8' THEN 'high' ELSE 'medium' END AS severity, array_to_string(x, ',') AS terms "
+    f"FROM (SELECT filename, section, t, {TAX_TERMS} AS x FROM (SELECT filename, section, substring(text, 1, 4000) AS t FROM (SELECT filename, 'section_7A' AS section, section_7A AS text FROM ({FILINGS}) UNION ALL SELECT filename, 'section_8', section_8 FROM ({FILINGS})) WHERE length(text) >= 100 AND NOT contains(lower(substring(text, 1, 100)), 'not applicable') AND NOT contains(lower(substring(text, 1, 100)), 'omitted')))"
+)
+def filing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filings = documents(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("filename"), F.col("text").alias("section_7A"), F.expr(TAXED).alias("section_8"))
+    return L.filing_findings(filings).select("filename", "section", F.length("text").alias("chars"), "subcategory", "severity", F.array_join("tax_terms", ",").alias("terms"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE {sql_hits('text', L.DEFENCE_TITLES)} > 0 AND length(text) >= 200")
+def titled_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.long_enough(L.titled(documents(spark, sf_dir, "doc_id", "text"), title="text"), "transcriptions").select("doc_id")
+
+
 @query(f"SELECT doc_id, concat_ws(',', CASE WHEN f <> '' THEN f END, CASE WHEN m >= 2 OR (f = '' AND p > 0) THEN 'confidential.military' END) AS labels FROM (SELECT doc_id, concat_ws(',', {FIRST}) AS f, {sql_hits('t', D.MILITARY_WORDS)} AS m, {sql_hits('t', D.MILITARY_FALLBACK)} AS p FROM (SELECT doc_id, {REPORT} AS t FROM documents))")
 def policy_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.array_join(D.policy_labels(F.expr(REPORT)), ",").alias("labels"))

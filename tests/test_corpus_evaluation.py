@@ -70,6 +70,28 @@ def test_labels(spark):
     assert one("Suspended! http://x http://y", L.phishing_label(F.col("t"), F.lit(True)))[:] == ("malicious.phishing", "critical", "suspended", 2)
 
 
+def test_filings_with_tax_terms(spark):
+    long = "z" * 100
+    filings = spark.createDataFrame([("a", "Income TAX and tax rate " + long, "tax law " + long, 1), ("b", "Omitted " + long, None, 2), ("c", "", "y" * 4000 + "irs, tax credit", 3), ("c", None, "y" * 99, 4)], "filename string, section_1A string, section_11 string, text int")
+    got = sorted((r["filename"], r["section"], len(r["text"]), r["subcategory"], r["severity"], r["tax_terms"]) for r in L.filing_findings(filings).collect())
+    assert got == [
+        ("a", "section_11", 108, "financial.bank_statement", "medium", ["tax law"]),
+        ("a", "section_1A", 124, "financial.tax", "high", ["income tax", "tax rate"]),
+        ("c", "section_11", 4000, "financial.bank_statement", "medium", []),
+    ]
+    assert L.filing_findings(filings.limit(0)).count() == 0
+
+
+def test_titles_and_least_lengths(spark):
+    rows = spark.createDataFrame([(3, "The NAVY today"), (1, "Farm bill"), (2, None), (4, "NATO"), (0, "Drone rules"), (4, "NATO")], "n int, title string")
+    assert sorted(r["n"] for r in L.titled(rows).collect()) == [0, 3, 4, 4]
+    assert [r["n"] for r in L.titled(rows, first=["n"], most=2).collect()] == [0, 3]
+    with pytest.raises(ValueError):
+        L.titled(rows, most=2)
+    texts = spark.createDataFrame([("x" * n,) for n in (9, 10, 29, 30, 200)] + [(None,)], "text string")
+    assert [L.long_enough(texts, feed).count() for feed in ("injections", "phishing", "transcriptions")] == [4, 2, 1]
+
+
 def test_feeds(spark):
     feed = spark.createDataFrame(
         [([(("CVE-1", [("fr", "non"), ("en", "text")], (None, [(("low", 1.0),)], [(("HIGH", 9.0),)]), [([("CWE-79",)],)]),)],)],
