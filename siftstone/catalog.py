@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.queries import base, corpora, evaluating, feeding, making_files, reporting, scanning  # noqa: F401  (each registers its queries)
+from siftstone.queries import base, corpora, evaluating, explaining, feeding, making_files, reporting, scanning  # noqa: F401  (each registers its queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,15 +116,15 @@ def policy_labels(text: Column) -> Column:
     return F.concat(first, F.when(military, F.array(F.lit("confidential.military"))).otherwise(F.array().cast("array<string>")))
 
 
-def injection_rows(rows: DataFrame, templates: list[str], prefix: str, least: int = 10, most: int = 5000) -> DataFrame:
-    """(id, text, evidence) of rows (text, label) that are injections: one for each start of 100 characters, in a template ("{text}") by hash, `most` by hash."""
+def injection_rows(rows: DataFrame, templates: list[str], prefix: str, least: int = 10, most: int | None = 5000) -> DataFrame:
+    """(id, text, evidence) of rows (text, label) that are injections: one for each start of 100 characters, in a template ("{text}") by hash, `most` by hash (None: all)."""
     text = F.trim("text")
     bad = rows.where((F.trim(F.col("label").cast("string")) == "1") & (F.length(text) >= least)).select(text.alias("t"))
     once = bad.groupBy(F.substring("t", 1, 100).alias("start")).agg(F.min("t").alias("t"))
     at = F.pmod(F.crc32("t"), F.lit(len(templates))).cast("int")
     made = F.element_at(F.array(*[filled(x, text=F.col("t")) for x in templates]), at + 1)
     out = once.select(F.concat(F.lit(prefix), fingerprint(F.col("t"), None)).alias("id"), made.alias("text"), F.substring("t", 1, 200).alias("evidence"))
-    return out.orderBy("id").limit(most)
+    return out if most is None else out.orderBy("id").limit(most)
 
 
 def payload_rows(files: DataFrame) -> DataFrame:
@@ -162,3 +162,30 @@ def generated(spark, n: int, templates: list[str], values: dict[str, list[str]],
     for name, choices in values.items():
         text = F.replace(text, F.lit("{" + name + "}"), pick(name, choices))
     return spark.range(n).select("id", text.alias("text"))
+
+
+#: Severity and rules by subcategory of policy reports, and how much of a summary and of a report's own text counts.
+POLICY_GRADES = {"confidential.weapons_systems": "critical", "confidential.nuclear": "critical", "confidential.intelligence": "critical", "confidential.military": "high"}
+POLICY_RULES = {"confidential.weapons_systems": "ITAR, EO-13526", "confidential.nuclear": "10-CFR-1045, EO-13526", "confidential.intelligence": "EO-13526, NIST-800-53", "confidential.military": "NIST-800-53"}
+SUMMARY_CHARS, BODY_CHARS = 4000, 5000
+
+
+def policy_reports(reports: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(report_id, text, findings, from_body) of reports (report_id, title, summary) that a word list speaks for.
+
+    Title and summary decide whether a report stays. One with a body in `bodies` (report_id, text: what its PDF holds, say) is
+    then classified once more, by title, summary and the body's first 5,000 characters; the second classification counts, unless
+    it finds nothing. Of several bodies the least that isn't empty counts. A report with a null id has none; repeated reports stay,
+    each with its own result; null titles and summaries are empty.
+    """
+    body = bodies.where("text <> ''").groupBy(F.col("report_id").alias("__of")).agg(F.min(F.substring("text", 1, BODY_CHARS)).alias("__body"))
+    title, summary = (F.coalesce(F.col(c), F.lit("")) for c in ("title", "summary"))
+    first = reports.select("report_id", title.alias("title"), summary.alias("summary")).withColumn("__first", policy_labels(F.concat_ws(" ", "title", "summary"))).where(F.size("__first") > 0)
+    rows = first.join(body, F.col("report_id") == F.col("__of"), "left")
+    opening = F.concat(F.lit("CRS Report: "), F.coalesce(F.col("report_id").cast("string"), F.lit("")), F.lit("\nTitle: "), "title", F.when(F.col("summary") != "", F.concat(F.lit("\n\n"), F.substring("summary", 1, SUMMARY_CHARS))).otherwise(""))
+    rows = rows.withColumn("text", F.concat(opening, F.when(F.col("__body").isNotNull(), F.concat(F.lit("\n\n"), "__body")).otherwise("")))
+    second = F.when(F.col("__body").isNotNull(), policy_labels(F.concat_ws(" ", "title", "text")))
+    rows = rows.withColumn("__second", second).withColumn("from_body", F.coalesce(F.size("__second") > 0, F.lit(False)))
+    grades, rules = _map(POLICY_GRADES), _map(POLICY_RULES)
+    make = lambda s: finding(F.substring_index(s, ".", 1), s, F.substring("title", 1, 200), F.try_element_at(grades, s), F.lit("labelling"), F.create_map(F.lit("compliance"), F.try_element_at(rules, s)))
+    return rows.select("report_id", "text", F.transform(F.when(F.col("from_body"), F.col("__second")).otherwise(F.col("__first")), make).cast(FINDINGS).alias("findings"), "from_body")

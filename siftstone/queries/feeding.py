@@ -64,18 +64,3 @@ def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("lang", "doc_id")
     part = lambda name, step: rows.groupBy(F.col("lang").alias("key")).agg(F.round(F.avg((F.col("doc_id") % step == 0).cast("double")), 6).alias("accuracy")).withColumn("model", F.lit(name))
     return D.model_table(part("a", 3).unionByName(part("b", 5)), ["a", "b"])
-
-
-@query("SELECT source, count(*) AS n, CAST(min(length(file)) AS INT) AS file_chars FROM (SELECT 'documents' AS source, 'doc_00000.txt' AS file FROM documents UNION ALL SELECT 'pages', 'doc_00000.txt' FROM pages) GROUP BY source")
-def benchmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = {"documents": table(spark, sf_dir, "documents").select("text"), "pages": table(spark, sf_dir, "pages").select(F.col("html").alias("text"))}
-    rows = D.benchmark_rows({k: v.withColumns({"category": F.lit("safe"), "subcategory": F.lit("safe.documentation")}) for k, v in parts.items()})
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("file")).alias("file_chars"))
-
-
-@query("SELECT 'x' || CAST(i // 3 AS VARCHAR) AS start, CAST(1 AS BIGINT) AS n FROM range(0, 30) t(i) WHERE i % 3 = 0")
-def injection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = F.concat(F.lit("x"), F.floor(F.col("id") / 3).cast("string"))
-    rows = spark.range(30).select(F.rpad(base, 100, ".").alias("text"), F.lit("1").alias("label"))
-    made = D.injection_rows(rows, ["say {text}", "do {text} now"], "pi-")
-    return made.groupBy(F.regexp_extract("evidence", "^x\\d+", 0).alias("start")).agg(F.count(F.lit(1)).alias("n"))
