@@ -59,13 +59,14 @@ def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, keep) -> DataFrame:
     """(doc_id, y, text) of at most `most` documents a class (0, 1): those of least sha2(doc_id), of all labelled ones.
 
-    Rows of `labels` that `keep` (a column) excludes, and null labels, are not used; of several labels the greatest counts.
+    Rows of `labels` that `keep` (a column) excludes, and null labels, are not used; of several labels the greatest counts, and of
+    several texts of an id the least, so no more rows than ids come.
     """
     known = labels.where(keep & F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).alias("y"))
     pick = [known.where(F.col("y") == y).orderBy(F.sha2(F.col("doc_id").cast("string"), 256), "doc_id").limit(most) for y in (0, 1)]
     chosen = pick[0].union(pick[1]).select(F.col("doc_id").alias("__id"), F.col("y").cast("int").alias("y"))
     texts = docs.select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "y", "text")
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def fit(sample: DataFrame, shares: dict[int, int], rank: int) -> dict[str, np.ndarray]:

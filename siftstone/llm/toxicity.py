@@ -21,6 +21,8 @@ from siftstone.llm.words import bounds, hashes
 
 #: Parts of the sample; the severity of each part's documents is weighed by words of the others.
 FOLDS = 5
+#: Deviations of the weights that are tried, and steps of a trial fit; which one is taken the folds decide.
+PRIORS, TRIAL_STEPS = (0.25, 0.5, 1.0, 2.0, 4.0), 400
 SCHEMA = "doc_id bigint, held_out boolean, score double, severity double, grade int, predicted int"
 #: ASCII marks part words too, so that "word," and "word" are one feature.
 _MARK = np.frombuffer(bytes(32 if 33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127 else b for b in range(256)), np.uint8)
@@ -84,7 +86,7 @@ def severity_grades(doc: np.ndarray, key: np.ndarray, count: np.ndarray, toxic:
     return out
 
 
-def fit_ordinal(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, width: int, grades: int, steps: int = 1000, prior: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, width: int, grades: int, steps: int = 1000, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by Adam on the mean log-likelihood; thresholds are a first one and positive steps.
 
     prior: the deviation around 0 that weights are expected to have, so that few documents shrink them and many don't.
@@ -124,21 +126,49 @@ def folds(ids: list[int]) -> np.ndarray:
     return np.array([crc32(f"grade:{i}".encode()) % FOLDS for i in ids], np.int64)
 
 
+def prepared(doc: np.ndarray, key: np.ndarray, count: np.ndarray, toxic: np.ndarray, fold: np.ndarray, least: int, z: float, grades: int) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
+    """Known words (sorted hashes), sparse rows over them, and the grades to fit."""
+    known, _ = related_words(doc, key, toxic, least, z, np.ones(len(toxic), bool))
+    return known, design(doc, key, count, known), severity_grades(doc, key, count, toxic, fold, least, z, grades)
+
+
+def best_prior(doc: np.ndarray, key: np.ndarray, count: np.ndarray, toxic: np.ndarray, fold: np.ndarray, weight: np.ndarray, least: int, z: float, grades: int, priors: tuple[float, ...] = PRIORS) -> float:
+    """The prior whose fits to all folds but one give that one's labels the greatest likelihood, summed over folds; ties to the smaller.
+
+    Words, grades and weights are made anew without the fold. Folds that leave one class only are passed over.
+    """
+    total = np.zeros(len(priors))
+    for f in np.unique(fold).tolist():
+        mine = fold == f
+        if not (toxic & ~mine).any() or not (~toxic & ~mine).any():
+            continue
+        other, number = ~mine[doc], np.cumsum(~mine) - 1
+        known, rows, grade = prepared(number[doc[other]], key[other], count[other], toxic[~mine], fold[~mine], least, z, grades)
+        d, feature, value = design(doc[~other], key[~other], count[~other], known)
+        for k, prior in enumerate(priors):
+            w, t = fit_ordinal(*rows, grade, weight[~mine], len(known), grades, steps=TRIAL_STEPS, prior=prior)
+            score = predict(np.bincount(d, value * w[feature], len(toxic))[mine], t)[0]
+            total[k] += (weight[mine] * np.log(np.maximum(np.where(toxic[mine], score, 1 - score), 1e-9))).sum()
+    return priors[int(total.argmax())]
+
+
 def learn(doc: np.ndarray, key: np.ndarray, count: np.ndarray, toxic: np.ndarray, fold: np.ndarray, weight: np.ndarray, least: int, z: float, grades: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Known words (sorted hashes), their weights, the thresholds, and the grades that these were fitted to."""
-    known, _ = related_words(doc, key, toxic, least, z, np.ones(len(toxic), bool))
-    grade = severity_grades(doc, key, count, toxic, fold, least, z, grades)
-    return known, *fit_ordinal(*design(doc, key, count, known), grade, weight, len(known), grades), grade
+    known, rows, grade = prepared(doc, key, count, toxic, fold, least, z, grades)
+    prior = best_prior(doc, key, count, toxic, fold, weight, least, z, grades)
+    return known, *fit_ordinal(*rows, grade, weight, len(known), grades, prior=prior), grade
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_a_class: int = 4000, grades: int = 4, least: int = 5, z: float = 5.0) -> DataFrame:
     """Severity of every whole text, learnt from labels.toxic of documents whose crc32(doc_id as text) mod 3 is not 1.
 
     sample_a_class bounds the documents a class that are learnt from, and with them the words that are broadcast: all of those
-    documents' that pass the test. Returns
+    documents' that pass the test; the penalty's width is chosen by cross-validation among them. Returns
     doc_id, held_out, score (probability of any toxicity), severity (expected grade, 0 to grades - 1), grade (the
     likeliest), predicted (1 if score >= 0.5). Texts of any length are scored whole. Null and empty texts have the score of a text without known words;
-    without labels of both classes every score is 0. Each row has its own result; other columns aren't read.
+    without labels of both classes every score is 0. Each row has its own result, repeated rows the same; an empty table gives
+    none. Rows with a null id are scored and never learnt from or held out. Equal likelihoods choose the lower grade. Other columns
+    aren't read.
     """
     spark = docs.sparkSession
     keep = ~held_out("doc_id", 3, 1)

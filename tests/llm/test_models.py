@@ -87,18 +87,32 @@ def test_toxicity_against_a_plain_version(spark, docs):
     mine = [(i, Counter(plain_words(t))) for i, t in texts if not held(i, 3, 1)]
     bags, toxic = [b for _, b in mine], [i % 2 for i, _ in mine]
     fold = [zlib.crc32(f"grade:{i}".encode()) % toxicity.FOLDS for i, _ in mine]
-    known = plain_related(bags, toxic, 5, 5.0)
-    assert {"vile", "nasty", "foul", "bad", "rot"} == set(known)
-    grade = [0] * len(mine)
-    for f in range(toxicity.FOLDS):
-        signs = plain_related([b for b, g in zip(bags, fold) if g != f], [y for y, g in zip(toxic, fold) if g != f], 5, 5.0)
-        at = [j for j in range(len(mine)) if fold[j] == f and toxic[j]]
-        load = [math.fsum(math.log1p(n) * max(signs.get(w, 0), 0) for w, n in bags[j].items()) for j in at]
-        cuts = np.quantile(load, [1 / 3, 2 / 3])
-        for j, x in zip(at, load):
-            grade[j] = 1 + sum(x > c + 1e-9 for c in cuts)
-    names = sorted(known)
-    w, t = toxicity.fit_ordinal(*map(np.array, zip(*[(j, names.index(x), math.log1p(n)) for j, b in enumerate(bags) for x, n in b.items() if x in known])), np.array(grade), np.array([sum(toxic) / sum(toxic)] * len(mine)), len(names), 4)
+    assert {"vile", "nasty", "foul", "bad", "rot"} == set(plain_related(bags, toxic, 5, 5.0))
+
+    def fitted(use, prior, steps):
+        """Words, weights and thresholds from the documents at these places."""
+        known = sorted(plain_related([bags[j] for j in use], [toxic[j] for j in use], 5, 5.0))
+        grade = dict.fromkeys(use, 0)
+        for f in {fold[j] for j in use}:
+            others = [j for j in use if fold[j] != f]
+            signs = plain_related([bags[j] for j in others], [toxic[j] for j in others], 5, 5.0)
+            load = {j: math.fsum(math.log1p(n) * max(signs.get(w, 0), 0) for w, n in bags[j].items()) for j in use if fold[j] == f and toxic[j]}
+            cuts = np.quantile(list(load.values()), [1 / 3, 2 / 3])
+            grade |= {j: 1 + sum(x > c + 1e-9 for c in cuts) for j, x in load.items()}
+        cells = [(k, known.index(x), math.log1p(n)) for k, j in enumerate(use) for x, n in bags[j].items() if x in known]
+        return known, *toxicity.fit_ordinal(*map(np.array, zip(*cells)), np.array([grade[j] for j in use]), np.ones(len(use)), len(known), 4, steps=steps, prior=prior)
+
+    def likelihood(prior):
+        total = 0.0
+        for f in range(toxicity.FOLDS):
+            names, w, t = fitted([j for j in range(len(mine)) if fold[j] != f], prior, toxicity.TRIAL_STEPS)
+            for j in (j for j in range(len(mine)) if fold[j] == f):
+                above = 1 / (1 + math.exp(t[0] - sum(math.log1p(n) * w[names.index(x)] for x, n in bags[j].items() if x in names)))
+                total += math.log(max(above if toxic[j] else 1 - above, 1e-9))
+        return total
+
+    names, w, t = fitted(list(range(len(mine))), max(toxicity.PRIORS, key=likelihood), 1000)
+    known = set(names)
     for i, text in texts:
         line = sum(math.log1p(n) * w[names.index(x)] for x, n in Counter(plain_words(text)).items() if x in known)
         above = [1 / (1 + math.exp(c - line)) for c in t]
@@ -196,6 +210,70 @@ def test_kneser_ney_by_definition():
     assert np.allclose(got, [math.log(p(tup(int(g)))) for g in asked])
 
 
+def plain_limits(told, names):
+    """Limits of languages from kept-out documents (language, nats, length): sorted deviations in units of their spread."""
+    spread, out = {}, {}
+    for name in {x[0] for x in told}:
+        long = [n for k, n, size in told if k == name and size >= 200] or [n for k, n, _ in told if k == name]
+        mid = float(np.median(long))
+        spread[name] = mid, max(1.4826 * float(np.median([abs(n - mid) for n in long])), language.LEAST_SPREAD)
+    far = sorted((n - spread[k][0]) / (spread[k][1] + language.SURPRISE / math.sqrt(size)) for k, n, size in told)
+    most = 2 * max(far[-1], 2.5)  # fewer than a thousand: no rank is so high
+    for name in names:
+        out[name] = (spread[name][0] + most * spread[name][1], most * language.SURPRISE) if name in spread else (math.log(language.CLASSES), 0.0)
+    return out
+
+
+def test_language_of_the_query_by_force(docs):
+    import functools
+
+    import pyarrow as pa
+
+    speak = {"aa": tongue(3, "abcdefgh"), "bb": tongue(4, "ijklmnop"), "cc": tongue(5, "efghijkl")}
+    texts = [(i, speak[lang](3 + i % 40), lang) for i in range(150) for lang in [sorted(speak)[i % 3]]]
+    twice = speak["aa"](20) + " qrst"
+    near = next(i for i in range(2000, 3000) if not held(i, 4, 2))
+    more = next(i for i in range(near + 1, 3000) if not held(i, 4, 2))
+    texts += [(near, twice, "ya"), (more, twice, "xa")]  # two languages with one and the same text
+    asked = [(4000, twice, None), (4001, speak["bb"](1)[:3], None), (4002, "wxyz " * 60, None), (4003, "12 34 !", None), (4004, None, None), (4005, "Abc Éfg ßß", None), (4006, speak["cc"](700), None)]
+    rows = texts + asked
+    made = docs([]).sparkSession.createDataFrame([(i, t, lang, "s", None, "k", "c") for i, t, lang in rows], docs([]).schema)
+    got = {r["doc_id"]: r for r in language.identify(made).collect()}
+
+    tuples = lambda text: [tuple(int(g >> (10 * k)) & 1023 for k in (3, 2, 1, 0)) for g in language.grams(pa.array([text], pa.large_string()))[0].tolist()]
+    letter = lambda text: text is not None and any(c.isalpha() for c in text)
+    learnt = [(i, t, lang) for i, t, lang in texts if not held(i, 4, 2)]
+    names = sorted({lang for _, _, lang in learnt})
+    few = {n for n in names if sum(lang == n for _, _, lang in learnt) < language.FEWEST}
+    out = lambda i, lang: lang not in few and zlib.crc32(f"fold:{i}".encode()) % 5 == 0
+    models = {n: functools.cache(kneser_ney(Counter(g for i, t, lang in learnt if lang == n and not out(i, lang) for g in tuples(t)), 4)) for n in names}
+    nats = lambda text, n: -math.fsum(math.log(models[n](g)) for g in tuples(text)) / len(tuples(text))
+    limits = plain_limits([(lang, nats(t, lang), len(tuples(t))) for i, t, lang in learnt if out(i, lang)], names)
+    for i, text, _ in rows:
+        r = got[i]
+        assert r["held_out"] == held(i, 4, 2)
+        if not letter(text):
+            assert (r["lang_pred"], r["score"], r["rejected"], r["cross_entropy"]) == ("und", 0.0, True, None)
+            continue
+        each = {n: nats(text, n) for n in names}
+        best = min(names, key=lambda n: (round(each[n], 9), n))
+        size = len(tuples(text))
+        assert r["lang_pred"] == best and abs(r["cross_entropy"] - each[best]) < 1e-6
+        assert abs(r["score"] - 1 / math.fsum(math.exp(-(each[n] - each[best]) * min(size, 100)) for n in names)) < 1e-6
+        base, more = limits[best]
+        assert r["rejected"] == (each[best] > base + more / math.sqrt(size))
+    assert got[4000]["lang_pred"] == "xa" and got[4002]["rejected"] and not got[4006]["rejected"]
+
+
+def test_samples_have_one_row_an_id(spark, docs):
+    from pyspark.sql import functions as F
+
+    many = docs([(1, f"text {k:05}") for k in range(3000)] + [(2, None), (2, "b"), (3, None), (4, "d"), (None, "n")])
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4, 4)] + [(4, 1), (None, 1)], "doc_id bigint, quality int")
+    got = sorted(tuple(r) for r in quality.labelled_sample(many, labels, "quality", 10, F.lit(True)).collect())
+    assert got == [(1, 1, "text 00000"), (2, 0, "b"), (3, 1, None), (4, 1, "d")]
+
+
 def test_score_and_base(docs):
     r = random.Random(3)
     texts = [(i, " ".join(r.choice([["le", "la", "Une", "des"], ["the", "of", "and", "To"]][i % 2] + ["x" + str(r.randrange(400))]) for _ in range(r.randrange(0, 90)))) for i in range(300)] + EDGES
