@@ -57,7 +57,11 @@ CONTEXTS = [
 
 
 def document_context(text: Column) -> Column:
-    line = first_line(text)
+    return context_of(first_line(text))
+
+
+def context_of(line: Column) -> Column:
+    """Kind of the document with this first line; empty if it doesn't tell."""
     low = F.lower(line)
     kind = F.lit("")
     for name, words in reversed(CONTEXTS):
@@ -77,7 +81,15 @@ def context_explanation(subcategory: Column, text: Column) -> Column:
 
 def redacted(text: Column, label: str, pattern: str) -> Column:
     """First match with most of it hidden, by kind of value; null without one."""
-    value = F.trim(F.regexp_extract(text, f"(?i){pattern}", 0))
+    return hidden(first_match(text, pattern), label)
+
+
+def first_match(text: Column, pattern: str) -> Column:
+    return F.trim(F.regexp_extract(text, f"(?i){pattern}", 0))
+
+
+def hidden(value: Column, label: str) -> Column:
+    """A value with most of it hidden, by its kind; null for an empty one."""
     if label == "ssn":
         short, hidden = F.length(value) >= 7, F.concat(F.substring(value, 1, 3), F.lit("-XX-"), F.substring(value, -4, 4))
     elif label in ("api_key", "token", "password"):
