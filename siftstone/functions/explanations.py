@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftstone.functions.text import context_of, first_line, first_match, hidden
+from siftstone.functions.text import context_of, first_line, first_match, hidden, once
 
 # What is looked for in a text, first match, in any case.
 VALUES = {
@@ -106,11 +106,6 @@ def _table(sentences: dict[str, tuple[str, list[str], str]]) -> Column:
     return F.create_map(*[y for s, x in sentences.items() for y in (F.lit(s), _sentence(x))])
 
 
-def _once(value: Column, f) -> Column:
-    """f of a value that is worked out once, however often f names it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def _hiding(label: str):
     return lambda value: hidden(value, label)
 
@@ -127,18 +122,18 @@ def explanation(subcategory: Column, text: Column, evidence: Column | None = Non
 
     def told(x: Column, line: Column) -> Column:
         shown_line = F.when(F.trim(line) != "", line)
-        found = {k: _once(first_match(text, p), _hiding(k)) for k, p in VALUES.items()}
+        found = {k: once(first_match(text, p), _hiding(k)) for k, p in VALUES.items()}
         found["marking"] = F.upper(found["marking"])
         found["first_line"] = shown_line
         found["payload"] = F.when(F.length(seen) > LEAST_PAYLOAD, F.replace(F.substring(seen, 1, PAYLOAD), F.lit("\n"), F.lit(" "))).otherwise(shown_line)
         wanted = lambda k: F.exists(x["details"], lambda d: d["value"] == k)
         values = F.create_map(*[y for k, v in found.items() for y in (F.lit(k), F.when(wanted(k), v))])
         # A detail without its value is null and drops out.
-        shown = _once(values, lambda v: F.concat_ws("; ", F.transform(x["details"], lambda d: F.concat(d["before"], F.try_element_at(v, d["value"])))))
-        head = _once(shown, lambda y: F.concat(F.replace(x["opening"], F.lit("{kind}"), kind), F.when(y != "", F.concat(F.lit(": "), y)).otherwise("")))
-        place = _once(F.coalesce(context_of(line), F.lit("")), lambda c: F.when(c != "", F.concat(F.lit("Found in "), c)))
+        shown = once(values, lambda v: F.concat_ws("; ", F.transform(x["details"], lambda d: F.concat(d["before"], F.try_element_at(v, d["value"])))))
+        head = once(shown, lambda y: F.concat(F.replace(x["opening"], F.lit("{kind}"), kind), F.when(y != "", F.concat(F.lit(": "), y)).otherwise("")))
+        place = once(F.coalesce(context_of(line), F.lit("")), lambda c: F.when(c != "", F.concat(F.lit("Found in "), c)))
         return F.concat(F.concat_ws(". ", head, place, x["advice"]), F.lit("."))
 
     category = F.substring_index(subcategory, ".", 1)
     chosen = F.coalesce(F.try_element_at(_table(SENTENCES), subcategory), F.try_element_at(_table(OTHERS), category), _sentence(("Content of the kind {kind}", [], "Look at it")))
-    return F.when(subcategory.isNotNull(), _once(chosen, lambda x: _once(first_line(text), lambda line: told(x, line))))
+    return F.when(subcategory.isNotNull(), once(chosen, lambda x: once(first_line(text), lambda line: told(x, line))))

@@ -10,6 +10,11 @@ CHUNK, OVERLAP, CHUNKS = 5000, 500, 10
 WINDOW_LINES, LEAST_LINES = 25, 5
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP, most: int = CHUNKS) -> Column:
     """Pieces of `size` characters, each `overlap` into the one before; the last ends with the text or is the `most`-th."""
     step = size - overlap if size > overlap else size
@@ -39,10 +44,9 @@ def strip_tags(markup: Column, collapse: bool = False) -> Column:
 
 def first_line(text: Column, most: int = 120) -> Column:
     """First line of over five characters that doesn't look like a rule, heading or comment; else the text's start."""
-    body = F.regexp_replace(text, "^\\s+|\\s+$", "")
-    lines = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
-    good = F.filter(lines, lambda x: (F.length(x) > 5) & ~F.substring(x, 1, 1).isin("=", "-", "#", "*", "/"))
-    return F.substring(F.coalesce(F.get(good, F.lit(0)), body), 1, most)
+    # The search ends with the line; the whole text is only trimmed where it has none. A run of spaces is tried once, from its start.
+    good = once(F.regexp_extract(text, r"(?:\A|\n)[^\S\n]*+([^\s=\-#*/][^\n]{4,}\S)", 1), lambda x: F.when(x != "", x))
+    return F.substring(F.coalesce(good, F.regexp_replace(text, r"^\s+|(?<!\s)\s+$", "")), 1, most)
 
 
 # Words in the first line that tell the kind of a document, in order of precedence.
@@ -57,26 +61,29 @@ CONTEXTS = [
 
 
 def document_context(text: Column) -> Column:
-    return context_of(first_line(text))
+    return once(first_line(text), context_of)
 
 
 def context_of(line: Column) -> Column:
     """Kind of the document with this first line; empty if it doesn't tell."""
-    low = F.lower(line)
-    kind = F.lit("")
-    for name, words in reversed(CONTEXTS):
-        has = low.contains(words[0])
-        for w in words[1:]:
-            has = has | low.contains(w)
-        kind = F.when(has, F.lit(name)).otherwise(kind)
-    return F.when(F.length(line) < 10, F.lit("")).otherwise(kind)
+
+    def kind(low: Column) -> Column:
+        kind = F.lit("")
+        for name, words in reversed(CONTEXTS):
+            has = low.contains(words[0])
+            for w in words[1:]:
+                has = has | low.contains(w)
+            kind = F.when(has, F.lit(name)).otherwise(kind)
+        return kind
+
+    return F.when(F.length(line) < 10, F.lit("")).otherwise(once(F.lower(line), kind))
 
 
 def context_explanation(subcategory: Column, text: Column) -> Column:
     """What was found and in what kind of document."""
     name = F.when(subcategory.contains("."), F.replace(F.substring_index(subcategory, ".", -1), F.lit("_"), F.lit(" "))).otherwise(subcategory)
-    context = document_context(text)
-    return F.concat(F.lit("Found "), name, F.lit(" content"), F.when(context == "", F.lit("")).otherwise(F.concat(F.lit(" in "), context)))
+    place = once(document_context(text), lambda context: F.when(context == "", F.lit("")).otherwise(F.concat(F.lit(" in "), context)))
+    return F.concat(F.lit("Found "), name, F.lit(" content"), place)
 
 
 def redacted(text: Column, label: str, pattern: str) -> Column:

@@ -59,3 +59,11 @@ def test_windows(spark):
     text = "\n".join(map(str, range(53)))
     got = one(spark, text, T.line_windows(F.col("t")))[0]
     assert [len(w) for w in got] == [25, 25] and got[1][0] == "25"
+
+
+def test_context_looks_for_the_first_line_once(spark):
+    docs = spark.createDataFrame([("# x\n" + "line\n" * 9 + "The meeting of today",), (" " * 100_000 + "x" + " " * 100_000 + "\ny",)], "t string")
+    rows = docs.select(T.document_context(F.col("t")).alias("context"), T.first_line(F.col("t")).alias("line"))
+    plan = docs.select(T.document_context(F.col("t")).alias("context"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and plan.count("regexp_replace") == 1
+    assert rows.collect()[0][:] == ("meeting notes", "The meeting of today") and rows.collect()[1]["line"].rstrip() == "x"
