@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import email
-import email.policy
 import io
 import re
 import zipfile
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftstone.sources.headers import POLICY
+
 _TAG, _SPACE = re.compile(r"<[^>]*>"), re.compile(r"\s+")
 
 
@@ -63,12 +64,12 @@ def office_text(ext: str, content: bytes | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def office(ext: pd.Series, content: pd.Series) -> pd.Series:
-    return pd.Series([office_text(e, c) for e, c in zip(ext, content)], dtype=object)
+    return pd.Series([None if c is None else office_text(e, c) for e, c in zip(ext, content)], dtype=object)
 
 
 def mail_parts(content: bytes | None) -> list[tuple[int, str, str, str, bytes]]:
     """(part_no, name, content_type, text, bytes): part 0 is headers and body, the others attachments."""
-    message = email.message_from_bytes(content or b"", policy=email.policy.default)
+    message = email.message_from_bytes(content or b"", policy=POLICY)
     body = message.get_body(("plain", "html"))
     try:
         text = "" if body is None else body.get_content()
@@ -100,7 +101,7 @@ def mailbox_messages(content: bytes | None) -> list[bytes]:
 @F.pandas_udf(T.StringType())
 def mail_text(content: pd.Series) -> pd.Series:
     """Headers and bodies of all messages of a mail file, blank lines between them; null if it holds none."""
-    return content.map(lambda c: "\n\n".join(mail_parts(m)[0][3] for m in mailbox_messages(c)).strip() or None)
+    return content.map(lambda c: "\n\n".join(mail_parts(m)[0][3] for m in mailbox_messages(c)).strip() or None, na_action="ignore")
 
 
 def mail(files: DataFrame) -> DataFrame:
@@ -154,4 +155,4 @@ def pdf_text(content: bytes | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def pdf(content: pd.Series) -> pd.Series:
-    return content.map(pdf_text)
+    return content.map(pdf_text, na_action="ignore")

@@ -10,7 +10,6 @@ last message take part in that.
 from __future__ import annotations
 
 import email
-import email.policy
 import re
 from collections.abc import Iterator
 from email.message import EmailMessage
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from siftstone.functions.text import extension
+from siftstone.sources.headers import POLICY
 
 DELIMITER = "\nFrom "
 #: What follows "From " on a separator line.
@@ -140,7 +140,7 @@ def nested_parts(content: bytes | None) -> list[tuple]:
             else:
                 attachment(part, no, depth, heads)
 
-    message(email.message_from_bytes(content or b"", policy=email.policy.default), None, 0, "")
+    message(email.message_from_bytes(content or b"", policy=POLICY), None, 0, "")
     return out
 
 
