@@ -141,12 +141,15 @@ def header_value(message: Column, name: str) -> Column:
 
 def keyword_hits(text: Column, words: list[str]) -> Column:
     """Those of the (lower-case) words that the text holds, in their order, upper case or not."""
-    low = F.lower(text)
-    return F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w))
+    return once(F.lower(text), lambda low: F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w)))
 
 
 def count_hits(text: Column, words: list[str]) -> Column:
-    low = F.lower(text)
+    return once(F.lower(text), lambda low: count_in(low, words))
+
+
+def count_in(low: Column, words: list[str]) -> Column:
+    """How many of the words a text in lower case holds."""
     total = F.lit(0)
     for w in words:
         total = total + low.contains(w).cast("int")

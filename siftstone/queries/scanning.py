@@ -172,7 +172,8 @@ def keyword_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, n, subcategory, severity FROM (SELECT doc_id, unnest([" + ", ".join(f"{{'n': {sql_hits('t', words)}, 'k': {k}, 'subcategory': {quoted(sub)}, 'severity': {quoted(sev)}}}" for k, (sub, sev, words) in enumerate(L.ATTACK_RULES)) + f"], recursive := true) FROM (SELECT doc_id, {WORDY} AS t FROM documents)) WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) = 1")
 def argmax_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", L.attack_label(F.expr(WORDY)).alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
+    # Through an outer generator, as Spark would work out a column that is filtered on twice.
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.inline_outer(F.array(L.attack_label(F.expr(WORDY))))).where("n IS NOT NULL")
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'malicious.phishing' ELSE 'safe.documentation' END AS subcategory, CASE WHEN doc_id % 2 = 1 THEN 'info' WHEN {sql_hits('t', L.PHISHING_CRITICAL)} > 0 THEN 'critical' ELSE 'high' END AS severity, CASE WHEN doc_id % 2 = 1 THEN 0 ELSE len(regexp_extract_all(t, {quoted(L.URL)}, 0)) END AS urls, CASE WHEN doc_id % 2 = 1 THEN '' ELSE array_to_string((CASE WHEN {sql_hits('t', L.PHISHING_CRITICAL)} > 0 THEN list_filter({sql_list(L.PHISHING_CRITICAL)}, lambda w: contains(lower(t), w)) ELSE list_filter({sql_list(L.PHISHING_HIGH)}, lambda w: contains(lower(t), w)) END)[1:3], ', ') END AS indicators FROM (SELECT doc_id, {WORDY} AS t FROM documents)")

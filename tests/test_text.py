@@ -3,6 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
+from siftstone.operators import labelling as L
 
 
 def one(spark, text, *columns):
@@ -67,3 +68,13 @@ def test_context_looks_for_the_first_line_once(spark):
     plan = docs.select(T.document_context(F.col("t")).alias("context"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 1 and plan.count("regexp_replace") == 1
     assert rows.collect()[0][:] == ("meeting notes", "The meeting of today") and rows.collect()[1]["line"].rstrip() == "x"
+
+
+def test_words_are_looked_for_in_one_lower_case_text(spark):
+    docs = spark.createDataFrame([(1, "Phishing, SSRF and Phishing by VISHING"), (2, None), (3, "none of them")], "doc_id int, t string")
+    t = F.col("t")
+    for made in (T.count_hits(t, ["phishing", "ssrf", "x"]), T.keyword_hits(t, ["phishing", "ssrf", "x"]), L.attack_label(t)):
+        assert docs.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    got = docs.select(T.count_hits(t, ["phishing", "ssrf", "x"]), T.keyword_hits(t, ["phishing", "ssrf", "x"]), L.attack_label(t)).collect()
+    assert [r[:2] for r in got] == [(2, ["phishing", "ssrf"]), (0, []), (0, [])]
+    assert got[0][2][:] == (2, "malicious.phishing", "high") and got[1][2] is None and got[2][2] is None
