@@ -196,7 +196,7 @@ def send_spans(groups: int, homes: int, length: int, shift: int):
             return table([])
         docs = docs.filter(docs["row"].is_valid()).sort_by("row")
         texts, ids = text_array(docs["text"]), docs["row"].to_numpy()
-        asked = np.unique(mix(joined(hits["hashes"], np.uint64)) + joined(hits["docs"]).astype(np.uint64))
+        asked = np.sort(mix(joined(hits["hashes"], np.uint64)) + joined(hits["docs"]).astype(np.uint64))
         seen: dict[bytes, int] = {}
         sent, pieces, settled = [(EMPTY, np.zeros(0, np.uint64), EMPTY, EMPTY)], [], [(EMPTY, EMPTY, EMPTY)]
         for a, b in batches(texts, AT_ONCE):
@@ -204,7 +204,8 @@ def send_spans(groups: int, homes: int, length: int, shift: int):
             h, doc, start, strings = anchors(raw, off, length)
             h = h >> np.uint64(16)
             own = ids[a:b][doc]
-            hit = np.isin(mix(h) + own.astype(np.uint64), asked)
+            wanted = mix(h) + own.astype(np.uint64)
+            hit = asked[np.minimum(np.searchsorted(asked, wanted), len(asked) - 1)] == wanted
             h, own, start, size, begin = h[hit], own[hit], start[hit], strings[hit] + length - 1, (off[doc] + start)[hit]
             data, fresh = raw.tobytes(), np.ones(len(h), bool)
             for i, (x, y, d) in enumerate(zip(begin.tolist(), (begin + size).tolist(), own.tolist())):
@@ -230,53 +231,68 @@ def string_buckets(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarra
     bucket's first rank. A bucket that isn't resolved (several places, known to agree in `depth` bytes, fewer than `length`) is
     sorted by the pointers `depth` bytes on, and falls into buckets that agree in so many bytes more as the bucket
     pointed to does. New pointers stand at once: they serve the buckets' own next refinement, which follows directly,
-    and all later ones. Resolved buckets aren't sorted again.
+    and all later ones. Resolved buckets aren't sorted again. Spans are 8 bytes long or more.
     """
-    n = len(data)
-    end = np.repeat(np.cumsum(size), size)
-    left = (end - np.arange(n)).astype(np.int32)
-    short = np.minimum(left, 8).astype(np.int8)
-    wide = np.concatenate((data, np.zeros(8, np.uint8)))
-    gram = np.zeros(n, np.uint64)
-    for k in range(8):
-        gram = gram << np.uint64(8) | np.where(short > k, wide[k : k + n], 0).astype(np.uint64)
+    n = len(data) + len(size)
+    # A place of its own for each span's end, after its bytes: what is looked up there differs from all else.
+    stop = np.cumsum(size + 1) - 1
+    body = np.ones(n, bool)
+    body[stop] = False
+    wide = np.zeros(n + 8, np.uint8)
+    wide[:n][body] = data
+    gram = np.ndarray(n, ">u8", wide, strides=(1,)).astype(np.uint64)
+    short = np.full(n, 8, np.int8)
     # A shorter rest has its length in the last byte, which is free there; only where texts have such bytes is it a key of its own.
-    if ((short == 8) & ((gram & np.uint64(255)) - np.uint64(1) < np.uint64(7))).any():
-        order = np.lexsort((short, gram)).astype(np.int32)
-    else:
-        order = np.argsort(gram | np.where(short < 8, short, 0).astype(np.uint64)).astype(np.int32)
+    for k in range(8):
+        short[stop - k] = k
+        gram[stop - k] = gram[stop - k] >> np.uint64(8 * (8 - k)) << np.uint64(8 * (8 - k)) | np.uint64(k) if k else 0
+    apart = bool((data < 8).any())
+    order = (np.lexsort((short, gram)) if apart else np.argsort(gram)).astype(np.int32)
+    ordered = gram[order]
     new = np.ones(n, bool)
-    new[1:] = (gram[order[1:]] != gram[order[:-1]]) | (short[order[1:]] != short[order[:-1]])
+    new[1:] = ordered[1:] != ordered[:-1]
+    if apart:
+        new[1:] |= short[order[1:]] != short[order[:-1]]
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, n))
     pointer, depth = np.empty(n, np.int32), np.full(n, length, np.int32)
-    pointer[order] = np.repeat(starts, sizes)
-    depth[starts] = np.where(short[order[starts]] == 8, 8, length)  # a shorter rest ends there
+    pointer[order] = np.repeat(starts.astype(np.int32), sizes)
+    depth[starts[short[order[starts]] == 8]] = 8  # a shorter rest ends there
     todo = (sizes > 1) & (depth[starts] < length)
     starts, sizes = starts[todo], sizes[todo]
     stretch = np.cumsum(sizes) // BUCKETS
     for at in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(stretch)) + 1) if len(starts) else ():
         begin, many = starts[at], sizes[at]
         while len(begin):
-            place = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-            bucket, here = np.repeat(begin, many), order[place]
-            known = depth[bucket]
-            ahead = pointer[np.minimum(here + known, n - 1)]
-            ahead[left[here] <= known] = -1
-            by = np.argsort(bucket << 32 | (ahead + 1))
-            here, ahead = here[by], ahead[by]
-            order[place] = here
-            first = np.ones(len(place), bool)
-            first[1:] = (bucket[1:] != bucket[:-1]) | (ahead[1:] != ahead[:-1])
-            cut = np.flatnonzero(first)
-            many, begin = np.diff(np.append(cut, len(place))), place[cut]
-            reach = np.where(ahead[cut] < 0, length, np.minimum(known[cut] + depth[ahead[cut]], length))
-            pointer[here] = np.repeat(begin, many)
+            first = np.cumsum(many) - many
+            place = np.repeat(begin - first, many) + np.arange(int(many.sum()))
+            known = depth[begin]
+            here = order[place]
+            ahead = pointer[here + np.repeat(known, many)]
+            # A bucket that points to one bucket only stays as it is, and agrees in more.
+            lead = ahead[first]
+            mixed = np.logical_or.reduceat(ahead != np.repeat(lead, many), first)
+            reach = np.minimum(known + depth[lead], length)
+            if mixed.any():
+                of = np.repeat(mixed, many)
+                place, here, ahead = place[of], here[of], ahead[of]
+                bucket, known = (np.repeat(x, many[mixed]) for x in (np.arange(np.count_nonzero(mixed)), known[mixed]))
+                by = np.argsort(bucket << 32 | ahead)
+                here, ahead = here[by], ahead[by]
+                order[place] = here
+                new = np.ones(len(place), bool)
+                new[1:] = (bucket[1:] != bucket[:-1]) | (ahead[1:] != ahead[:-1])
+                cut = np.flatnonzero(new)
+                parts = np.diff(np.append(cut, len(place)))
+                further = np.minimum(known[cut] + depth[ahead[cut]], length)
+                begin, many = np.append(begin[~mixed], place[cut]), np.append(many[~mixed], parts)
+                reach = np.append(reach[~mixed], further)
+                pointer[here] = np.repeat(place[cut], parts)
             depth[begin] = reach
             more = (many > 1) & (reach < length)
             begin, many = begin[more], many[more]
     # Ranks are by all that was compared, which may be more than `length` bytes: neighbours that agree in these are one class.
-    whole = order[left[order] >= length]
+    whole = order[(np.repeat(stop, size + 1) - np.arange(n) >= length)[order]]
     same = pointer[whole[1:]] == pointer[whole[:-1]]
     maybe = np.flatnonzero(~same)
     for k in [*range(0, length - 8, 8), length - 8]:
@@ -284,7 +300,7 @@ def string_buckets(data: np.ndarray, size: np.ndarray, length: int) -> np.ndarra
     same[maybe] = True
     out = np.zeros(n, np.int32)
     out[whole] = np.cumsum(np.concatenate((np.ones(min(len(whole), 1), bool), ~same)))
-    return out
+    return out[body]
 
 
 def stretches(anchor: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:

@@ -236,6 +236,35 @@ def test_bucket_refinement_is_equality(letters):
     assert all(len(x) == 1 for x in of.values()) and len({next(iter(x)) for x in of.values()}) == len(of)
 
 
+def test_buckets_that_point_to_one_bucket_are_not_sorted_again(monkeypatch):
+    r, sorted_places = random.Random(6), []
+    copies = ["".join(r.choice("abcdefgh ") for _ in range(90)).encode()] * 40
+    monkeypatch.setattr(suffix.np, "argsort", lambda x, *a, f=np.argsort, **b: (sorted_places.append(len(x)), f(x, *a, **b))[1])
+    bucket = suffix.string_buckets(np.frombuffer(b"".join(copies), np.uint8), np.array([len(s) for s in copies]), 50)
+    monkeypatch.undo()
+    assert len(np.unique(bucket)) == 42 and (bucket.reshape(40, 90) == bucket[:90]).all()
+    assert sum(sorted_places) <= 40 * 91
+
+
+@pytest.mark.parametrize("length", [20, 50])
+def test_bucket_refinement_of_mixed_buckets_in_stretches(monkeypatch, length):
+    """Buckets that split beside buckets that don't, in stretches of every size; bytes as low as the marks of shorter rests."""
+    r = random.Random(3)
+    for letters in ("ab", "\x00", "\x00\x01\x07", "abcdefgh"):
+        pool = ["".join(r.choice(letters) for _ in range(r.randrange(length, 150))).encode() for _ in range(6)]
+        spans = [(p := r.choice(pool))[r.randrange(0, len(p) - length + 1) :] for _ in range(30)]
+        for stretch in (4, 64, 1 << 16):
+            monkeypatch.setattr(suffix, "BUCKETS", stretch)
+            bucket = suffix.string_buckets(np.frombuffer(b"".join(spans), np.uint8), np.array([len(s) for s in spans]), length)
+            of, at = defaultdict(set), 0
+            for s in spans:
+                assert (bucket[at + len(s) - length + 1 : at + len(s)] == 0).all()
+                for p in range(len(s) - length + 1):
+                    of[int(bucket[at + p])].add(s[p : p + length])
+                at += len(s)
+            assert all(len(x) == 1 for x in of.values()) and len({next(iter(x)) for x in of.values()}) == len(of)
+
+
 @given(st.lists(st.integers(0, 1 << 62), max_size=30))
 def test_squeeze(values):
     x = np.array(values, np.int64)
