@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import batches, bundled, counted_join, free_name, give_back, mix, row_count, scratch, small_or_shuffled, stream, text_array, text_bytes, written
+from siftstone.llm.common import batches, bundled, counted_join, forget, free_name, give_back, mix, row_count, scratch, small_or_shuffled, stream, text_array, text_bytes, written
 from siftstone.llm.components import components, forest
 from siftstone.llm.words import shingle_sets
 
@@ -119,9 +119,9 @@ def tables_of(texts: DataFrame, side: int) -> DataFrame:
     return own.select("node", F.inline(pairs))
 
 
-def sets_of(docs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the texts in `texts` (node, doc, d1, d2): one of the rows with that doc_id and that digest."""
-    wanted = small_or_shuffled(texts.select("node", F.col("doc").alias("doc_id"), "d1", "d2"), row_count(texts))
+def sets_of(docs: DataFrame, texts: DataFrame, total: int, words: int) -> DataFrame:
+    """(node, to, shingles) of the texts in `texts` (node, doc, d1, d2, to: `total` entries in all): one of the rows with that doc_id and that digest."""
+    wanted = small_or_shuffled(texts.select("node", F.col("doc").alias("doc_id"), "d1", "d2", "to"), total)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id")
 
     def work(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +133,21 @@ def sets_of(docs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 sets = [sets[k] for k in hit.tolist()]
                 size = np.cumsum([0, *map(len, sets)])
                 flat = np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("node")[i:j].take(pa.array(hit)), pa.LargeListArray.from_arrays(pa.array(size, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j].take(pa.array(hit)) for c in ("node", "to")), pa.LargeListArray.from_arrays(pa.array(size, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))], names=["node", "to", "shingles"])
             give_back()
 
-    sets = written(own.mapInArrow(work, "node bigint, shingles array<bigint>"), "sets")
+    sets = written(own.mapInArrow(work, f"node bigint, to {texts.schema['to'].dataType.simpleString()}, shingles array<bigint>"), "sets")
     # More rows than texts only where rows repeat an id and its text.
     return sets if row_count(sets) <= row_count(texts) else written(sets.dropDuplicates(["node"]), "sets")
 
 
+def with_sets(rows: DataFrame, total: int, docs: DataFrame, near: DataFrame, words: int) -> DataFrame:
+    """`rows` (node, ...; `total` at most) with the shingles of their texts. A text is told first where its set goes, so sets move to their groups only."""
+    to = rows.groupBy("node").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "node"])).alias("to"))
+    texts = written(near.select("node", "doc", "d1", "d2").join(small_or_shuffled(to, total), "node"), "ends")
+    return sets_of(docs, texts, total, words).select("node", F.inline("to"), "shingles")
+
+
 def likely(pairs: DataFrame, hubs: DataFrame, near: DataFrame, percent: int, least: int) -> DataFrame:
     """(u, v, n, hub_n) of those stars (u, v) whose sizes and minhashes allow the similarity; n: shingles of v."""
     with_hub = counted_join(pairs, hubs, ["u"], row_count(pairs))
@@ -156,7 +163,7 @@ def likely(pairs: DataFrame, hubs: DataFrame, near: DataFrame, percent: int, lea
     return both.select("u", "v", "n", "low", "hub_low").mapInArrow(work, "u bigint, v bigint, n bigint")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, near: DataFrame, words: int, percent: int) -> DataFrame:
     """Those (u, v) of `pairs` (u, v, n) with 100 * intersection >= percent * union of full sets.
 
     A hub and a part of its neighbours are a group: a set of v moves once a pair, a hub's once a part.
@@ -165,8 +172,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     part = F.ceil(F.sum("n") / PART_SHINGLES)
     hubs = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("rows"), part.alias("parts"))
     dealt = counted_join(pairs, hubs, ["u"], row_count(pairs)).select("u", "v", F.pmod(F.xxhash64("v"), "parts").alias("part"))
-    others = dealt.join(sets, F.col("v") == F.col("node")).select("u", "part", "v", "shingles")
-    own = hubs.join(sets, F.col("u") == F.col("node")).select("u", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("v"), "shingles")
+    others = dealt.select(F.col("v").alias("node"), "u", "part", "v")
+    own = hubs.select(F.col("u").alias("node"), "u", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("v"))
+    # A hub has no more parts than neighbours.
+    rows = with_sets(others.unionByName(own), 2 * row_count(pairs), docs, near, words).select("u", "part", "v", "shingles")
 
     def work(group: pa.Table) -> pa.Table:
         v, hub = group["v"].to_pylist(), group["u"][0].as_py()
@@ -177,7 +186,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         linked = [x for x, s in zip(v, sets) if x is not None and 100 * (c := len(np.intersect1d(s, own, assume_unique=True))) >= percent * (len(s) + len(own) - c)]
         return pa.table({"u": pa.array([hub] * len(linked), pa.int64()), "v": pa.array(linked, pa.int64())})
 
-    return bundled(others.unionByName(own), ["u", "part"], total // PART_SHINGLES, work, "u bigint, v bigint")
+    return bundled(rows, ["u", "part"], total // PART_SHINGLES, work, "u bigint, v bigint")
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray], block: int = 4096) -> np.ndarray:
@@ -263,9 +272,9 @@ def near_in_tiles(dealt: DataFrame, near: DataFrame, side: int, percent: int, le
     return bundled(rows, TILE, row_count(dealt) // PART, work, schema)
 
 
-def links_in_tiles(chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_in_tiles(chosen: DataFrame, docs: DataFrame, near: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (u, v) between components: full sets are compared, tile by tile. A tile returns a spanning forest, at most a row a text."""
-    rows, total = chosen.join(sets, "node"), chosen.agg(F.sum("n").alias("n")).first()["n"]
+    rows, total = with_sets(chosen, row_count(chosen), docs, near, words), chosen.agg(F.sum("n").alias("n")).first()["n"]
 
     def work(tile: pa.Table) -> pa.Table:
         node, component = tile["node"].to_numpy(), tile["component"].to_numpy()
@@ -283,6 +292,14 @@ def links_in_tiles(chosen: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return bundled(rows, TILE, total // PART_SHINGLES, work, "u bigint, v bigint")
 
 
+def written_alone(make, name: str) -> DataFrame:
+    """`make()`, written; what was written on the way is deleted at once."""
+    with scratch() as made:
+        out = written(make(), name)
+        made[:] = [t for t in made if t is not out]
+    return out
+
+
 def classified(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, same, n_shingles, component_id) a row of `docs`; what `near_duplicates` states."""
     side = side_for(percent / 100)
@@ -292,24 +309,28 @@ def classified(docs: DataFrame, words: int, percent: int) -> DataFrame:
         same = ["n", "d1", "d2"]
         real = sigs.where("n > 0 AND doc_id IS NOT NULL")
         texts = written(real.groupBy(*same).agg(F.min("uid").alias("node"), F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows"), F.first("keys").alias("keys"), F.first("low").alias("low")), "texts")
-        tables = written(tables_of(texts, side), "tables")
+        wide = sigs, texts
+        sigs = written(sigs.select("doc_id", "same", *same), "rows")
+        forget(wide[0])
+        tables = written_alone(lambda: tables_of(texts, side), "tables")
         full = tables.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        members = written(counted_join(tables, full, ["key"], row_count(tables)), "members")
+        members = written_alone(lambda: counted_join(tables, full, ["key"], row_count(tables)), "members")
+        forget(tables)
         stars = written(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "stars")
         ids = stars.select(F.col("u").alias("node")).union(stars.select("v")).distinct()
         near = written(texts.drop("rows").join(small_or_shuffled(ids, 2 * row_count(stars)), "node", "left_semi"), "near")
+        texts = written(texts.drop("keys", "low"), "texts")
+        forget(wide[1])
         hubs = stars.groupBy("u").agg(F.count(F.lit(1)).alias("rows")).join(near.select(F.col("node").alias("u"), F.col("n").alias("hub_n"), F.col("low").alias("hub_low")), "u")
         pairs = written(likely(stars, hubs, near, percent, least), "pairs")
         # Full sets are made of texts in likely pairs, and later of texts in likely pairs of tiles.
-        ends = lambda t, most: written(near.join(small_or_shuffled(t.distinct(), most), "node", "left_semi").select("node", "doc", "d1", "d2"), "ends")
-        sets = sets_of(docs, ends(pairs.select(F.col("u").alias("node")).union(pairs.select("v")), 2 * row_count(pairs)), words)
-        links = written(verified(pairs, sets, percent), "links")
+        links = written_alone(lambda: verified(pairs, docs, near, words, percent), "links")
         classes = written(components(links), "classes")
         placed = members.select("table", "key", "node").join(small_or_shuffled(near.select("node", "n"), row_count(near)), "node").join(small_or_shuffled(classes, row_count(classes)), "node", "left")
         placed = written(placed.withColumn("component", F.coalesce("component", "node")), "placed")
-        chosen = written(near_in_tiles(tiles(placed), near, side, percent, least), "chosen")
+        chosen = written_alone(lambda: near_in_tiles(tiles(placed), near, side, percent, least), "chosen")
         if not chosen.isEmpty():
-            more = links_in_tiles(chosen, sets_of(docs, ends(chosen.select("node"), row_count(chosen)), words), percent)
+            more = written_alone(lambda: links_in_tiles(chosen, docs, near, words, percent), "links")
             classes = written(components(links.union(more)), "classes")
         # The least id of each component, to its texts, and of each text, to its rows; most rows have none but their own.
         least_doc = classes.join(near.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("least_doc"), F.count(F.lit(1)).alias("rows"))

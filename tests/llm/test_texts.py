@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -81,6 +82,32 @@ def test_clusters_in_tiles(docs, monkeypatch):
     assert got == classes_by_force(texts, 3, 85)
 
 
+def test_sets_move_once_and_tables_go_when_read(docs, monkeypatch):
+    """Full sets go straight to their groups (no join moves them before), and tables of earlier steps are gone by the time components are placed."""
+    plans, made, left = [], [], []
+
+    def bundled(rows, by, *rest, f=minhash.bundled):
+        if "shingles" in rows.columns:
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return f(rows, by, *rest)
+
+    def written(df, name, f=minhash.written):
+        if name == "placed":
+            left.extend(n for n, path in made if os.path.isdir(path.removeprefix("file:")))
+        out = f(df, name)
+        made.append((name, out._siftstone_path.replace("file://", "file:")))
+        return out
+
+    monkeypatch.setattr(minhash, "bundled", bundled)
+    monkeypatch.setattr(minhash, "written", written)
+    texts = near_copies(3, 40, 60)
+    again = [*texts.items(), (5, texts[5]), (5, texts[5])]
+    got = minhash.near_duplicates(docs(again), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == classes_by_force(texts, 3, 85) and len(got) == len(again)
+    assert plans and not any("Join" in p for p in plans)
+    assert "members" in left and not {"signatures", "keys", "tables", "sets", "ends"} & set(left)
+
+
 def test_background_overlap_stays_cheap(spark, monkeypatch):
     """Texts of similarity 0.05 to 0.2: few pairs are verified, though chains of tables may lie between them."""
     r = random.Random(4)
